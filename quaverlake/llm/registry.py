@@ -1,8 +1,10 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
+from .minhash import op4_circulant_minhash
 from .substring_dedup import op5_substring_dedup
 
 QUERIES = {
+    "op4_circulant_minhash": op4_circulant_minhash,
     "op5_substring_dedup": op5_substring_dedup,
 }
 
