@@ -34,9 +34,9 @@ from .shared import table
 from .words import slices, windows, word_hashes
 
 WINDOW = 13
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 MIN_CHUNKS = 64
-BUCKET_WINDOWS = 1 << 20
+BUCKET_WINDOWS = 1 << 19
 LAST = np.iinfo(np.int64).max
 
 
@@ -66,7 +66,7 @@ def _windows_of(texts: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarr
     """Of one chunk: hashes of all windows, the row each starts in, and for each slice its first row, word bounds and windows' starts."""
     hashes, rows, parts, base = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], 0
     for piece in texts.chunks:
-        for i, j, data, offsets in slices(piece, 1 << 21):
+        for i, j, data, offsets in slices(piece, 1 << 19):
             words, bounds = word_hashes(data, offsets)
             h, at = windows(words, bounds, size)
             hashes.append(h)

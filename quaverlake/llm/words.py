@@ -19,7 +19,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 #: Bytes of text that are hashed at once; about 40 bytes of working memory each.
-PIECE = 2 << 20
+PIECE = 1 << 19
 
 BASE = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2**64
 _pow: dict[str, np.ndarray] = {}
