@@ -1,11 +1,13 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
+from .bpe_automaton import op7_bpe_automaton
 from .minhash import op4_circulant_minhash
 from .substring_dedup import op5_substring_dedup
 
 QUERIES = {
     "op4_circulant_minhash": op4_circulant_minhash,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_bpe_automaton": op7_bpe_automaton,
 }
 
 SQL: dict[str, str] = {}
