@@ -61,16 +61,17 @@ class Automaton:
         self.time: dict[int, int] = {}
         self.lost: dict[int, int] = {}  # (u << 32 | v) -> time at which u's state lost its arc v
         self.table: dict[int, bool] = {}
+        made = lambda s: vocab[s] in self.time or len(s.removesuffix(suffix) or s) == 1
         for r, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
             if w in self.time:
                 raise ValueError(f"two merges make {a + b!r}")
-            if not self._leaves(u, v, r):
-                continue  # no state reached by u has an arc v, so this merge never applies
+            if not (made(a) and made(b) and self._leaves(u, v, r)):
+                continue  # no arcs of these labels follow each other, so this merge never applies
             self.left[w], self.right[w], self.time[w] = u, v, r
             self.lost[u << 32 | v] = r
         # Tokens that no merge makes are base symbols of one character, with or without the suffix.
-        self.usable = {s: t for s, t in vocab.items() if t in self.time or len(s.removesuffix(suffix) or s) == 1}
+        self.usable = {s: t for s, t in vocab.items() if made(s)}
         self.longest = max((len(s.removesuffix(suffix)) for s in self.usable), default=1)
 
     def _leaves(self, u: int, t: int, now: int) -> bool:
