@@ -1,10 +1,12 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
 from .bpe_automaton import op7_bpe_automaton
+from .bradley_terry import op3_bradley_terry
 from .minhash import op4_circulant_minhash
 from .substring_dedup import op5_substring_dedup
 
 QUERIES = {
+    "op3_bradley_terry": op3_bradley_terry,
     "op4_circulant_minhash": op4_circulant_minhash,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_bpe_automaton": op7_bpe_automaton,
