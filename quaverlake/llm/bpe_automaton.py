@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from .shared import table
 
 #: Entries that a worker keeps of words and of transitions; when full, they are dropped and found anew.
-WORDS_KEPT = 250_000
+WORDS_KEPT = 500_000
 ARCS_KEPT = 1_000_000
+#: Added to the code of a symbol that ends a word; symbols lie below it.
+FOLD = 0x400
 
 #: Letters that the pattern's engine knows and the library, with the tables of Unicode 16, takes for symbols.
 LATER = regex.compile(
@@ -70,9 +72,18 @@ class Automaton:
                 continue  # no arcs of these labels follow each other, so this merge never applies
             self.left[w], self.right[w], self.time[w] = u, v, r
             self.lost[u << 32 | v] = r
-        # Tokens that no merge makes are base symbols of one character, with or without the suffix.
-        self.usable = {s: t for s, t in vocab.items() if made(s)}
-        self.longest = max((len(s.removesuffix(suffix)) for s in self.usable), default=1)
+        # Labels as strings whose last symbol stands for itself and the suffix, and all their beginnings (-1).
+        self.labels: dict[str, int] = {}
+        for label, token in vocab.items():
+            # Tokens that no merge makes are base symbols of one character, with or without the suffix.
+            if made(label):
+                text = self._folded(label.removesuffix(suffix)) if suffix and label.endswith(suffix) and label != suffix else label
+                for i in range(1, len(text)):
+                    self.labels.setdefault(text[:i], -1)
+                self.labels[text] = token
+
+    def _folded(self, word: str) -> str:
+        return word[:-1] + chr(ord(word[-1]) + FOLD) if self.suffix else word
 
     def _leaves(self, u: int, t: int, now: int) -> bool:
         """Follows the log: u's state inherits the losses of its right part up to the time u was made; a longer label t is missing
@@ -103,23 +114,45 @@ class Automaton:
         return known
 
     def encode(self, word: str) -> list[int]:
-        """Tokens of one pre-split word, given as byte-level symbols."""
-        n = len(word)
-        usable, arc = self.usable, self.arc
-        last: list[int] = [-1] * (n + 1)
-        size = [0] * (n + 1)
-        for i in range(1, n + 1):
-            end = word[:i] + self.suffix if i == n else word[:i]
-            for k in range(max(0, i - self.longest), i):
-                token = usable.get(end[k:])
-                if token is not None and (k == 0 or (last[k] >= 0 and arc(last[k], token))):
-                    last[i], size[i] = token, i - k
+        """Tokens of one pre-split word, given as byte-level symbols.
+
+        Walks the automaton along the longest labels that have an arc. A position from which the walk can't end is
+        left for good, as no other tokens lead to it: every position is tried once."""
+        if not word:
+            return []
+        word, n = self._folded(word), len(word)
+        labels, table, arc = self.labels.get, self.table.get, self.arc
+        dead = set()
+        path: list[tuple[int, int, list]] = []  # (position, token before it, labels from it that are still to try)
+        pos, last = 0, -1
+        while pos < n:
+            ways, j = [], pos + 1
+            while j <= n:
+                token = labels(word[pos:j])
+                if token is None:
                     break
-        out = []
-        while n and last[n] >= 0:
-            out.append(last[n])
-            n -= size[n]
-        return out[::-1]
+                if token >= 0:
+                    ways.append((j, token))
+                j += 1
+            while True:
+                while ways:
+                    j, token = ways.pop()
+                    if j not in dead:
+                        ok = last < 0 or table(last << 32 | token)
+                        if ok is None:
+                            ok = arc(last, token)
+                        if ok:
+                            break
+                else:
+                    if not path:
+                        raise ValueError(f"no tokens for {word!r}")
+                    dead.add(pos)
+                    pos, last, ways = path.pop()
+                    continue
+                break
+            path.append((pos, last, ways))
+            pos, last = j, token
+        return [t for _, t, _ in path[1:]] + [last]
 
 
 def _byte_symbols() -> list[str]:
@@ -129,6 +162,24 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class Recent:
+    """The last `most` entries put or found, about: when the younger half is full, the older half is dropped."""
+
+    def __init__(self, most: int):
+        self.half, self.young, self.old = most // 2, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        got = self.young.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Codec:
     """Normalising, splitting, encoding and decoding as a tokenizer file says."""
 
@@ -145,36 +196,37 @@ class Codec:
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.words = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"])
         self.symbols = str.maketrans(dict(enumerate(_byte_symbols())))
-        self.known: dict[str, bytes] = {}
+        self.words_known, self.chunks_known = Recent(WORDS_KEPT), Recent(WORDS_KEPT)
+
+    def _word(self, word: str) -> bytes:
+        known = self.words_known.get(word)
+        if known is None:
+            known = array("I", self.dfa.encode(word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.symbols))).tobytes()
+            if len(word) <= 64:
+                self.words_known.put(word, known)
+        return known
 
     def _chunk(self, chunk: str) -> bytes:
         """A piece without white space; neither normalising nor splitting looks beyond it."""
-        # Lower-casing is by character, without the final form of sigma.
-        low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        low = low if low.isascii() else low.translate(LATER_CAPITALS)
-        ids = array("I")
-        shown = low if low.isascii() else LATER.sub("\ue000", low)
-        for found in self.words.finditer(shown):
-            word = low[found.start() : found.end()]
-            ids.extend(self.dfa.encode(word.encode().decode("latin-1").translate(self.symbols)))
-        return ids.tobytes()
+        if chunk.isascii():
+            low = shown = chunk.lower()
+        else:
+            # Lower-casing is by character, without the final form of sigma.
+            low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower().translate(LATER_CAPITALS)
+            shown = LATER.sub("\ue000", low)
+        if shown.isalpha():
+            return self._word(low)
+        return b"".join([self._word(low[x.start() : x.end()]) for x in self.words.finditer(shown)])
 
     def _plain(self, text: str) -> bytes:
-        known = self.known
-        chunks = text.split()
-        try:
-            return b"".join([known[x] for x in chunks])
-        except KeyError:
-            pass
+        get, put = self.chunks_known.get, self.chunks_known.put
         out = []
-        for x in chunks:
-            got = known.get(x)
+        for x in text.split():
+            got = get(x)
             if got is None:
-                if len(known) >= WORDS_KEPT:
-                    known.clear()
                 got = self._chunk(x)
                 if len(x) <= 64:
-                    known[x] = got
+                    put(x, got)
             out.append(got)
         return b"".join(out)
 
