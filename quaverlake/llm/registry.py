@@ -4,12 +4,14 @@ from .bpe_automaton import op7_bpe_automaton
 from .bradley_terry import op3_bradley_terry
 from .minhash import op4_circulant_minhash
 from .substring_dedup import op5_substring_dedup
+from .warc import op10_warc_salvage
 
 QUERIES = {
     "op3_bradley_terry": op3_bradley_terry,
     "op4_circulant_minhash": op4_circulant_minhash,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_bpe_automaton": op7_bpe_automaton,
+    "op10_warc_salvage": op10_warc_salvage,
 }
 
 SQL: dict[str, str] = {}
