@@ -72,15 +72,16 @@ class Automaton:
                 continue  # no arcs of these labels follow each other, so this merge never applies
             self.left[w], self.right[w], self.time[w] = u, v, r
             self.lost[u << 32 | v] = r
-        # Labels as strings whose last symbol stands for itself and the suffix, and all their beginnings (-1).
-        self.labels: dict[str, int] = {}
+        # Labels by their symbols, the last of a word standing for itself and the suffix: symbol -> (what may follow, token or -1).
+        self.root: dict[str, tuple] = {}
         for label, token in vocab.items():
             # Tokens that no merge makes are base symbols of one character, with or without the suffix.
             if made(label):
                 text = self._folded(label.removesuffix(suffix)) if suffix and label.endswith(suffix) and label != suffix else label
-                for i in range(1, len(text)):
-                    self.labels.setdefault(text[:i], -1)
-                self.labels[text] = token
+                node = self.root
+                for symbol in text[:-1]:
+                    node = node.setdefault(symbol, ({}, -1))[0]
+                node[text[-1]] = node.get(text[-1], ({},))[0], token
 
     def _folded(self, word: str) -> str:
         return word[:-1] + chr(ord(word[-1]) + FOLD) if self.suffix else word
@@ -121,19 +122,20 @@ class Automaton:
         if not word:
             return []
         word, n = self._folded(word), len(word)
-        labels, table, arc = self.labels.get, self.table.get, self.arc
+        root, table, arc = self.root, self.table.get, self.arc
         dead = set()
         path: list[tuple[int, int, list]] = []  # (position, token before it, labels from it that are still to try)
         pos, last = 0, -1
         while pos < n:
-            ways, j = [], pos + 1
-            while j <= n:
-                token = labels(word[pos:j])
-                if token is None:
+            ways, node, j = [], root, pos
+            for symbol in word[pos:]:
+                found = node.get(symbol)
+                if found is None:
                     break
+                node, token = found
+                j += 1
                 if token >= 0:
                     ways.append((j, token))
-                j += 1
             while True:
                 while ways:
                     j, token = ways.pop()
@@ -219,14 +221,17 @@ class Codec:
         return b"".join([self._word(low[x.start() : x.end()]) for x in self.words.finditer(shown)])
 
     def _plain(self, text: str) -> bytes:
-        get, put = self.chunks_known.get, self.chunks_known.put
-        out = []
+        known, out = self.chunks_known, []
+        get = known.young.get
         for x in text.split():
             got = get(x)
             if got is None:
-                got = self._chunk(x)
-                if len(x) <= 64:
-                    put(x, got)
+                got = known.get(x)
+                if got is None:
+                    got = self._chunk(x)
+                    if len(x) <= 64:
+                        known.put(x, got)
+                get = known.young.get
             out.append(got)
         return b"".join(out)
 
