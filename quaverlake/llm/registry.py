@@ -3,6 +3,7 @@
 from .bpe_automaton import op7_bpe_automaton
 from .bradley_terry import op3_bradley_terry
 from .minhash import op4_circulant_minhash
+from .pfair import OP9_SQL, op9_pfair
 from .substring_dedup import op5_substring_dedup
 from .warc import op10_warc_salvage
 
@@ -11,7 +12,10 @@ QUERIES = {
     "op4_circulant_minhash": op4_circulant_minhash,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_bpe_automaton": op7_bpe_automaton,
+    "op9_pfair": op9_pfair,
     "op10_warc_salvage": op10_warc_salvage,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op9_pfair": OP9_SQL,
+}
