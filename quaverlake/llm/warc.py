@@ -1,11 +1,12 @@
 """WARC archives: a writer with revisit records and a salvage reader.
 
 Writing. Spark's text writer ends every value with a blank line (CR LF CR LF), which is also how a WARC record ends, so each part file is a
-WARC file of whole records and a task that is repeated replaces its file. Records are dealt into files of about `archive_bytes`.
+WARC file of whole records and a task that is repeated replaces its file. Files hold about `archive_bytes` before compression; a compressed file is
+one gzip member, so damage to it costs the records from there to its end.
 Of pages with equal payloads of at least `min_bytes` the one with the smallest id is a response, the others are revisits without
 payload that name it.
 
-Reading. A file is read as bytes and parsed member by member. Files may be plain or hold one gzip member per record.
+Reading. A file is read as bytes and parsed member by member. Files may be plain or hold gzip members of one or more records.
 Each record is checked: version line, header, length, the blank line after the block, and its digests. After a failed check the reader looks
 for the next version line or gzip member that starts a valid record, goes on there, and logs the bytes between as a quarantined gap.
 
@@ -66,10 +67,11 @@ def records(pages: DataFrame, id_col: str, payload_col: str, uri_col: str | None
     return rows.select(F.when(repeat, revisit).otherwise(response).alias("value"))
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", uri_col: str | None = "url", min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    total = pages.agg(F.sum(F.octet_length(F.col(payload_col).cast("string")) + 400)).first()[0] or 0
-    out = records(pages, id_col, payload_col, uri_col, min_bytes)
-    out.repartition(max(1, math.ceil(total / archive_bytes))).write.option("lineSep", END).text(path)
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", uri_col: str | None = "url", min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, compression: str = "gzip") -> None:
+    """`compression` is "gzip" (each file one member) or "none"."""
+    total, rows = pages.agg(F.sum(F.coalesce(F.octet_length(F.col(payload_col).cast("string")), F.lit(0)) + 400), F.count("*")).first()
+    each = max(1, math.floor(archive_bytes * rows / total)) if total else 1
+    records(pages, id_col, payload_col, uri_col, min_bytes).write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", each).text(path)
 
 
 _VERSION = re.compile(rb"WARC/(?:0\.1[78]|1\.[01])\r\n")
@@ -105,46 +107,49 @@ def _record(data: bytes, at: int) -> tuple[dict, int, int, int] | str:
     return header, begin, stop, stop + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int] | str:
-    """A gzip member's content and end."""
-    inflate = zlib.decompressobj(31)
+def _member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """A gzip member's content, as far as it can be inflated, its end, and what is wrong with it."""
+    inflate, out = zlib.decompressobj(31), []
     try:
-        out = inflate.decompress(data[at:])
+        for i in range(at, len(data), 1 << 16):
+            out.append(inflate.decompress(data[i : i + (1 << 16)]))
+            if inflate.eof:
+                return b"".join(out), min(len(data), i + (1 << 16)) - len(inflate.unused_data), ""
     except zlib.error as wrong:
-        return f"bad member: {wrong}"
-    return (out, len(data) - len(inflate.unused_data)) if inflate.eof else "member is cut short"
+        return b"".join(out), at, f"bad member: {wrong}"
+    return b"".join(out), at, "member is cut short"
 
 
 def read_archive(data: bytes) -> Iterator[tuple]:
-    """('record', start, end, header, block) and ('gap', start, end, reason, None), in the order of the bytes."""
+    """('record', start, end, header, block) and ('gap', start, end, reason, None), in the order of the bytes.
+
+    Of a gzip member with several records each has the member's place. Of a damaged member the records before the damage are
+    given, then the gap."""
     at, gap, reason = 0, None, ""
     while at < len(data):
+        found, stop = [], at
         if data[at : at + 2] == b"\x1f\x8b":
-            got = _member(data, at)
-            if not isinstance(got, str):
-                inner, stop = got
-                got = _record(inner, 0)
-                if not isinstance(got, str) and got[3] != len(inner):
-                    got = "member holds more than a record"
-                if not isinstance(got, str):
-                    got = got[0], inner[got[1] : got[2]], stop
+            inner, stop, wrong = _member(data, at)
+            if inner:
+                found = [(kind, at, stop if not wrong else at, what, block) for kind, _, _, what, block in read_archive(inner) if not wrong or kind == "record"]
         else:
             got = _record(data, at)
-            if not isinstance(got, str):
-                got = got[0], data[got[1] : got[2]], got[3]
-        if isinstance(got, str):
+            wrong = got if isinstance(got, str) else ""
+            if not wrong:
+                stop = got[3]
+                found = [("record", at, stop, got[0], data[got[1] : got[2]])]
+        if gap is not None and (found or not wrong):
+            yield "gap", gap, at, reason, None
+            gap = None
+        yield from found
+        if wrong:
             if gap is None:
-                gap, reason = at, got
+                gap, reason = at, wrong
             # The next place where a record can start; a false start fails its own check and the search goes on.
             plain, packed = _VERSION.search(data, at + 1), data.find(b"\x1f\x8b\x08", at + 1)
             at = min([x for x in (plain.start() if plain else -1, packed) if x >= 0], default=len(data))
-            continue
-        if gap is not None:
-            yield "gap", gap, at, reason, None
-            gap = None
-        header, block, stop = got
-        yield "record", at, stop, header, block
-        at = stop
+        else:
+            at = stop
     if gap is not None:
         yield "gap", gap, len(data), reason, None
 

@@ -53,6 +53,15 @@ def test_salvage_recovers_all_records_but_the_damaged():
             assert found >= {f"<urn:page:{i}>" for i in range(12) if i not in hurt}
 
 
+def test_members_of_many_records():
+    parts = [record(i, b * 300) for i, b in enumerate(BODIES)]
+    packed = gzip.compress(b"".join(parts), mtime=0)
+    assert [b for _, b in ids(read_archive(packed + gzip.compress(record(9, b"z"))))] == [b * 300 for b in BODIES] + [b"z"]
+    cut = packed[: len(packed) - 40]
+    got = list(read_archive(cut + record(9, b"z")))
+    assert ids(got)[-1] == ("<urn:page:9>", b"z") and len(ids(got)) > 1 and sum(g[0] == "gap" for g in got) == 1
+
+
 def test_gap_reasons(spark, tmp_path):
     bad = record(1, b"abc").replace(b"abc", b"abd")
     (tmp_path / "a.warc").write_bytes(record(0, b"x") + bad + b"junk" + record(2, b"y") + b"tail")
@@ -93,5 +102,7 @@ def test_edge_rows(spark, tmp_path):
         assert got == (expected(rows) if k else [])
     df = spark.createDataFrame(rows, "page_id long, html string")
     assert records(df, "page_id", "html", None, min_bytes=5).where("value like '%revisit%'").count() == 1
-    write_warc(df, f"file://{tmp_path}/w", uri_col=None, min_bytes=5)
-    assert read_warc(spark, f"file://{tmp_path}/w").where("gap is not null").count() == 0
+    for how in ("gzip", "none"):
+        write_warc(df, f"file://{tmp_path}/{how}", uri_col=None, min_bytes=5, archive_bytes=1000, compression=how)
+        back = read_warc(spark, f"file://{tmp_path}/{how}")
+        assert back.where("gap is not null").count() == 0 and back.count() == len(rows) and back.select("path").distinct().count() > 3
