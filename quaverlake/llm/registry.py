@@ -4,6 +4,7 @@ from .bpe_automaton import op7_bpe_automaton
 from .bradley_terry import op3_bradley_terry
 from .minhash import op4_circulant_minhash
 from .pfair import OP9_SQL, op9_pfair
+from .rp_forest import op8_rp_forest
 from .substring_dedup import op5_substring_dedup
 from .warc import op10_warc_salvage
 
@@ -12,10 +13,12 @@ QUERIES = {
     "op4_circulant_minhash": op4_circulant_minhash,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_bpe_automaton": op7_bpe_automaton,
+    "op8_rp_forest": op8_rp_forest,
     "op9_pfair": op9_pfair,
     "op10_warc_salvage": op10_warc_salvage,
 }
 
 SQL = {
+    "op8_rp_forest": op8_rp_forest,
     "op9_pfair": OP9_SQL,
 }
