@@ -278,12 +278,12 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, text_col: str = "text")
     return docs.mapInArrow(lambda it: _run(it, config, text_col), ", ".join([*kept, "ids binary", "decoded string"]))
 
 
-def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return encoded.select(id_col, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(encoded: DataFrame, *columns: str) -> DataFrame:
+    return encoded.select(*columns, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(encode_decode(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return digests(encode_decode(docs, public_tokenizers.path("word_bpe_49k.json")), "doc_id")

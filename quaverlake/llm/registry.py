@@ -6,9 +6,11 @@ from .minhash import op4_circulant_minhash
 from .pfair import OP9_SQL, op9_pfair
 from .rp_forest import op8_rp_forest
 from .substring_dedup import op5_substring_dedup
+from .surrogates import op2_surrogates
 from .warc import op10_warc_salvage
 
 QUERIES = {
+    "op2_surrogates": op2_surrogates,
     "op3_bradley_terry": op3_bradley_terry,
     "op4_circulant_minhash": op4_circulant_minhash,
     "op5_substring_dedup": op5_substring_dedup,
