@@ -8,12 +8,14 @@ from .rp_forest import op8_rp_forest
 from .substring_dedup import op5_substring_dedup
 from .surrogates import op2_surrogates
 from .warc import op10_warc_salvage
+from .webp import op6_lossless_webp
 
 QUERIES = {
     "op2_surrogates": op2_surrogates,
     "op3_bradley_terry": op3_bradley_terry,
     "op4_circulant_minhash": op4_circulant_minhash,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_lossless_webp": op6_lossless_webp,
     "op7_bpe_automaton": op7_bpe_automaton,
     "op8_rp_forest": op8_rp_forest,
     "op9_pfair": op9_pfair,
