@@ -7,10 +7,12 @@ from .pfair import OP9_SQL, op9_pfair
 from .rp_forest import op8_rp_forest
 from .substring_dedup import op5_substring_dedup
 from .surrogates import op2_surrogates
+from .tool_calls import op1_tool_calls
 from .warc import op10_warc_salvage
 from .webp import op6_lossless_webp
 
 QUERIES = {
+    "op1_tool_calls": op1_tool_calls,
     "op2_surrogates": op2_surrogates,
     "op3_bradley_terry": op3_bradley_terry,
     "op4_circulant_minhash": op4_circulant_minhash,
