@@ -10,10 +10,17 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .functions import text as T
 from .operators import documents as D
+from .operators import evaluate as E
 from .operators import index as I
+from .operators import ingest as N
+from .operators import observe as O
+from .operators import oplog as L
 from .operators import reconcile as C
 from .operators import retrieve as R
 from .operators import score as Sc
+from .operators import select as A
+from .operators import titles as Ti
+from .plans import search as P
 from .plans.views import Views, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -353,3 +360,237 @@ def lane_report(v):
 @query("SELECT 'track:' || id AS key, CAST((SELECT count(*) FROM v_titles WHERE native_rating >= 60) AS BIGINT) AS matched FROM v_titles WHERE native_rating >= 60 ORDER BY id LIMIT 80")
 def constraint_scan(v):
     return R.constraint_scan(_docs(v), F.col("native_rating") >= 60).select("key", "matched")
+
+
+# Selection. The draw is the first 13 hex digits of an MD5, which DuckDB can make too.
+
+
+def _draw(*parts):
+    return "(CAST('0x' || substring(md5(concat_ws('|', " + ", ".join(parts) + ")), 1, 13) AS BIGINT) / 4503599627370496.0)"
+
+
+@query("""SELECT bucket, CAST(n AS INT) AS n, key, native_rating, has_more FROM (SELECT *, max(n) OVER (PARTITION BY bucket) > 50 AS has_more FROM (SELECT CAST(native_rating // 20 AS INT) AS bucket, 'track:' || id AS key, native_rating,
+  row_number() OVER (PARTITION BY native_rating // 20 ORDER BY native_rating DESC, translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), translate(album, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'track:' || id) AS n FROM v_titles)) WHERE n <= 50""")
+def rating_browse(v):
+    return A.rating_browse(_docs(v)).select("bucket", "n", "key", "native_rating", "has_more")
+
+
+@query(f"""SELECT album, key FROM (SELECT album, 'track:' || id AS key, row_number() OVER (PARTITION BY album ORDER BY {_draw("'s/all'", "album", "'track:' || id")}, 'track:' || id) AS r FROM v_titles) WHERE r <= 20""")
+def reservoir(v):
+    return A.reservoir(_docs(v).where("kind = 'track'").withColumn("key", I.stable_key()), ["album"], 20, "s").select("album", "key")
+
+
+@query(f"""SELECT genre, key, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY genre ORDER BY score DESC, turn, bucket, album) AS place FROM (SELECT *, -ln(1 - {_draw("'r/album'", "genre", "album")}) AS bucket FROM
+  (SELECT genre, key, score, album, row_number() OVER (PARTITION BY genre, score, album ORDER BY -ln(1 - {_draw("'r'", "genre", "key")}), key) AS turn FROM (SELECT genre, 'track:' || id AS key, native_rating // 20 AS score, lower(album) AS album FROM v_titles)))) WHERE place <= 35""")
+def rotate(v):
+    rows = v.titles.withColumns({"key": F.concat(F.lit("track:"), "id"), "score": F.floor(F.col("native_rating") / 20)})
+    return A.rotate(rows, ["genre"], 35, "r").select("genre", "key", "place")
+
+
+@query("""SELECT id, CAST(coalesce(CASE WHEN rating IS NULL THEN 4 WHEN match = 'exact' AND rating < 4 THEN NULL WHEN match = 'exact' THEN rating ELSE greatest(rating, 4) END, -1) AS DOUBLE) AS rating FROM
+  (SELECT doc_id AS id, CASE WHEN doc_id % 7 > 0 THEN CAST(doc_id % 6 AS DOUBLE) END AS rating, CASE WHEN doc_id % 2 = 0 THEN 'exact' ELSE 'at_least' END AS match FROM documents)""")
+def top_track_constraint(v):
+    docs = v.spark.read.parquet(f"{v.dir}/documents.parquet")
+    out = S.top_track_constraint(F.when(F.col("doc_id") % 7 > 0, (F.col("doc_id") % 6).cast("double")), F.when(F.col("doc_id") % 2 == 0, "exact").otherwise("at_least"))
+    return docs.select(F.col("doc_id").alias("id"), F.coalesce(out["rating"], F.lit(-1.0)).alias("rating"))
+
+
+def _tables(v):
+    return {"artists": v.artists, "albums": v.albums, "tracks": v.tracks, "genres": v.genres, "track_artists": v.track_artists, "track_genres": v.track_genres}
+
+
+@query("SELECT source_id AS id, name AS title FROM v_artists WHERE source_id IN (SELECT artist_id FROM v_albums) ORDER BY upper(name), source_id LIMIT 50")
+def browse_album_artists(v):
+    return A.browse(_tables(v), "album_artists")
+
+
+@query("SELECT source_id AS id, title FROM v_albums WHERE source_id IN (SELECT album_id FROM v_tracks JOIN v_track_genres g ON g.track_id = source_id WHERE genre_id = 'ECONOMY') ORDER BY upper(title), source_id LIMIT 10 OFFSET 5")
+def browse_albums_of_genre(v):
+    return A.browse(_tables(v), "albums_of_genre", "ECONOMY", 5, 10)
+
+
+@query("SELECT source_id AS id, title FROM v_albums WHERE artist_id = 's5' OR source_id IN (SELECT album_id FROM v_tracks JOIN v_track_artists a ON a.track_id = source_id WHERE a.artist_id = 's5') ORDER BY upper(title), source_id LIMIT 50")
+def browse_albums_of_artist(v):
+    return A.browse(_tables(v), "albums_of_artist", "s5")
+
+
+@query("SELECT DISTINCT CAST(year AS VARCHAR) AS id, CAST(year AS VARCHAR) AS title FROM v_albums WHERE year IS NOT NULL ORDER BY 1 DESC LIMIT 50")
+def browse_years(v):
+    return A.browse(_tables(v), "years")
+
+
+# Observations.
+
+_MARKED = "(SELECT c.observation_id, c.correlation_id, c.position, c.title, s.at AS selected_at FROM v_candidates c LEFT JOIN (SELECT correlation_id, min(selected_at) AS at FROM v_selections GROUP BY correlation_id) s USING (correlation_id))"
+_SUMMARY = f"(SELECT o.observation_id, o.status, o.query, o.created_at, coalesce(c.n, 0) AS candidates, c.p AS selected_position, r.review_class, coalesce(r.included, false) AS included FROM v_observations o LEFT JOIN (SELECT observation_id, count(*) AS n, min(CASE WHEN selected_at IS NOT NULL THEN position END) AS p FROM {_MARKED} m GROUP BY observation_id) c USING (observation_id) LEFT JOIN v_reviews r USING (observation_id))"
+
+
+def _marked(v):
+    return O.mark_selected(v.candidates, v.selections)
+
+
+def _summaries(v):
+    return O.summarise_observations(v.observations, _marked(v), v.reviews)
+
+
+@query(f"SELECT correlation_id, position, epoch_us(selected_at) AS selected_us FROM {_MARKED} m")
+def mark_selected(v):
+    return _marked(v).select("correlation_id", "position", F.unix_micros(F.col("selected_at").cast("timestamp")).alias("selected_us"))
+
+
+@query(f"SELECT observation_id, status, candidates, selected_position, review_class, included FROM {_SUMMARY} s")
+def summarise_observations(v):
+    return _summaries(v).select("observation_id", "status", "candidates", "selected_position", "review_class", "included")
+
+
+@query(f"SELECT observation_id FROM {_SUMMARY} s WHERE contains(lower(query), 'view') AND review_class IS NULL AND selected_position IS NOT NULL ORDER BY created_at DESC, observation_id DESC LIMIT 100")
+def browse_observations(v):
+    return O.browse_observations(_summaries(v), O.observation_filter("VIEW", False, "selected"))[1].select("observation_id")
+
+
+@query(f"SELECT observation_id FROM {_SUMMARY} s WHERE status = 'completed' AND candidates = 0")
+def no_results(v):
+    return _summaries(v).where(O.observation_filter(result="no_results")).select("observation_id")
+
+
+@query("SELECT observation_id, CASE WHEN status = 'failed' AND included THEN 'failed searches can''t be included' END AS reason FROM v_reviews JOIN v_observations USING (observation_id) WHERE expected_correlation_id IN (SELECT correlation_id FROM v_candidates) UNION ALL SELECT observation_id, 'expected is not a candidate' FROM v_reviews WHERE expected_correlation_id NOT IN (SELECT correlation_id FROM v_candidates)")
+def apply_reviews(v):
+    good, bad = O.apply_reviews(v.observations, v.candidates, v.reviews.limit(0), v.reviews)
+    return bad.select("observation_id", "reason").unionByName(good.select("observation_id", F.lit(None).cast("string").alias("reason")))
+
+
+@query(f"""SELECT query, review_class, count(*) AS cases, CAST(sum(n) AS BIGINT) AS candidates, CAST(sum(picked) AS BIGINT) AS selected, CAST(sum(hit) AS BIGINT) AS expected FROM (SELECT r.observation_id, any_value(o.query) AS query, any_value(review_class) AS review_class, count(m.correlation_id) AS n, count(m.selected_at) AS picked, count_if(m.correlation_id = r.expected_correlation_id) AS hit
+  FROM v_reviews r JOIN v_observations o ON o.observation_id = r.observation_id AND o.status = 'completed' LEFT JOIN {_MARKED} m ON m.observation_id = r.observation_id WHERE included GROUP BY r.observation_id) GROUP BY query, review_class""")
+def export_cases(v):
+    cases = O.export_cases(v.observations, _marked(v), v.reviews)
+    number = lambda what: F.sum(F.size(F.filter("candidates", what))).alias
+    return cases.groupBy("query", "review_class").agg(F.count("*").alias("cases"), F.sum(F.size("candidates")).alias("candidates"), number(lambda c: c["selected"])("selected"), number(lambda c: c["expected"])("expected"))
+
+
+@query("""SELECT user_id, greatest(coalesce(max(CASE WHEN event_type IN ('click', 'view') THEN value END), 0), user_id % 5) + coalesce(sum(CASE WHEN event_type = 'purchase' THEN CAST(round(value) AS BIGINT) END), 0) + coalesce(max(CASE WHEN event_type = 'error' THEN round(value) END), 0) AS retrieval_ms FROM (SELECT user_id, event_type, CASE WHEN event_type IN ('click', 'view') THEN round(value) ELSE value END AS value FROM events) GROUP BY user_id""")
+def retrieval_durations(v):
+    events = v.spark.read.parquet(f"{v.dir}/events.parquet")
+    kind = F.when(F.col("event_type") == "click", "index").when(F.col("event_type") == "view", "provider").when(F.col("event_type") == "purchase", "expansion").when(F.col("event_type") == "error", "name_free")
+    requests = events.select(F.col("user_id").alias("observation_id"), kind.alias("kind"), F.round("value").alias("duration_ms"))
+    observations = events.select(F.col("user_id").alias("observation_id")).distinct().withColumns({"playlist_ms": F.col("observation_id") % 5, "total_ms": F.lit(10_000)})
+    return O.retrieval_durations(requests, observations).select(F.col("observation_id").alias("user_id"), "retrieval_ms")
+
+
+# Evaluation: each query expects the title that its words were taken from; what is found are the five best.
+
+_CASES = "cases AS (SELECT q.query_id AS id, CASE WHEN t.id IS NULL THEN NULL ELSE t.title END AS want, CAST(substring(q.query_id, 2) AS BIGINT) % 97 AS ms FROM v_queries q LEFT JOIN v_titles t ON q.query_id = 'q' || CAST(100000 + CAST(t.id AS BIGINT) AS VARCHAR))"
+_RESULTS = f"{_SCORED}, {_CASES}, results AS (SELECT c.id, ms, want IS NOT NULL AS positive, count(r.key) AS found, min(CASE WHEN upper(trim(r.title)) = upper(trim(want)) AND r.kind = 'track' THEN r.rank END) AS pos FROM cases c LEFT JOIN (SELECT * FROM ranked WHERE rank <= 5) r ON r.query_id = c.id GROUP BY c.id, ms, want)"
+
+
+def _case_results(v):
+    found = Sc.top_n(_ranked(v), 5).select(F.col("query_id").alias("id"), F.col("rank").alias("position"), "kind", "title", "artist", "album")
+    wanted = v.titles.select(F.concat(F.lit("q"), (100_000 + F.col("id").cast("long")).cast("string")).alias("id"), F.array(F.struct(F.lit("track").alias("kind"), "title", F.lit(None).cast("string").alias("artist"), F.lit(None).cast("string").alias("album"))).alias("expected"))
+    cases = v.queries.select(F.col("query_id").alias("id"), F.col("text").alias("query")).join(wanted, "id", "left")
+    none = F.array().cast("array<struct<kind:string,title:string,artist:string,album:string>>")
+    cases = cases.withColumns({"expected": F.coalesce("expected", none), "duration_ms": F.substring("id", 2, 20).cast("long") % 97, "error": F.lit(None).cast("string")})
+    return E.case_results(E.match_expected(found, cases), cases)
+
+
+@query(f"WITH {_RESULTS} SELECT id, positive, found, CAST(pos AS INT) AS position, coalesce(1.0 / pos, 0) AS reciprocal_rank, CASE WHEN positive THEN pos IS NOT NULL ELSE found = 0 END AS passed FROM results")
+def case_results(v):
+    return _case_results(v).select("id", "positive", "found", "position", "reciprocal_rank", "passed")
+
+
+@query(f"""WITH {_RESULTS} SELECT count(*) AS total, count_if(positive) AS positive, count_if(NOT positive) AS no_match, count_if(CASE WHEN positive THEN pos IS NOT NULL ELSE found = 0 END) AS passed, count_if(positive AND pos = 1) AS top1, count_if(positive AND pos <= 5) AS top5,
+  count_if(NOT positive AND found = 0) AS correct_no_match, round(coalesce(avg(CASE WHEN positive THEN coalesce(1.0 / pos, 0) END), 0), 9) AS mrr, round(avg(ms), 9) AS mean_ms, CAST(quantile_disc(ms, 0.95) AS DOUBLE) AS p95_ms FROM results""")
+def evaluation_summary(v):
+    return E.evaluation_summary(_case_results(v)).drop("errors").withColumns({"mrr": F.round("mrr", 9), "mean_ms": F.round("mean_ms", 9)})
+
+
+# Logs.
+
+
+@query("SELECT tool, call_id FROM (SELECT tool, call_id, row_number() OVER (PARTITION BY tool ORDER BY started_at DESC, call_id DESC) AS r FROM v_calls WHERE status NOT IN ('Completed', 'Failed')) WHERE r = 1")
+def latest_job(v):
+    return L.latest_job(v.calls, F.col("tool"), ["started_at", "call_id"], only_active=True).select("tool", "call_id")
+
+
+@query("SELECT call_id FROM v_calls WHERE tool = 'click' AND status = 'Completed' ORDER BY started_at DESC, call_id DESC LIMIT 20 OFFSET 10")
+def browse_log(v):
+    return L.browse_log(v.calls, {"tool": " click ", "status": "Completed", "user_id": " "}, ["started_at", "call_id"], 10, 20)[1].select("call_id")
+
+
+@query("SELECT status, count(*) AS kept FROM v_calls WHERE NOT (started_at < TIMESTAMP '2024-01-15 00:00:00' AND status IN ('Completed', 'Failed') AND call_id <> 1) GROUP BY status")
+def purge(v):
+    calls = v.calls.withColumn("id", F.col("call_id").cast("string"))
+    kept, _, _ = L.purge(calls, "started_at", F.lit("2024-01-15 00:00:00").cast("timestamp"), terminal_only=True, except_id="1")
+    return kept.groupBy("status").agg(F.count("*").alias("kept"))
+
+
+@query("SELECT call_id, CASE WHEN status = 'Running' THEN 'Interrupted' ELSE status END AS status, CASE WHEN status = 'Running' THEN greatest(0, (epoch_us(TIMESTAMP '2024-01-20 00:00:00') - epoch_us(started_at)) / 1000.0) ELSE duration_ms END AS duration_ms FROM v_calls")
+def interrupt_running(v):
+    calls = v.calls.withColumns({"completed_at": F.lit(None).cast("timestamp"), "error_message": F.lit(None).cast("string"), "started_at": F.col("started_at").cast("timestamp")})
+    return L.interrupt_running(calls, F.lit("2024-01-20 00:00:00").cast("timestamp")).select("call_id", "status", "duration_ms")
+
+
+@query("SELECT doc_id, md5(CASE WHEN length(text) > 2000 THEN '{\"truncated\":true,\"originalCharacterCount\":' || length(text) || ',\"prefix\":' || CAST(to_json(substring(text, 1, 1744)) AS VARCHAR) || '}' ELSE text END) AS bounded FROM documents")
+def bound_json(v):
+    docs = v.spark.read.parquet(f"{v.dir}/documents.parquet")
+    return docs.select("doc_id", F.md5(S.bound_json(F.col("text"), 2000)).alias("bounded"))
+
+
+@query("SELECT call_id, 'rating ' || json_extract_string(props, '$.k') AS summary FROM (SELECT event_id AS call_id, props FROM events)")
+def request_summary(v):
+    calls = v.calls.withColumns({"arguments": F.replace("arguments", F.lit('"k"'), F.lit('"rating"')), "arguments_truncated": F.lit(False)})
+    return L.request_summary(calls)
+
+
+@query("SELECT event_id, 'browseRef' AS path, 'r' || event_id % 50 AS reference, CASE WHEN event_id % 50 < 20 THEN 'title ' || event_id % 50 END AS title FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, 'items[1]', 'p' || event_id % 50, NULL FROM events WHERE event_type = 'click'")
+def reference_snapshots(v):
+    number = (F.col("call_id") % 50).cast("string")
+    arguments = F.when(F.col("tool") == "view", F.concat(F.lit('{"browseRef":"r'), number, F.lit('"}'))).otherwise(F.concat(F.lit('{"items":[5,"p'), number, F.lit('",{"a":1}]}')))
+    calls = v.calls.where("tool in ('view', 'click')").withColumns({"arguments": arguments, "tool": F.when(F.col("tool") == "view", "browse").otherwise("play")})
+    known = v.spark.range(20).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("reference"), F.concat(F.lit("title "), F.col("id").cast("string")).alias("title"))
+    return L.reference_snapshots(calls, known).select(F.col("call_id").alias("event_id"), "path", "reference", "title")
+
+
+@query("SELECT report_id, message FROM (SELECT DISTINCT 'u' || user_id AS report_id, substring(event_type, 1, 4) AS message FROM events WHERE user_id % 3 > 0 AND event_type = 'error' AND user_id >= 20) UNION ALL SELECT NULL, substring(event_type, 1, 4) FROM events WHERE user_id % 3 = 0 AND event_type = 'error'")
+def ingest_errors(v):
+    errors = v.calls.where("tool = 'error'").select(F.when(F.col("user_id") % 3 > 0, F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("report_id"), F.concat(F.lit("  "), F.col("tool")).alias("message"))
+    stored = v.spark.range(20).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("report_id"))
+    return L.ingest_errors(stored, errors, {"message": 4})
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 > 0 AND user_id % 7 > 0 AND event_type <> 'error' THEN '["scan","u' || user_id || '","' || event_id || '"]' END AS token FROM events WHERE event_id > 0""")
+def change_token(v):
+    rows = v.spark.read.parquet(f"{v.dir}/events.parquet").where("event_id > 0")
+    token = N.change_token(F.when(F.col("user_id") % 7 > 0, F.concat(F.lit(" u"), F.col("user_id").cast("string"))), F.col("event_id").cast("string"), F.when(F.col("event_id") % 5 == 0, "1").otherwise("0"), F.when(F.col("event_type") == "error", "yes"))
+    return rows.select("event_id", token.alias("token"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_name END AS title, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size END AS disc, CASE WHEN p_partkey % 4 = 0 THEN 'title is missing' WHEN p_size * 3 > 100 THEN 'rating is above 100' END AS reason FROM part""")
+def validate_rows(v):
+    part = v.spark.read.parquet(f"{v.dir}/part.parquet")
+    number = F.col("p_partkey").cast("string")
+    raw = part.select(number.alias("id"), F.when(F.col("p_partkey") % 4 == 0, "  ").otherwise(F.concat(F.lit(" "), "p_name")).alias("title"), F.lit("file://x").alias("url"), F.lit("0").alias("remote"), F.when(F.col("p_size") % 3 == 0, "0").otherwise(F.col("p_size").cast("string")).alias("disc"), (F.col("p_size") * 3).cast("string").alias("rating"))
+    good, bad = N.validate_rows(N.type_rows(raw, "tracks"), "tracks")
+    out = good.select("source_id", "title", "disc", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("source_id", "title", "disc", F.col("reasons")[0].alias("reason")))
+    return out.select(F.col("source_id").cast("long").alias("p_partkey"), "title", "disc", "reason")
+
+
+@query("SELECT s_suppkey AS supplier, len(list_distinct(list_filter(list_transform(string_split(parts, ','), lambda x: trim(x)), lambda x: x <> ''))) AS ids FROM (SELECT l_suppkey AS s_suppkey, string_agg(CASE WHEN l_partkey % 9 = 0 THEN '' ELSE ' ' || l_partkey END, ',') AS parts FROM lineitem GROUP BY l_suppkey)")
+def split_ids(v):
+    rows = v.spark.read.parquet(f"{v.dir}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("supplier")).agg(F.array_join(F.collect_list(F.when(F.col("l_partkey") % 9 == 0, "").otherwise(F.concat(F.lit(" "), F.col("l_partkey").cast("string")))), ",").alias("parts"))
+    return rows.select("supplier", F.size(S.split_ids(F.col("parts"))).cast("long").alias("ids"))
+
+
+# Without SQL: phonetic and cardinal signals, and the whole search.
+
+
+@query()
+def title_search(v):
+    shows = v.singers.select("id", "title")
+    return Ti.title_search(v.queries, shows, ["zz"]).select("query_id", "id", "score", "signal", "place")
+
+
+@query()
+def full_search(v):
+    number = F.substring("query_id", 2, 20).cast("long")
+    asked = v.queries.withColumns({"rating": F.when(number % 7 == 0, 3.0), "match": F.when(number % 7 == 0, "at_least"), "genre": F.when(number % 11 == 0, "en"), "from_year": F.when(number % 13 == 0, 80), "to_year": F.when(number % 13 == 0, 99)})
+    asked = asked.withColumn("text", F.when(number % 17 == 0, "").otherwise(F.col("text")))
+    return P.search(asked, _docs(v), "seed", 2026)
