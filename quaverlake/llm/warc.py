@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, table
+from .shared import cut, shared_dir, table
 
 ARCHIVE_BYTES = 8 << 20
 END = "\r\n\r\n"
@@ -36,9 +36,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """The SHA-1 of UTF-8 text in upper-case base32: eight groups of 20 bits, four letters each."""
-    digest = F.sha1(payload.cast("binary"))
+def base32(digest: Column) -> Column:
+    """A SHA-1 of 40 hex digits in upper-case base32: eight groups of 20 bits, four letters each."""
     letters = F.lit(ALPHABET)
     parts = []
     for group in range(8):
@@ -53,14 +52,14 @@ def records(pages: DataFrame, id_col: str, payload_col: str, uri_col: str | None
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"),
         F.regexp_replace(F.coalesce(F.col(uri_col).cast("string"), F.lit("")), r"[\r\n]", "") if uri_col else F.lit(""),
     ).toDF("id", "payload", "uri")
-    rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("bytes", F.octet_length("payload").cast("long"))
+    rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary"))).withColumn("bytes", F.octet_length("payload").cast("long"))
     # Only digests that occur again go to the other side of the join, where a hot digest is one row.
     again = rows.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.count("*").alias("copies"), F.min("id").alias("first")).where("copies > 1").select("digest", "first")
     rows = rows.join(again, "digest", "left")
     repeat = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     head = lambda kind, length, *more: F.concat(
         F.lit(f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), F.col("uri"),
-        F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"), *more, F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), length, F.lit(END),
+        F.lit("\r\nWARC-Payload-Digest: sha1:"), base32(F.col("digest")), *more, F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), length, F.lit(END),
     )
     response = F.concat(head("response", F.col("bytes").cast("string")), F.col("payload"))
     revisit = head("revisit", F.lit("0"), F.lit("\r\nWARC-Refers-To: <urn:page:"), F.col("first").cast("string"), F.lit(">\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
@@ -182,7 +181,7 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     write_warc(table(spark, sf_dir, "pages"), path)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
-    back = read_warc(spark, path).where("gap is null").select(number("record_id").alias("page_id"), F.octet_length("block").cast("long").alias("bytes"), F.substring("digest", 6, 32).alias("payload_digest"), F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
+    back = cut(read_warc(spark, path).where("gap is null").select(number("record_id").alias("page_id"), F.octet_length("block").cast("long").alias("bytes"), F.substring("digest", 6, 32).alias("payload_digest"), F.col("type").alias("record_type"), number("refers_to").alias("refers_to")))
     # A revisit has the size of the response that it names; both are found by the digest.
     sizes = back.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("bytes").alias("payload_bytes"))
     return back.join(sizes, "payload_digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
