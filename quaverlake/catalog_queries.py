@@ -283,7 +283,7 @@ _GRAMS = f"{_DOCS}, bags AS (SELECT key, CASE WHEN length(c) >= 3 THEN list_tran
 def _bm25(hits):
     return f"""size AS (SELECT count(*) AS n, avg(length) AS mean FROM (SELECT DISTINCT key, length FROM posts)), hits AS ({hits}), tfs AS (SELECT query_id, term, key, length, sum(tf) AS tf FROM hits GROUP BY ALL),
  dfs AS (SELECT query_id, term, count(*) AS df FROM tfs GROUP BY ALL),
- scored AS (SELECT query_id, key, CAST(sum(CAST(round(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)), 9) AS DECIMAL(20,9))) AS DOUBLE) AS score FROM tfs JOIN dfs USING (query_id, term), size GROUP BY ALL)"""
+ scored AS (SELECT query_id, key, CAST(sum(CAST(round(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)) * 1e9) AS BIGINT)) AS DOUBLE) / 1e9 AS score FROM tfs JOIN dfs USING (query_id, term), size GROUP BY ALL)"""
 
 
 def _top80(lane):

@@ -73,16 +73,22 @@ def lookup_candidates(queries: DataFrame, index_terms: DataFrame, allowed: DataF
     return best(found, F.desc("score"), group=["query_id", "lane"]).drop("place")
 
 
-def bm25(hits: DataFrame, postings: DataFrame) -> DataFrame:
-    """(query_id, key, score) of hits (query_id, term, key, tf, length), tf being summed where one query term stands for several words.
+def _size(postings: DataFrame) -> DataFrame:
+    """One row: the number of documents of the whole index and their mean length."""
+    return F.broadcast(postings.select("key", "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("mean")))
+
+
+def _weight() -> Column:
+    """BM25 of one term in whole billionths, whose sums do not depend on their order. Needs n, mean, df, tf and length."""
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    return F.round(idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean"))) * 1e9).cast("long")
 
-    The number of documents and their mean length are those of the whole index, which is one row."""
-    size = postings.select("key", "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+
+def bm25(hits: DataFrame, postings: DataFrame) -> DataFrame:
+    """(query_id, key, score) of hits (query_id, term, key, tf, length), tf being summed where one query term stands for several words."""
     tf = hits.groupBy("query_id", "term", "key", "length").agg(F.sum("tf").alias("tf"))
     df = tf.groupBy("query_id", "term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return tf.join(df, ["query_id", "term"]).crossJoin(F.broadcast(size)).groupBy("query_id", "key").agg(F.sum(F.round(weight, 9).cast("decimal(20,9)")).cast("double").alias("score"))
+    return tf.join(df, ["query_id", "term"]).crossJoin(_size(postings)).groupBy("query_id", "key").agg((F.sum(_weight()) / 1e9).alias("score"))
 
 
 def prefix_matches(queries: DataFrame, postings: DataFrame) -> DataFrame:
@@ -101,8 +107,12 @@ def prefix_candidates(queries: DataFrame, postings: DataFrame, allowed: DataFram
 
 
 def trigram_matches(queries: DataFrame, postings: DataFrame) -> DataFrame:
+    """A trigram stands for itself, so its weight in a document is made once, on the postings' side, and only for trigrams that are asked for."""
     grams = queries.select("query_id", F.explode(T.trigrams(T.compact(T.normalise(F.col("text"))))).alias("term"))
-    return bm25(grams.join(postings, "term").select("query_id", "term", "key", "tf", "length"), postings)
+    asked = postings.join(grams.select("term").distinct(), "term", "left_semi")
+    df = asked.groupBy("term").agg(F.count("*").alias("df"))
+    weights = asked.join(df, "term").crossJoin(_size(postings)).select("term", "key", _weight().alias("w"))
+    return grams.join(weights, "term").groupBy("query_id", "key").agg((F.sum("w") / 1e9).alias("score"))
 
 
 def trigram_candidates(queries: DataFrame, postings: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
