@@ -184,18 +184,21 @@ TOOLS = {
 
 
 def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results as turns of a conversation: an assistant's turn is a call, a user's turn is the result of the call before it. Which tool, which
-    calls come before and which arguments are sent follows from the texts and turns; every fourth call waits for the one after it."""
+    """Calls and results as turns of a conversation: an assistant's turn is a call that sends its whole text, a user's turn is the result of the call before it, and a turn of
+    any other role, or none, is a result turn-<role>-<turn>, which no call claims. Which tool and which calls come before follows from the texts and turns;
+    every fourth call waits for the one after it."""
     name_of = F.array(*map(F.lit, [*TOOLS, "unknown"]))
     text = F.coalesce(F.col("text"), F.lit(""))
     pick = F.crc32(text.cast("binary"))
     place = F.floor(F.col("turn") / 2) % 4
     key = lambda t: F.concat(F.lit("call-"), t.cast("string"))
-    arguments: Column = F.to_json(F.struct(F.substring_index(text, " ", 8).alias("query"), F.when(pick % 5 != 0, F.length(text)).alias("limit"), F.when(pick % 3 == 0, F.substring_index(text, " ", 1)).alias("key")))
+    arguments: Column = F.to_json(F.struct(text.alias("query"), F.when(pick % 5 != 0, F.length(text)).alias("limit"), F.when(pick % 3 == 0, F.substring_index(text, " ", 1)).alias("key")))
     arguments = F.when(pick % 50 == 7, F.substring(arguments, F.lit(1), F.length(arguments) - 1)).otherwise(arguments)
     after = F.when(place == 1, F.array(key(F.col("turn") + 2))).when(place == 2, F.array().cast("array<string>")).otherwise(F.array(key(F.col("turn") - 2)))
     calls = conversations.where("role = 'assistant'").select("conv_id", key(F.col("turn")).alias("call_id"), "turn", F.get(name_of, (pick % 4).cast("int")).alias("name"), arguments.alias("arguments"), after.alias("after"))
-    results = conversations.where("role = 'user'").select("conv_id", key(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    role = F.coalesce("role", F.lit(""))
+    answered = F.when(role == "user", key(F.col("turn") - 1)).otherwise(F.concat(F.lit("turn-"), role, F.lit("-"), F.col("turn").cast("string")))
+    results = conversations.where(role != "assistant").select("conv_id", answered.alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
 
 

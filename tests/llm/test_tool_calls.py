@@ -87,3 +87,38 @@ def test_query_on_table(spark):
     assert all(keys == sorted(keys) for keys in order.values())
     assert all(r.message == canonical(json.loads(r.message)) for r in got)
     assert {e.split(": ")[1] for r in got for e in r.errors} >= {"arguments are not JSON", "unknown tool", "missing", "too long"}
+
+
+def _whole(message):
+    """(id, texts) of a message: the arguments' text, also where they are no JSON, and the result."""
+    m = json.loads(message)
+    sent = m.get("arguments")
+    return m["id"], sent["query"] if isinstance(sent, dict) else json.loads(sent + "}")["query"] if sent else None, m["result"]
+
+
+def test_each_turn_is_whole_in_a_message(spark):
+    d = "/root/testdata/sf0.01"
+    sent, answered = defaultdict(list), defaultdict(list)
+    for r in op1_tool_calls(spark, d).collect():
+        i, text, result = _whole(r.message)
+        sent[r.conv_id, i].append(text)
+        answered[r.conv_id, i].append(result)
+    turns = table(spark, d, "conversations").collect()
+    assert len({t.role for t in turns}) == 3
+    for t in turns:
+        if t.role == "assistant":
+            assert t.text in sent[t.conv_id, f"call-{t.turn}"]
+        else:
+            assert t.text in answered[t.conv_id, f"call-{t.turn - 1}" if t.role == "user" else f"turn-{t.role}-{t.turn}"]
+
+
+def test_turns_of_other_roles(spark):
+    long = "one two three four five six seven eight nine ten"
+    turns = [(1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", long), (1, 3, "tool", "t"), (1, 4, None, "n"), (None, 0, "system", None), (1, None, "system", "when")]
+    got = link_calls(*calls_of(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")), TOOLS).collect()
+    assert {(r.conv_id, r.call_id, r.status) for r in got} == {
+        (1, "turn-system-0", "orphan"), (1, "call-0", "orphan"), (1, "call-2", "unanswered"), (1, "turn-tool-3", "orphan"), (1, "turn--4", "orphan"), (None, "turn-system-0", "orphan"), (1, None, "orphan"),
+    }
+    assert len(got) == len(turns)
+    assert _whole(next(r.message for r in got if r.call_id == "call-2"))[1] == long
+    assert {json.loads(r.message)["result"] for r in got if r.status == "orphan"} == {"be kind", "hi", "t", "n", None, "when"}
