@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over `documents`, each one of the operators of quaverlake.llm.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the columns of
-documents; the last returns each document's token ids and digests.
+documents; the last returns each document's token ids and digests with its slot and place in the mixture.
 """
 
 from __future__ import annotations
@@ -41,11 +41,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32-bit integers) and digests, in the order of the rows."""
+    """Token ids (little-endian unsigned 32-bit integers) and digests. The mixture is the order of (slot, place), told anew from the
+    rows, as files that are read again have no order and the columns of documents hold no place."""
     import public_tokenizers
 
-    encoded = encode_decode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
-    return digests(encoded, "doc_id", "lang", "source", "ids")
+    placed = interleave(docs).select("doc_id", "lang", "source", "text", "slot", "place")
+    return digests(encode_decode(placed, public_tokenizers.path("word_bpe_49k.json")), "doc_id", "lang", "source", "slot", "place", "ids")
 
 
 STAGES = [

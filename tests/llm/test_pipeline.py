@@ -1,6 +1,8 @@
 import hashlib
+import math
 import re
 from array import array
+from collections import defaultdict
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -9,6 +11,7 @@ import corpus_pipeline as P
 from quaverlake.llm.shared import cut, table
 
 from .test_minhash import brute
+from .test_pfair import edf
 
 
 def test_stages_against_brute_force(spark):
@@ -58,3 +61,41 @@ def test_null_ids_stay(spark):
     docs = spark.createDataFrame([(None, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(str(r.doc_id) for r in P.near_dedup(spark, docs, "").collect()) == ["1", "2", "None"]
     assert P.mix(spark, docs, "").count() == 4 and P.private(spark, docs, "").count() == 4
+
+
+def mixture(rows):
+    """The ids of (doc_id, source) in the order of the EDF schedule, from the definition."""
+    by = defaultdict(list)
+    for i, source in rows:
+        by["n" if source is None else "s" + source].append(i)
+    names, period = sorted(by), max(1000, 4 * len(by))
+    weight = {n: math.sqrt(len(by[n])) for n in names}
+    exact = {n: weight[n] / sum(weight.values()) * (period - len(names)) for n in names}
+    quota = {n: math.floor(exact[n]) + 1 for n in names}
+    for n in sorted(names, key=lambda n: (math.floor(exact[n]) - exact[n], n))[: period - sum(quota.values())]:
+        quota[n] += 1
+    line = edf([quota[n] for n in names], period)
+    left = {n: sorted(by[n], key=lambda i: hashlib.md5(f"mix-1|{i}".encode()).hexdigest()) for n in names}
+    out, t = [], 0
+    while len(out) < len(rows):
+        n = names[line[t % period]]
+        out += left[n][:32]
+        left[n] = left[n][32:]
+        t += 1
+    return out
+
+
+def test_order_of_the_mixture_reaches_the_last_stage(spark, tmp_path):
+    # Most rows are of one source, which alone would come first in the files.
+    docs = spark.createDataFrame([(i, f"word {i}", "en", "hot" if i < 1500 else "ab"[i % 2] if i % 7 else None, 6) for i in range(2000)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = mixture([(r.doc_id, r.source) for r in docs.collect()])
+    for n in (1, 5):
+        P.tokens(spark, cut(P.mix(spark, docs, "")).repartition(n, "doc_id"), "").write.parquet(f"{tmp_path}/{n}")
+        out = spark.read.parquet(f"{tmp_path}/{n}").collect()
+        assert [r.doc_id for r in sorted(out, key=lambda r: (r.slot, r.place))] == want
+
+
+def test_order_of_run(spark):
+    out = P.run(spark, "/root/testdata/sf0.001").where("doc_id is not null").collect()
+    assert len({(r.slot, r.place) for r in out}) == len(out) > 0
+    assert [r.doc_id for r in sorted(out, key=lambda r: (r.slot, r.place))] == mixture([(r.doc_id, r.source) for r in out])
