@@ -25,6 +25,5 @@ QUERIES = {
 }
 
 SQL = {
-    "op8_rp_forest": op8_rp_forest,
     "op9_pfair": OP9_SQL,
 }
