@@ -82,7 +82,7 @@ def _record(data: bytes, at: int) -> tuple[dict, int, int, int] | str:
     start = _VERSION.match(data, at)
     if not start:
         return "no version line"
-    end = data.find(b"\r\n\r\n", start.end() - 2, start.end() + (1 << 20))
+    end = data.find(b"\r\n\r\n", start.end() - 2)
     if end < 0:
         return "header does not end"
     header, pos = {}, start.end()

@@ -106,3 +106,10 @@ def test_edge_rows(spark, tmp_path):
         write_warc(df, f"file://{tmp_path}/{how}", uri_col=None, min_bytes=5, archive_bytes=1000, compression=how)
         back = read_warc(spark, f"file://{tmp_path}/{how}")
         assert back.where("gap is not null").count() == 0 and back.count() == len(rows) and back.select("path").distinct().count() > 3
+
+
+def test_header_of_any_length():
+    uri = "http://a.example/" + "x" * (3 << 20)
+    long = record(1, b"body").replace(b"Content-Length", f"WARC-Target-URI: {uri}\r\nContent-Length".encode())
+    got = list(read_archive(long + record(2, b"z")))
+    assert [(x[0], x[4]) for x in got] == [("record", b"body"), ("record", b"z")] and got[0][3]["warc-target-uri"] == uri
