@@ -7,8 +7,10 @@ state with an arc u gets an arc w to where v led from s. All arcs of one label l
 kept as a log: for each label, the arcs its state lost and the time of each loss, and the label whose state it took over when it
 was made. An arc of the final automaton is read off that log once and then kept in the transition table.
 
-A word is encoded symbol by symbol. The tokens of a prefix are unique, so a prefix is represented by the last token's state; the next one
-is the token that ends here and whose arc leaves the state of the prefix before it. Decoding emits the arcs' labels.
+A word is encoded byte by byte by table-driven transitions. For that the arcs over labels are determinised over bytes: a state holds the labels that have
+begun and may go on (each with the label before it) and the one label that ends here, which is unique as the labels of a prefix are. A transition is
+worked out from the gadgets on first use and kept in a table that all words share, one row a state, so a word is one pass without a
+step back. Reading the ends backwards gives the labels. Decoding emits the arcs' labels.
 
 Reads tokenizer files of the tokenizers library with a BPE model, an end-of-word suffix, a normaliser of NFC, white space folding and
 lower-casing, a splitting pattern and byte-level symbols; other kinds are refused. Added tokens that stand in a text become their ids, as in that library.
@@ -20,6 +22,7 @@ Defined results: a null text counts as empty and has no tokens and the empty str
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -32,11 +35,16 @@ from pyspark.sql import functions as F
 
 from .shared import table
 
-#: Entries that a worker keeps of words and of transitions; when full, they are dropped and found anew.
-WORDS_KEPT = 500_000
-ARCS_KEPT = 1_000_000
-#: Added to the code of a symbol that ends a word; symbols lie below it.
-FOLD = 0x400
+#: What a worker keeps of pieces (some 200 bytes each), states (some 500 bytes each) and arcs; when full, they are dropped and found anew.
+PIECES_KEPT = 150_000
+STATES_KEPT = 100_000
+ARCS_KEPT = 200_000
+#: Columns of the transition table. Bytes get columns in the order in which they turn up; those that get none are kept aside in a dictionary.
+COLUMNS = 64
+#: Labels below a place up to which a state tells whether the label before it forbids some of them.
+FEW = 24
+#: Marks the last byte of a word.
+END = 0x100
 
 #: Letters that the pattern's engine knows and the library, with the tables of Unicode 16, takes for symbols.
 LATER = regex.compile(
@@ -57,34 +65,53 @@ class Automaton:
     """The compiled merges. `arc(u, t)`: may token t follow token u inside a word?"""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str):
-        self.vocab, self.suffix = vocab, suffix
-        self.left: dict[int, int] = {}
-        self.right: dict[int, int] = {}
-        self.time: dict[int, int] = {}
+        self.suffix = suffix
+        size = max(vocab.values(), default=-1) + 1
+        self.left, self.right, self.time = ([-1] * size for _ in range(3))
         self.lost: dict[int, int] = {}  # (u << 32 | v) -> time at which u's state lost its arc v
-        self.table: dict[int, bool] = {}
-        made = lambda s: vocab[s] in self.time or len(s.removesuffix(suffix) or s) == 1
+        self.arcs: dict[int, bool] = {}
+        made = lambda s: self.time[vocab[s]] >= 0 or len(s.removesuffix(suffix) or s) == 1
         for r, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
-            if w in self.time:
+            if self.time[w] >= 0:
                 raise ValueError(f"two merges make {a + b!r}")
             if not (made(a) and made(b) and self._leaves(u, v, r)):
                 continue  # no arcs of these labels follow each other, so this merge never applies
             self.left[w], self.right[w], self.time[w] = u, v, r
             self.lost[u << 32 | v] = r
-        # Labels by their symbols, the last of a word standing for itself and the suffix: symbol -> (what may follow, token or -1).
-        self.root: dict[str, tuple] = {}
+        # Labels by their bytes, the last of a word standing for itself and the suffix: (place << 9 | byte) -> place.
+        self.spelled: dict[int, int] = {}
+        self.token, self.size = [-1], [0] * size
+        byte_of = {x: i for i, x in enumerate(_byte_symbols())}
         for label, token in vocab.items():
             # Tokens that no merge makes are base symbols of one character, with or without the suffix.
             if made(label):
-                text = self._folded(label.removesuffix(suffix)) if suffix and label.endswith(suffix) and label != suffix else label
-                node = self.root
-                for symbol in text[:-1]:
-                    node = node.setdefault(symbol, ({}, -1))[0]
-                node[text[-1]] = node.get(text[-1], ({},))[0], token
-
-    def _folded(self, word: str) -> str:
-        return word[:-1] + chr(ord(word[-1]) + FOLD) if self.suffix else word
+                ending = suffix != "" and label.endswith(suffix) and label != suffix
+                text = [byte_of[x] for x in (label.removesuffix(suffix) if ending else label)]
+                place = 0
+                for k, x in enumerate(text, 1):
+                    place = self.spelled.setdefault(place << 9 | (x | END if ending and k == len(text) else x), len(self.token))
+                    if place == len(self.token):
+                        self.token.append(-1)
+                self.token[place], self.size[token] = token, len(text)
+        # Labels that go on from a place, where they are few.
+        self.below: list[tuple[int, ...] | None] = [()] * len(self.token)
+        for key, place in reversed(self.spelled.items()):
+            all_of = self.below[key >> 9], self.below[place]
+            few = None if None in all_of else (*all_of[0], *all_of[1], *((self.token[place],) if self.token[place] >= 0 else ()))
+            self.below[key >> 9] = few if few is not None and len(few) <= FEW else None
+        self.last = END if suffix else 0
+        self.forget()
+
+    def forget(self) -> None:
+        """Leaves two states: a row of misses, and the start, at which only the front has begun and no label stands before it."""
+        self.begun: list[tuple[int, ...]] = [(), (0,)]  # place << 32 | 1 + label before, or 0 for none
+        self.ends = [-1, -1]
+        self.known: dict[tuple[int, ...], int] = {(0,): 1}
+        self.rows = array("i", bytes(4 * COLUMNS * 2))  # state and column -> COLUMNS * next state, 0 where not yet known
+        self.aside: dict[int, int] = {}  # (state << 9 | byte) -> next state, for bytes without a column and for the last bytes of words
+        self.column = bytearray([COLUMNS - 1]) * 256
+        self.columns = 0
 
     def _leaves(self, u: int, t: int, now: int) -> bool:
         """Follows the log: u's state inherits the losses of its right part up to the time u was made; a longer label t is missing
@@ -96,65 +123,92 @@ class Automaton:
                 at = self.lost.get(u << 32 | part)
                 if at is not None and at < until and at <= made:
                     return False
-                if part not in self.left:
+                if self.left[part] < 0:
                     break
                 made = min(made, self.time[part])
                 part = self.left[part]
-            if u not in self.right:
+            if self.right[u] < 0:
                 return True
             until = min(until, self.time[u])
             u = self.right[u]
 
     def arc(self, u: int, t: int) -> bool:
         key = u << 32 | t
-        known = self.table.get(key)
+        known = self.arcs.get(key)
         if known is None:
-            if len(self.table) >= ARCS_KEPT:
-                self.table.clear()
-            known = self.table[key] = self._leaves(u, t, 1 << 62)
+            if len(self.arcs) >= ARCS_KEPT:
+                self.arcs.clear()
+            known = self.arcs[key] = self._leaves(u, t, 1 << 62)
         return known
 
-    def encode(self, word: str) -> list[int]:
-        """Tokens of one pre-split word, given as byte-level symbols.
-
-        Walks the automaton along the longest labels that have an arc. A position from which the walk can't end is
-        left for good, as no other tokens lead to it: every position is tried once."""
+    def _step(self, state: int, byte: int) -> int:
+        """The transition: labels that have begun go on by the byte; the one that ends and has an arc from the label before it is the next label."""
+        end, begun = -1, []
+        for x in self.begun[state]:
+            place = self.spelled.get(x >> 32 << 9 | byte)
+            if place is not None:
+                before = x & 0xFFFFFFFF
+                token = self.token[place]
+                if end < 0 <= token and (not before or self.arc(before - 1, token)):
+                    end = token
+                few = self.below[place]
+                if few is None or not before:
+                    begun.append(place << 32 | before)
+                elif few:
+                    # Where all arcs are there, the label before does not matter; where none is, nothing can go on. So paths meet again.
+                    open_ = [self.arc(before - 1, t) for t in few]
+                    if any(open_):
+                        begun.append(place << 32 | (0 if all(open_) else before))
+        if end < 0:
+            raise ValueError(f"no label ends with the byte {byte & 0xFF}")
+        begun.append(end + 1)
+        key = tuple(begun)
+        to = self.known.setdefault(key, len(self.ends))
+        if to == len(self.ends):
+            self.begun.append(key)
+            self.ends.append(end)
+            self.rows.frombytes(bytes(4 * COLUMNS))
+        return to
+
+    def _walk(self, word: bytes, last: int) -> list[int]:
+        """The path of a word with transitions that are not yet in the table; they are put there."""
+        state, path = 1, []
+        for byte in word:
+            to = self.aside.get(state << 9 | byte) if self.column[byte] == COLUMNS - 1 else self.rows[state * COLUMNS + self.column[byte]] // COLUMNS
+            if not to:
+                to = self._step(state, byte)
+                if self.column[byte] == COLUMNS - 1 and self.columns < COLUMNS - 1:
+                    self.column[byte] = self.columns
+                    self.columns += 1
+                if self.column[byte] == COLUMNS - 1:
+                    self.aside[state << 9 | byte] = to
+                else:
+                    self.rows[state * COLUMNS + self.column[byte]] = to * COLUMNS
+            path.append(to * COLUMNS)
+            state = to
+        self.aside[state << 9 | last] = self._step(state, last)
+        return path
+
+    def encode(self, word: bytes) -> list[int]:
+        """Tokens of one pre-split word."""
         if not word:
             return []
-        word, n = self._folded(word), len(word)
-        root, table, arc = self.root, self.table.get, self.arc
-        dead = set()
-        path: list[tuple[int, int, list]] = []  # (position, token before it, labels from it that are still to try)
-        pos, last = 0, -1
-        while pos < n:
-            ways, node, j = [], root, pos
-            for symbol in word[pos:]:
-                found = node.get(symbol)
-                if found is None:
-                    break
-                node, token = found
-                j += 1
-                if token >= 0:
-                    ways.append((j, token))
-            while True:
-                while ways:
-                    j, token = ways.pop()
-                    if j not in dead:
-                        ok = last < 0 or table(last << 32 | token)
-                        if ok is None:
-                            ok = arc(last, token)
-                        if ok:
-                            break
-                else:
-                    if not path:
-                        raise ValueError(f"no tokens for {word!r}")
-                    dead.add(pos)
-                    pos, last, ways = path.pop()
-                    continue
-                break
-            path.append((pos, last, ways))
-            pos, last = j, token
-        return [t for _, t, _ in path[1:]] + [last]
+        front, last, rows, state = word[:-1], word[-1] | self.last, self.rows, COLUMNS
+        path = [state := rows[state + c] for c in front.translate(self.column)]
+        end = self.aside.get(state // COLUMNS << 9 | last) if state else None
+        if end is None:
+            if len(self.ends) >= STATES_KEPT:
+                self.forget()
+            path = self._walk(front, last)
+            end = self.aside[(path[-1] if path else COLUMNS) // COLUMNS << 9 | last]
+        token = self.ends[end]
+        out, i, ends, size = [token], len(word) - self.size[token], self.ends, self.size
+        while i:
+            token = ends[path[i - 1] // COLUMNS]
+            out.append(token)
+            i -= size[token]
+        out.reverse()
+        return out
 
 
 def _byte_symbols() -> list[str]:
@@ -196,32 +250,32 @@ class Codec:
         self.added = {x["content"]: x["id"] for x in c["added_tokens"]}
         self.labels = {i: s for s, i in (model["vocab"] | self.added).items()}
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.words = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"])
-        self.symbols = str.maketrans(dict(enumerate(_byte_symbols())))
-        self.words_known, self.chunks_known = Recent(WORDS_KEPT), Recent(WORDS_KEPT)
+        pattern = pre["pretokenizers"][0]["pattern"]["Regex"]
+        self.words = regex.compile(pattern)
+        # The same pattern for ASCII, where the faster engine can tell letters and numbers.
+        self.ascii_words = re.compile(pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9"), re.ASCII)
+        self.pieces = Recent(PIECES_KEPT)
 
     def _word(self, word: str) -> bytes:
-        known = self.words_known.get(word)
-        if known is None:
-            known = array("I", self.dfa.encode(word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.symbols))).tobytes()
-            if len(word) <= 64:
-                self.words_known.put(word, known)
-        return known
+        return array("I", self.dfa.encode(word.encode())).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         """A piece without white space; neither normalising nor splitting looks beyond it."""
         if chunk.isascii():
-            low = shown = chunk.lower()
-        else:
-            # Lower-casing is by character, without the final form of sigma.
-            low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower().translate(LATER_CAPITALS)
+            low = chunk.lower()
+            return self._word(low) if low.isalpha() else b"".join(map(self._word, self.ascii_words.findall(low)))
+        # Lower-casing is by character, without the final form of sigma.
+        low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        shown = low
+        if max(low) >= "\u0558":
+            low = low.translate(LATER_CAPITALS)
             shown = LATER.sub("\ue000", low)
         if shown.isalpha():
             return self._word(low)
         return b"".join([self._word(low[x.start() : x.end()]) for x in self.words.finditer(shown)])
 
     def _plain(self, text: str) -> bytes:
-        known, out = self.chunks_known, []
+        known, out = self.pieces, []
         get = known.young.get
         for x in text.split():
             got = get(x)
