@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, cut, table
+from .shared import components, cut, table, uncut
 from .words import LOWER, mix, slices, windows, word_hashes
 
 SHINGLE = 5
@@ -227,6 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = int(near / of * k - 6 * (k * near / of * (1 - near / of)) ** 0.5)  # six standard deviations below what the threshold makes likely
     late = _rest(crowd, held, first, shingle, near, of, least)
     final = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
+    uncut(crowd, held, first)
 
     reached = member.join(final.withColumnRenamed("node", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     out = signed.select("id", "n").join(reached, "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -29,7 +29,16 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def uncut(*tables: DataFrame) -> None:
+    """Deletes tables that `cut` wrote and that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +64,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # Small star: link every smaller neighbour, and the node, to the smallest of them.
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v")))
-        e = cut(small.where("u <> v").distinct())
+        before, e = e, cut(small.where("u <> v").distinct())
+        uncut(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            out._cut_at = e._cut_at
+            return out
         state = tuple(now)
