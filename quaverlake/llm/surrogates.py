@@ -1,21 +1,22 @@
 """Surrogates for personal data: every detected entity gets a keyed replacement of its own type.
 
 Entities are e-mail addresses, phone numbers, payment card numbers, social security numbers, IPv4 addresses, secrets (long hex strings and common key
-forms) and names after a title. A replacement depends on a secret key, the type and the entity's canonical form, so that an
+forms) and names after a title, with the later and earlier bare mentions of these names in the same text. A replacement depends on a secret key, the type and the entity's canonical form, so that an
 entity has the same surrogate wherever and however it is written (coreference). Surrogates keep the format: length, punctuation,
 letter case, the script of letters, a phone's country code, an address's top-level domain and shared domains, the digits of an octet within 0-255, a card's first
 digit and whether its check digit holds. Names keep the title, its gender, the script and the number of parts; a surname alone and with a given name
-has the same surrogate.
+has the same surrogate. Latin, Cyrillic and Greek have lists of given names by gender; names of other scripts get letters of their own script, which say no gender.
 
-Collision checks. Two entities of a type never share a surrogate and no surrogate is an entity of the corpus: losers are keyed anew
+Collision checks. Two entities of a type never share a surrogate, no surrogate is an entity of the corpus and none contains its original: losers are keyed anew
 with the next attempt until none is left. Where a format is too small for that, surrogates may after `STRICT` attempts be other entities, and after
 `ATTEMPTS` get further characters.
 
-Everything is DataFrame functions. Only texts with entities are shuffled, and distinct entities are what is compared; a hot entity is reduced
-before the shuffle.
+Everything is DataFrame functions. The patterns read each text once; what they find is staged. Only texts with entities are shuffled, and distinct entities are what is compared; a hot entity is reduced
+before the shuffle, and copies of one text meet what replaces their entities in `SALTS` groups.
 
-Defined results: a null or empty text has no entities and stays as it is. Rows, their repeats and all other columns are kept; `n_entities` is added.
-An empty table gives an empty result.
+Defined results: a null or empty text has no entities and stays as it is. Rows, their repeats and all other columns, whatever their names, are kept; `n_entities` (what the patterns find, without
+bare mentions) is added and replaces a column of that name. A bare mention is a whole word, written as in the name, in capitals or with a capital first letter; of a script without spaces, the name of two letters or more anywhere. A word that
+stands in several names of a text goes with the first. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,28 +24,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, table
+from .shared import cut, table, uncut
 
 KEY = "surrogates-1"
 STRICT, ATTEMPTS = 6, 12
+#: Groups that the copies of one text are dealt into.
+SALTS = 64
 
 #: Titles by gender.
-TITLES = {"m": ["Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин"], "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа"], "n": ["Dr", "Prof"]}
+TITLES = {"m": ["Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин", "Κύριος"], "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа", "Κυρία"], "n": ["Dr", "Prof"]}
 #: Given names by script and gender, and syllables of surnames.
 GIVEN = {
     "Latin": {"m": ["Adam", "Bruno", "Carlo", "David", "Emil", "Felix", "Jonas", "Oscar"], "f": ["Alma", "Bella", "Clara", "Diana", "Elena", "Flora", "Irene", "Paula"], "n": ["Alex", "Kim", "Robin", "Sascha", "Noel", "Jules", "Quinn", "Toni"]},
     "Cyrillic": {"m": ["Антон", "Борис", "Виктор", "Денис", "Иван", "Максим", "Олег", "Павел"], "f": ["Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Ольга", "София"], "n": ["Саша", "Женя", "Валя", "Слава"]},
+    "Greek": {"m": ["Νίκος", "Πέτρος", "Κώστας", "Γιώργος"], "f": ["Μαρία", "Ελένη", "Σοφία", "Ειρήνη"], "n": ["Αλέξης", "Φώτης"]},
 }
-SYLLABLES = {"Latin": ["ba", "den", "fo", "gar", "hol", "kin", "lan", "mer", "nor", "pel", "ros", "sen", "tal", "ver", "wil", "zan"], "Cyrillic": ["ба", "ден", "фо", "гар", "хол", "кин", "лан", "мер", "нор", "пел", "рос", "сен", "тал", "вер", "вил", "зан"]}
-#: Letters that a letter of the same script is replaced from.
-ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïñòóôõöøùúûüýþß", "абвгдежзиклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
+SYLLABLES = {
+    "Latin": ["ba", "den", "fo", "gar", "hol", "kin", "lan", "mer", "nor", "pel", "ros", "sen", "tal", "ver", "wil", "zan"], "Cyrillic": ["ба", "ден", "фо", "гар", "хол", "кин", "лан", "мер", "нор", "пел", "рос", "сен", "тал", "вер", "вил", "зан"],
+    "Greek": ["βα", "δεν", "φο", "γαρ", "χολ", "κιν", "λαν", "μερ", "νορ", "πελ", "ροσ", "σεν", "ταλ", "βερ", "βιλ", "ζαν"],
+}
+LATIN = "abcdefghijklmnopqrstuvwxyz"
+#: Ranges of scripts, and the range that a character of each is replaced from. Characters of other scripts become basic Latin letters.
+SCRIPTS = [
+    ("ª", "ɏ", "ß", "ſ"), ("Ḁ", "ỿ", "ḁ", "ẕ"), ("Ͱ", "Ͽ", "α", "ω"), ("ἀ", "῿", "α", "ω"), ("Ѐ", "ԯ", "а", "џ"), ("԰", "֏", "ա", "ֆ"),
+    ("֐", "׿", "א", "ת"), ("؀", "ݿ", "ب", "ي"), ("ऀ", "ॿ", "क", "ह"), ("ঀ", "৿", "ক", "হ"), ("஀", "௿", "க", "ஹ"), ("฀", "๿", "ก", "ฮ"), ("Ⴀ", "ჿ", "ა", "ჰ"),
+    ("぀", "ゟ", "あ", "ん"), ("゠", "ヿ", "ア", "ン"), ("㐀", "鿿", "一", "仾"), ("가", "힯", "가", "곾"),
+]
+
+
+def _pool(first: str, last: str) -> str:
+    """The small or caseless letters of a range."""
+    return "".join(c for c in map(chr, range(ord(first), ord(last) + 1)) if c.isalpha() and c == c.lower() and len(c.upper()) == 1)
+
 
 _TITLE = "(?:" + "|".join(x for xs in TITLES.values() for x in xs) + r")\.?"
-_WORD = r"[\p{L}\p{N}_.%+-]"
+_WORD = r"[\p{L}\p{M}\p{N}_.%+-]"
+_LABEL = r"[\p{L}\p{M}\p{N}-]++"
+_PART = r"(?:\p{Lu}[\p{L}\p{M}'’-]{1,40}|\p{Lo}[\p{Lo}\p{M}]{0,40})"
+#: No letter or digit stands next to it.
+_BARE = r"[\p{L}\p{M}\p{N}]"
 PATTERNS = {
-    "name": rf"(?<!\p{{L}}){_TITLE} {{1,3}}\p{{Lu}}[\p{{L}}'-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'-]{{1,40}})?",
-    "email": rf"(?<!{_WORD}){_WORD}{{1,80}}+@[\p{{L}}\p{{N}}-]{{1,63}}(?:\.[\p{{L}}\p{{N}}-]{{1,63}}){{1,6}}",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-fA-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xoxb)[-_][A-Za-z0-9]{16,64})(?![\p{L}\p{N}])",
+    "name": rf"(?<!\p{{L}}){_TITLE} {{1,3}}{_PART}(?: {_PART})?",
+    "email": rf"(?<!{_WORD}){_WORD}++@{_LABEL}(?:\.{_LABEL}){{1,126}}+",
+    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-fA-F]{32,}+|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xoxb)[-_][A-Za-z0-9]{16,}+)(?![\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}])\+\d{1,3}(?:[ .-]?\(\d{1,4}\)|[ .-]?\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\p{L}\p{N}])\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\p{L}\p{N}.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d.-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -52,7 +74,7 @@ PATTERNS = {
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without these has no entity.
-HINT = rf"[0-9@]|{_TITLE} |AKIA|ASIA|[0-9a-fA-F]{{32}}"
+HINT = rf"[0-9@]|{_TITLE} |AKIA|ASIA|(?:sk|pk|ghp|gho|xoxb)[-_][A-Za-z0-9]{{16}}|[0-9a-fA-F]{{32}}"
 
 
 def _kind(e: Column) -> Column:
@@ -62,24 +84,21 @@ def _kind(e: Column) -> Column:
     return out
 
 
-def _lower(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ALPHABETS[0])
-
-
 def _digits(c: Column) -> Column:
     return F.regexp_replace(c, r"[^0-9]", "")
 
 
 def _units(e: Column, kind: Column) -> Column:
-    """The parts of an entity that get surrogates of their own, as (kind, form): a name has a surname and perhaps a given name, all else is one part."""
+    """The parts of an entity that get surrogates of their own, as (kind, form, word of a name): a name has a surname and perhaps a given name, all else is one part."""
     words = F.split(F.regexp_replace(e, rf"^{_TITLE} +", ""), " ")
     gender = F.when(e.rlike(rf"^(?:{'|'.join(TITLES['m'])})\.? "), "m").when(e.rlike(rf"^(?:{'|'.join(TITLES['f'])})\.? "), "f").otherwise("n")
-    script = F.when(e.rlike(r"[Ѐ-ӿ][^ ]*$"), "Cyrillic").otherwise("Latin")
-    unit = lambda k, form: F.struct(k.alias("kind"), form.alias("form"))
-    surname = unit(F.concat(F.lit("surname."), script), F.lower(F.element_at(words, -1)))
-    given = unit(F.concat(F.lit("given."), script, F.lit("."), gender), F.lower(words[0]))
-    form = F.when(kind.isin("card", "ssn"), _digits(e)).when(kind == "phone", F.concat(F.when(e.startswith("+"), "+").otherwise(""), _digits(e))).otherwise(_lower(e))
-    return F.when(kind == "name", F.when(F.size(words) > 1, F.array(given, surname)).otherwise(F.array(surname))).otherwise(F.array(unit(kind, form)))
+    first = F.substring(F.element_at(words, -1), 1, 1)
+    script = F.when(first.rlike(r"\p{IsLatin}"), "Latin").when(first.rlike(r"\p{IsCyrillic}"), "Cyrillic").when(first.rlike(r"\p{IsGreek}"), "Greek").otherwise("Other")
+    unit = lambda k, form, word: F.struct(k.alias("kind"), form.alias("form"), word.alias("word"))
+    surname = unit(F.concat(F.lit("surname."), script), F.lower(F.element_at(words, -1)), F.element_at(words, -1))
+    given = unit(F.concat(F.lit("given."), script, F.lit("."), gender), F.lower(words[0]), words[0])
+    form = F.when(kind.isin("card", "ssn"), _digits(e)).when(kind == "phone", F.concat(F.when(e.startswith("+"), "+").otherwise(""), _digits(e))).otherwise(F.lower(e))
+    return F.when(kind == "name", F.when(F.size(words) > 1, F.array(given, surname)).otherwise(F.array(surname))).otherwise(F.array(unit(kind, form, F.lit(None).cast("string"))))
 
 
 def _byte(stream: Column, i: Column) -> Column:
@@ -96,17 +115,15 @@ def _stream(key: str, *parts: Column) -> Column:
     return F.concat(F.sha2(F.concat(seed, F.lit("|0")), 512), F.sha2(F.concat(seed, F.lit("|1")), 512))
 
 
-def _alike(text: Column, stream: Column, hexadecimal: Column | None = None) -> Column:
-    """Each letter by one of its script, each digit by a digit."""
+def _alike(text: Column, stream: Column, hexadecimal: Column, base: Column, base_at: Column) -> Column:
+    """Each letter by one of its script, each digit by a digit; ASCII punctuation stays. From `base_at` on the bytes are those of `base`."""
 
     def one(c: Column, i: Column) -> Column:
-        b = _byte(stream, i)
-        out = F.when(c.between("0", "9"), _pick("0123456789", b))
-        for alphabet in ALPHABETS:
-            out = out.when(F.instr(F.lit(alphabet), c) > 0, _pick(alphabet, b))
-        if hexadecimal is not None:
-            return F.when(hexadecimal, _pick("0123456789abcdef", b)).otherwise(out.otherwise(c))
-        return out.otherwise(c)
+        b = F.when(i < base_at, _byte(stream, i)).otherwise(_byte(base, i - base_at))
+        out = F.when(hexadecimal, _pick("0123456789abcdef", b)).when(c.between("0", "9"), _pick("0123456789", b)).when(c.between("a", "z"), _pick(LATIN, b)).when(c <= "\x7f", c)
+        for low, high, first, last in SCRIPTS:
+            out = out.when(c.between(low, high), _pick(_pool(first, last), b))
+        return out.otherwise(_pick(LATIN, b))
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
@@ -118,21 +135,24 @@ def _luhn(digits: Column) -> Column:
 
 def _surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
     stream = _stream(key, kind, form, attempt.cast("string"))
-    local, domain = F.substring_index(form, "@", 1), F.substring_index(form, "@", -1)
+    domain = F.substring_index(form, "@", -1)
     top = F.element_at(F.split(domain, r"\."), -1)
-    base = F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
-    email = F.concat(_alike(local, stream), F.lit("@"), _alike(base, _stream(key, F.lit("domain"), domain)), F.lit("."), top)
-    secret = _alike(form, stream, form.rlike("^[0-9a-f]+$"))
+    is_email = kind == "email"
+    local_size = F.when(is_email, F.length(form) - F.length(domain)).otherwise(1 << 30)  # with the @
+    body = F.when(is_email, F.substring(form, F.lit(1), F.length(form) - F.length(top) - 1)).otherwise(form)
+    alike = _alike(body, stream, F.coalesce((kind == "secret") & form.rlike("^[0-9a-f]+$"), F.lit(False)), _stream(key, F.lit("domain"), domain), local_size)
+    name_of = F.translate(F.substring(stream, 129, 12), "0123456789", "ghijklmnop")
+    # A local part of marks alone has nothing to vary, so it gets letters after all attempts.
+    email = F.when(attempt < ATTEMPTS, F.concat(alike, F.lit("."), top)).otherwise(F.concat(name_of, F.substring(alike, local_size, F.length(alike)), F.lit("."), top))
     # The country code is one digit in North America and Russia, else two.
     code = F.when(form.rlike(r"^\+[17]"), 2).when(form.startswith("+"), 3).otherwise(0)
     phone = F.array_join(F.transform(F.split(form, ""), lambda c, i: F.when(i < code, c).when(i == code, _pick("23456789", _byte(stream, i))).otherwise(_pick("0123456789", _byte(stream, i)))), "")
     octet = lambda o, i: F.when(F.length(o) == 1, _byte(stream, i) % 10).when(F.length(o) == 2, 10 + _byte(stream, i) % 90).otherwise(100 + _byte(stream, i) % 156).cast("string")
     ip = F.array_join(F.transform(F.split(form, r"\."), octet), ".")
-    body = F.concat(F.substring(form, 1, 1), F.substring(_alike(form, stream), F.lit(2), F.length(form) - 2))
+    body = F.concat(F.substring(form, 1, 1), F.substring(alike, F.lit(2), F.length(form) - 2))
     check = (10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10
     card = F.concat(body, F.when(_luhn(form) % 10 == 0, check).otherwise((check + 1 + _byte(stream, F.lit(100)) % 9) % 10).cast("string"))
-    ssn = _alike(form, stream)
-    out = F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "card", card).when(kind == "ssn", ssn)
+    out = F.when(kind == "email", email).when(kind == "secret", alike).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "card", card).when(kind.isin("ssn", "surname.Other") | kind.startswith("given.Other"), alike)
     for script, syllables in SYLLABLES.items():
         part = lambda i, s=syllables: F.array(*map(F.lit, s))[_byte(stream, F.lit(i)) % len(s)]
         out = out.when(kind == f"surname.{script}", F.concat(part(0), part(1), F.when(attempt > 0, part(2)).otherwise(""), F.when(attempt > 1, part(3)).otherwise(""), F.when(attempt > 2, part(4)).otherwise("")))
@@ -141,27 +161,31 @@ def _surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
             # When all names of a list are in use, a second one is joined to them.
             more = F.lower(F.array(*map(F.lit, names))[_byte(stream, F.lit(1)) % len(names)])
             out = out.when(kind == f"given.{script}.{gender}", F.when(attempt > 1, F.concat(name, F.lit("-"), more, F.when(attempt > 3, F.concat(F.lit("-"), F.array(*map(F.lit, syllables))[_byte(stream, F.lit(2)) % len(syllables)])).otherwise(""))).otherwise(name))
-    longer = F.when(attempt >= ATTEMPTS, F.when(kind.isin("phone", "card", "ssn", "ip"), F.translate(F.substring(stream, 129, 12), "abcdef", "012345")).otherwise(F.translate(F.substring(stream, 129, 12), "0123456789", "ghijklmnop"))).otherwise("")
-    return F.when(kind == "email", F.concat(longer, out)).otherwise(F.concat(out, longer))
+    longer = F.when((attempt < ATTEMPTS) | is_email, "").when(kind.isin("phone", "card", "ssn", "ip"), F.translate(F.substring(stream, 129, 12), "abcdef", "012345")).otherwise(name_of)
+    return F.concat(out, longer)
 
 
 def assign(units: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, form, surrogate) for distinct (kind, form), after the collision checks."""
-    originals = cut(units.select("kind", "form").distinct())
-    done, todo, attempt = None, originals.withColumn("attempt", F.lit(0)), 0
+    """(kind, form, surrogate) for distinct (kind, form), after the collision checks. All parts of names are of one type."""
+    kind_of = F.when(F.col("kind").rlike("^(given|surname)"), "name").otherwise(F.col("kind"))
+    originals = cut(units.select("kind", "form").distinct().withColumn("type", kind_of))
+    done, todo, attempt = None, originals, 0
     while True:
-        tried = todo.select("kind", "form", _surrogate(F.col("kind"), F.col("form"), F.lit(attempt), key).alias("surrogate"))
+        tried = todo.select("type", "kind", "form", _surrogate(F.col("kind"), F.col("form"), F.lit(attempt), key).alias("surrogate")).where(~F.contains("surrogate", "form"))
         # Of those that chose the same surrogate the first form keeps it, unless an earlier round gave it away.
-        first = tried.groupBy("kind", "surrogate").agg(F.min("form").alias("winner"))
+        first = tried.groupBy("type", "surrogate").agg(F.min(F.struct("form", "kind")).alias("winner"))
         if attempt < STRICT:
-            first = first.join(originals.withColumnRenamed("form", "surrogate"), ["kind", "surrogate"], "left_anti")
+            first = first.join(originals.select("type", F.col("form").alias("surrogate")), ["type", "surrogate"], "left_anti")
         if done is not None:
-            first = first.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        won = first.where("winner <> surrogate").select("kind", F.col("winner").alias("form"), "surrogate")
+            first = first.join(done.select("type", "surrogate"), ["type", "surrogate"], "left_anti")
+        won = first.select("type", "winner.kind", "winner.form", "surrogate")
+        before = [x for x in (done, todo) if x is not None and x is not originals]
         done = cut(won if done is None else done.unionByName(won))
         todo = cut(originals.join(done, ["kind", "form"], "left_anti"))
+        uncut(*before)
         if todo.isEmpty():
-            return done
+            uncut(todo, originals)
+            return done.select("kind", "form", "surrogate")
         attempt += 1
 
 
@@ -174,30 +198,64 @@ def _poured(e: Column, kind: Column, parts: Column) -> Column:
         lambda s, c: F.when(c.between("0", "9"), F.struct(F.concat(s["out"], F.substring(s["rest"], 1, 1)).alias("out"), F.substring(s["rest"], 2, 100).alias("rest"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["rest"].alias("rest"))),
         lambda s: F.concat(s["out"], s["rest"]),
     )
-    cased = F.array_join(F.transform(F.split(one, ""), lambda c, i: F.when(F.substring(e, i + 1, F.lit(1)).between("A", "Z"), F.upper(c)).otherwise(c)), "")
+    cased = F.array_join(F.transform(F.split(one, ""), lambda c, i: F.when(F.substring(e, i + 1, F.lit(1)) != F.lower(F.substring(e, i + 1, F.lit(1))), F.upper(c)).otherwise(c)), "")
     title = F.regexp_extract(e, rf"^{_TITLE} +", 0)
     names = F.array_join(F.transform(parts, lambda p: F.initcap(p)), " ")
     return F.when(kind == "name", F.concat(title, F.when(F.upper(e) == e, F.upper(names)).otherwise(names))).when(kind.isin("phone", "card", "ssn"), by_digit).when(kind.isin("email", "secret") & (F.length(one) == F.length(e)), cased).otherwise(one)
 
 
+def _marked(text: Column, pattern: Column, mark: Column) -> Column:
+    """The text cut at the matches: what lies between them and the matches by turns."""
+    return F.split(F.regexp_replace(text, pattern, F.concat(mark, F.lit("$0"), mark)), mark, -1)
+
+
+def _mentions(text: Column, names: Column, mark: Column) -> Column:
+    """The text with surrogates for bare mentions. names: (word, surrogate), none twice."""
+    forms = F.array_distinct(F.flatten(F.transform(names, lambda x: F.array(x["word"], F.upper(x["word"]), F.initcap(F.lower(x["word"]))))))
+    longest = lambda words: F.array_join(F.array_sort(words, lambda a, b: F.length(b) - F.length(a)), "|")
+    spaced = F.filter(forms, lambda w: ~w.rlike(r"^\p{Lo}") & (F.length(w) > 1))
+    joined = F.filter(forms, lambda w: w.rlike(r"^\p{Lo}") & (F.length(w) > 1))
+    with_case = F.when(F.size(spaced) > 0, F.concat(F.lit(rf"(?<!{_BARE})(?:"), longest(spaced), F.lit(rf")(?!{_BARE})")))
+    caseless = F.when(F.size(joined) > 0, longest(joined))
+    by_form = F.map_from_entries(F.transform(names, lambda x: F.struct(F.lower(x["word"]), x["surrogate"])))
+
+    def told(word: Column) -> Column:
+        new = F.element_at(by_form, F.lower(word))
+        return F.coalesce(F.when(F.upper(word) == word, F.upper(new)).otherwise(F.initcap(new)), word)
+
+    pieces = _marked(text, F.concat_ws("|", with_case, caseless), mark)
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, told(p)).otherwise(p)), "")
+
+
 def replace_entities(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
     docs = docs.drop("n_entities")
-    text = F.col(text_col)
-    some = F.coalesce(text.rlike(HINT) & text.rlike(ENTITY), F.lit(False))
+    text = F.col(f"row.{text_col}")
+    # A mark that the text does not hold.
+    mark = F.when(F.contains(text, F.lit("\x01")), F.concat(F.lit("\x01"), F.sha2(text, 256))).otherwise("\x01")
+    # The row is one column, so that no column of the input clashes with those made here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.withColumn("pieces", F.when(text.rlike(HINT), _marked(text, F.lit(ENTITY), mark))).withColumn("pieces", F.when(F.size("pieces") > 1, F.col("pieces")))
     # What replaces a text's entities depends on the text alone, so it is made once for equal texts.
-    with_some = docs.where(some).withColumn("_key", F.sha2(text, 256))
-    found = with_some.select("_key", F.regexp_extract_all(text, F.lit(ENTITY), 0).alias("all")).dropDuplicates(["_key"])
-    each = found.select("_key", F.posexplode("all").alias("at", "entity")).withColumn("kind", _kind(F.col("entity")))
+    staged = cut(rows.withColumns({"key": F.when(F.col("pieces").isNotNull(), F.sha2(text, 256)), "salt": F.monotonically_increasing_id() % SALTS}))
+    with_some = staged.where("pieces is not null")
+    found = with_some.select("key", F.filter("pieces", lambda p, i: i % 2 == 1).alias("all")).dropDuplicates(["key"])
+    each = found.select("key", F.posexplode("all").alias("at", "entity")).withColumn("kind", _kind(F.col("entity")))
     each = cut(each.withColumn("units", _units(F.col("entity"), F.col("kind"))))
-    units = each.select("_key", "at", "entity", F.col("kind").alias("whole"), F.posexplode("units").alias("n", "u")).select("_key", "at", "entity", "whole", "n", "u.*")
+    units = each.select("key", "at", "entity", F.col("kind").alias("whole"), F.posexplode("units").alias("n", "u")).select("key", "at", "entity", "whole", "n", "u.*")
     named = units.join(assign(units, key), ["kind", "form"])
-    entities = named.groupBy("_key", "at", "entity", "whole").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "surrogate"))), lambda x: x["surrogate"]).alias("parts"))
-    new = entities.select("_key", "at", _poured(F.col("entity"), F.col("whole"), F.col("parts")).alias("new"))
-    new = new.groupBy("_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("_new"))
-    pieces = F.split(text, ENTITY, -1)
-    changed = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get("_new", i), F.lit("")))), "")
-    replaced = with_some.join(new, "_key").withColumns({"n_entities": F.size("_new"), text_col: changed}).drop("_key", "_new")
-    return docs.where(~some).withColumn("n_entities", F.lit(0)).unionByName(replaced)
+    entities = named.groupBy("key", "at", "entity", "whole").agg(F.array_sort(F.collect_list(F.struct("n", "surrogate", "word"))).alias("parts"))
+    new = entities.select("key", "at", _poured(F.col("entity"), F.col("whole"), F.transform("parts", lambda x: x["surrogate"])).alias("new"), F.filter("parts", lambda x: x["word"].isNotNull()).alias("names"))
+    new = new.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "new", "names"))).alias("all"))
+    names = F.flatten(F.transform("all", lambda x: x["names"]))
+    first_of = lambda x, i: F.array_position(F.transform("names", lambda y: F.lower(y["word"])), F.lower(x["word"])) == i + 1
+    new = new.select("key", F.transform("all", lambda x: x["new"]).alias("new"), names.alias("names")).withColumn("names", F.filter("names", first_of))
+    # Copies of a text are many rows of one key: each of their groups gets its own row of what is new.
+    spread = with_some.select("key", "salt").distinct().join(new, "key")
+    joined = with_some.join(spread, ["key", "salt"])
+    plain = lambda p: F.when(F.size("names") > 0, _mentions(p, F.col("names"), mark)).otherwise(p)
+    changed = F.array_join(F.transform("pieces", lambda p, i: F.when(i % 2 == 1, F.get("new", (i / 2).cast("int"))).otherwise(plain(p))), "")
+    replaced = joined.select(F.col("row").withField(f"`{text_col}`", changed).alias("row"), F.size("new").alias("n_entities"))
+    return staged.where("pieces is null").select("row", F.lit(0).alias("n_entities")).unionByName(replaced).select("row.*", "n_entities")
 
 
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

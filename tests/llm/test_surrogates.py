@@ -1,4 +1,6 @@
+import random
 import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -44,6 +46,58 @@ def test_formats_and_coreference(spark):
     assert run(spark, key="other")[1].text != t[1] and run(spark)[1].text == t[1]
 
 
+HARD = {
+    "mail 田中@例え.jp now": r"mail (\w{2})@(\w{2}ぽ?)\.jp now",
+    "to пётр.ёлкин@почта.рф": r"to ([а-џ]{4})\.([а-џ]{5})@[а-џ]{5}\.рф",
+    "to łukasz.żak@poczta.pl": r"to [a-zß-ſ]{6}\.[a-zß-ſ]{3}@[a-z]{6}\.pl",
+    "Mr Παπαδόπουλος came": r"Mr [Ͱ-Ͽ]{3,} came",
+    "Dr 王小明 spoke. 王小明说": r"Dr ([一-鿿]{3}) spoke\. (?=\1)[一-鿿]{3}说",
+    "Mr. John Smith met her. Smith left. John stayed. SMITH, Smithson.": r"Mr\. (\w+) (\w+) met her\. \2 left\. \1 stayed\. [A-Z]+, Smithson\.",
+    "Smith \x01 said Mr. Tom Smith\x01": r"(\w+) \x01 said Mr\. \w+ \1\x01",
+    "key sk-abcdefghijklmnopqrst and " + "ab" * 200: r"key [a-z]{2}-[a-z]{20} and [0-9a-f]{400}",
+    "x" * 300 + "@host.example.com": r"[a-z]{300}@[a-z]{4}\.[a-z]{7}\.com",
+    "%_@-.jp": r"[a-p]{12}@-\.jp",
+}
+LEFT = ["田中", "例え", "ё", "ł", "ż", "Παπ", "王", "小明", "John", "Smith ", "SMITH", "Smith.", "Tom", "abcdefgh", "ababab", "xxx", "%_@"]
+
+
+def test_every_script_and_bare_mentions(spark):
+    """No original stands in what replaces it, and columns may have any name."""
+    df = spark.createDataFrame(list(enumerate(HARD)), "_key int, text string").selectExpr("_key", "text", "1 _new", "2 row", "3 pieces", "4 salt", "5 key", "6 names")
+    got = replace_entities(df).orderBy("_key").collect()
+    assert got[0].asDict().keys() == {*df.columns, "n_entities"} and [r[2:8] for r in got] == [(1, 2, 3, 4, 5, 6)] * len(HARD)
+    for r, (before, want) in zip(got, HARD.items(), strict=True):
+        assert re.fullmatch(want, r.text), r.text
+        assert not [x for x in LEFT if x in before and x in r.text], r.text
+
+
+def test_against_planted_entities(spark):
+    """Brute force over planted texts: the same surrogate for an entity everywhere, never the same for two, and no original left."""
+    rng = random.Random(3)
+    letters = ["abcdefghijklmnopqrstuvwxyz", "àéîõüßłżőş", "абвгдёжзійїљџ", "αβγδεζηθά", "אבגדהוז", "ابتثجح", "अआकखग", "가나다라마", "ひらがな", "漢字仮名"]
+    word = lambda a, n: "".join(rng.choices(a, k=n))
+    mails = list({f"{word(a, 5)}.{word(a, 6)}@{word(b, 7)}.org" for a in letters for b in letters for _ in range(2)})
+    phones = list({f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}" for _ in range(80)})
+    names = list({f"{word(a, 6).capitalize()}" for a in letters for _ in range(8)})
+    texts, parts = [], []
+    for i in range(600):
+        m, p, n = rng.choice(mails), rng.choice(phones), rng.choice(names)
+        parts.append((m, p, n))
+        texts.append(f"doc {i} | {m} | {p} | Mrs {n} | {n} |")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(5)
+    told: dict[str, set] = {}
+    for r in replace_entities(df).collect():
+        _, mail, phone, titled, bare, _ = r.text.split(" | ") if r.text.count(" | ") == 5 else [*r.text.removesuffix(" |").split(" | "), ""]
+        assert titled == f"Mrs {bare}", r.text
+        for original, new in zip(parts[r.doc_id], (mail, phone, bare), strict=True):
+            told.setdefault(original, set()).add(new)
+            assert original not in r.text
+            scripts = lambda x: {unicodedata.name(c).split()[0] for c in x if c.isalpha()}
+            assert scripts(new) <= scripts(original) | {"HIRAGANA", "CJK"}, (original, new)
+    assert all(len(x) == 1 for x in told.values())
+    assert len({next(iter(x)) for x in told.values()}) == len(told)
+
+
 def test_distinct_where_the_format_is_small(spark):
     forms = [("ip", f"{a}.{b}.1.1") for a in range(10) for b in range(10)] + [("given.Latin.m", f"n{i}") for i in range(300)] + [("surname.Latin", f"s{i}") for i in range(500)] + [("ssn", "000000000")]
     got = assign(spark.createDataFrame(forms * 2, "kind string, form string")).collect()
