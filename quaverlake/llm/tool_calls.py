@@ -2,13 +2,13 @@
 
 Calls and results are joined by (conversation, call id). A call may name calls that it comes after. The order is topological
 and as near to the turns as that allows: a call's key is the larger of (its turn, 0) and, over the calls before it, (their turn, their
-depth + 1). Where all of these stand in earlier turns, which is the rule, the first look at the edges changes nothing; else keys are raised in rounds,
-one for each step of the longest chain that runs against the turns. A call whose depth passes the number of calls of its conversation lies on or behind a cycle.
+depth + 1). First the latest turn that a call waits for is passed on in rounds, then calls that wait for one of the same turn are peeled off in rounds, each once no such call before it is left; the round is the depth.
+Where all calls before stand in earlier turns, which is the rule, neither needs more than a look at the edges. What can't be peeled lies on a cycle or behind it, within the cycle's latest turn.
 
 Positions take two steps, counts of turn ranges and row numbers inside a range, so a conversation that holds a third of all rows is not one task.
 Arguments are validated against JSON Schema (type, enum, const, required, properties, additionalProperties, items, minItems, maxItems, minimum, maximum,
 minLength, maxLength, pattern). Tools are definitions, a bounded parameter. Messages are JSON with sorted keys (by UTF-16 units), no spaces and
-shortest numbers, as in RFC 8785.
+shortest numbers, as in RFC 8785; halves of surrogate pairs that stand alone are escaped. The first row of an id is found by partial minima over `SALTS` groups, so that many rows of one id are no one task.
 
 Defined results, one row per call and per result that no call claims: status is linked, unanswered, orphan (a result without a call), repeated (a later call of the same id: it
 has no result and its own position), cycle (kept at its turn) or unnamed (a null id: never linked). Of several results of an id the first by turn, then content, counts, the others
@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, table
+from .shared import cut, table, uncut
 
 RANGE = 64
+SALTS = 64
+LONE = re.compile("[\ud800-\udfff]")
 
 
 def _number(x: float) -> str:
@@ -47,14 +49,19 @@ def _number(x: float) -> str:
     return text
 
 
+def _escaped(text: str) -> str:
+    """Halves of surrogate pairs that stand alone have no UTF-8, so they are written as escapes."""
+    return text if text.isascii() else LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
     if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(v)}" for k, v in sorted(value.items(), key=lambda kv: kv[0].encode("utf-16-be", "surrogatepass"))) + "}"
+        return "{" + ",".join(f"{_escaped(json.dumps(k, ensure_ascii=False))}:{canonical(v)}" for k, v in sorted(value.items(), key=lambda kv: kv[0].encode("utf-16-be", "surrogatepass"))) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(canonical, value)) + "]"
     if isinstance(value, float):
         return _number(value)
-    return json.dumps(value, ensure_ascii=False)
+    return _escaped(json.dumps(value, ensure_ascii=False))
 
 
 def _is(value, kind: str) -> bool:
@@ -114,7 +121,7 @@ def _write(batches: Iterator[pa.RecordBatch], tools: dict[str, dict]) -> Iterato
                 if name not in tools:
                     wrong.append("$: unknown tool")
                 else:
-                    wrong += validate(value, tools[name])
+                    wrong += map(_escaped, validate(value, tools[name]))
             except (ValueError, RecursionError):
                 value, text = None, canonical(arguments)
                 wrong.append("$: arguments are not JSON")
@@ -126,18 +133,47 @@ def _write(batches: Iterator[pa.RecordBatch], tools: dict[str, dict]) -> Iterato
 
 def order_keys(calls: DataFrame) -> DataFrame:
     """(conv, call_id, at, depth, cycle) of calls (conv, call_id, turn, after), ids being unique in a conversation."""
-    nodes = cut(calls.select("conv", "call_id", "turn", F.struct(F.col("turn").alias("at"), F.lit(0).cast("long").alias("depth")).alias("key")))
+    nodes = cut(calls.select("conv", "call_id", "turn", F.col("turn").alias("at")))
     edges = calls.select("conv", "call_id", F.explode(F.array_distinct("after")).alias("before")).where("before is not null")
     edges = cut(edges.join(nodes.select("conv", F.col("call_id").alias("before")), ["conv", "before"]))
-    sizes = calls.groupBy("conv").agg(F.count("*").alias("size"))
+    before = lambda *columns: nodes.select("conv", F.col("call_id").alias("before"), *columns)
     while True:
-        low = edges.join(nodes.select("conv", F.col("call_id").alias("before"), "key"), ["conv", "before"]).groupBy("conv", "call_id").agg(F.max(F.struct(F.col("key.at").alias("at"), (F.col("key.depth") + 1).alias("depth"))).alias("low"))
-        raised = cut(low.join(nodes, ["conv", "call_id"]).where("low > key").join(sizes, "conv").where("key.depth <= size").select("conv", "call_id", "low"))
+        low = edges.join(before("at"), ["conv", "before"]).groupBy("conv", "call_id").agg(F.max("at").alias("low"))
+        raised = cut(low.join(nodes, ["conv", "call_id"]).where("low > at").select("conv", "call_id", "low"))
         if raised.isEmpty():
             break
-        nodes = cut(nodes.join(raised, ["conv", "call_id"], "left").select("conv", "call_id", "turn", F.coalesce("low", "key").alias("key")))
-    out = nodes.join(sizes, "conv").withColumn("cycle", F.col("key.depth") > F.col("size"))
-    return out.select("conv", "call_id", F.when(F.col("cycle"), F.col("turn")).otherwise(F.col("key.at")).alias("at"), F.when(F.col("cycle"), 0).otherwise(F.col("key.depth")).alias("depth"), "cycle")
+        old, nodes = nodes, cut(nodes.join(raised, ["conv", "call_id"], "left").select("conv", "call_id", "turn", F.coalesce("low", "at").alias("at")))
+        uncut(old, raised)
+    # Edges whose two ends are held back to the same turn: only these make a call deeper.
+    tight = cut(edges.join(before(F.col("at").alias("held")), ["conv", "before"]).join(nodes.select("conv", "call_id", "at"), ["conv", "call_id"]).where("held = at").select("conv", "call_id", "before"))
+    peeled, depth, left = None, 0, tight.select("conv", "call_id").distinct().count()
+    while left:
+        depth += 1
+        waiting = tight.select("conv", "call_id").distinct()
+        still = cut(tight.join(waiting.withColumnRenamed("call_id", "before"), ["conv", "before"], "left_semi").select("conv", "call_id", "before"))
+        now = still.select("conv", "call_id").distinct()
+        if (rest := now.count()) == left:
+            break
+        gone = waiting.join(now, ["conv", "call_id"], "left_anti").withColumn("depth", F.lit(depth).cast("long"))
+        old, peeled = peeled, cut(gone if peeled is None else peeled.unionByName(gone))
+        uncut(tight, *([old] if old is not None else []))
+        tight, left = still, rest
+    stuck = tight.select("conv", "call_id").distinct().withColumns({"depth": F.lit(0).cast("long"), "cycle": F.lit(True)})
+    told = stuck if peeled is None else stuck.unionByName(peeled.withColumn("cycle", F.lit(False)))
+    out = nodes.join(told, ["conv", "call_id"], "left").withColumns({"cycle": F.coalesce("cycle", F.lit(False)), "depth": F.coalesce("depth", F.lit(0).cast("long"))})
+    return out.select("conv", "call_id", F.when(F.col("cycle"), F.col("turn")).otherwise(F.col("at")).alias("at"), "depth", "cycle")
+
+
+def _first_and_rest(rows: DataFrame, *order: str) -> tuple[DataFrame, DataFrame]:
+    """The first row of each (conv, call_id) and all others. Equal rows are counted, so that one of them can be the first."""
+    columns = rows.columns
+    counted = rows.groupBy(*columns).agg(F.count("*").alias("copies")).withColumn("place", F.struct(*order, F.sha2(F.to_json(F.struct(*columns)), 256).alias("row")))
+    counted = counted.withColumn("salt", F.pmod(F.xxhash64("place"), F.lit(SALTS)))
+    low = counted.groupBy("conv", "call_id", "salt").agg(F.min("place").alias("low")).groupBy("conv", "call_id").agg(F.min("low").alias("low"), F.collect_list("salt").alias("salts"))
+    marked = counted.join(low.select("conv", "call_id", "low", F.explode("salts").alias("salt")), ["conv", "call_id", "salt"])
+    first = marked.where("place = low").select(*columns)
+    spare = F.col("copies") - F.when(F.col("place") == F.col("low"), 1).otherwise(0)
+    return first, marked.select(*columns, F.explode(F.array_repeat(F.lit(0), spare.cast("int"))).alias("copy")).drop("copy")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict]) -> DataFrame:
@@ -147,21 +183,21 @@ def link_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict]) ->
     conv = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("n"))
     turn = F.coalesce(F.col("turn").cast("long"), F.lit(-1))
     tie = F.xxhash64("name", "arguments")
-    number = F.row_number().over(Window.partitionBy("conv", "call_id").orderBy("turn", "tie"))
     call = calls.select(conv.alias("conv"), "conv_id", "call_id", turn.alias("turn"), "name", "arguments", F.coalesce("after", F.array().cast("array<string>")).alias("after"), tie.alias("tie"))
-    named = call.where("call_id is not null").withColumn("n", number)
+    first, later = _first_and_rest(call.where("call_id is not null"), "turn", "tie")
     result = results.select(conv.alias("conv"), "conv_id", "call_id", turn.alias("turn"), "content")
-    answer = result.where("call_id is not null").withColumn("n", F.row_number().over(Window.partitionBy("conv", "call_id").orderBy("turn", F.col("content").asc_nulls_first())))
-    taken = answer.where("n = 1").select("conv", "call_id", "content", F.lit("linked").alias("status"))
+    answer, extra = _first_and_rest(result.where("call_id is not null"), "turn", "content")
     # Later calls of an id and later results of an id stand alone; a call's first row takes the first result.
-    first = named.where("n = 1").drop("n").join(taken, ["conv", "call_id"], "left").withColumn("status", F.coalesce("status", F.lit("unanswered")))
-    orphan = answer.join(named.select("conv", "call_id").distinct().withColumn("claimed", F.lit(True)), ["conv", "call_id"], "left").where("claimed is null or n > 1")
+    taken = answer.select("conv", "call_id", "content", F.lit("linked").alias("status"))
+    unclaimed = answer.join(first.select("conv", "call_id"), ["conv", "call_id"], "left_anti")
+    first = first.join(taken, ["conv", "call_id"], "left").withColumn("status", F.coalesce("status", F.lit("unanswered")))
     empty = lambda kind: F.lit(None).cast(kind)
     as_rows = lambda df, name, arguments, content, status: df.select("conv", "conv_id", "call_id", "turn", name, arguments, content, F.array().cast("array<string>").alias("after"), F.xxhash64(*[c for c in ("name", "arguments", "content") if c in df.columns]).alias("tie"), F.lit(status).alias("status"))
     nothing = empty("string").alias("content")
-    rest = as_rows(named.where("n > 1"), F.col("name"), F.col("arguments"), nothing, "repeated")
+    rest = as_rows(later, F.col("name"), F.col("arguments"), nothing, "repeated")
     rest = rest.unionByName(as_rows(call.where("call_id is null"), F.col("name"), F.col("arguments"), nothing, "unnamed"))
-    lost = orphan.select("conv", "conv_id", "call_id", "turn", "content").unionByName(result.where("call_id is null"))
+    shown = lambda df: df.select("conv", "conv_id", "call_id", "turn", "content")
+    lost = shown(unclaimed).unionByName(shown(extra)).unionByName(shown(result.where("call_id is null")))
     rest = rest.unionByName(as_rows(lost, empty("string").alias("name"), empty("string").alias("arguments"), F.col("content"), "orphan"))
     keys = order_keys(first.select("conv", "call_id", "turn", "after"))
     rows = first.join(keys, ["conv", "call_id"]).withColumn("status", F.when(F.col("cycle"), "cycle").otherwise(F.col("status"))).drop("cycle", "after")

@@ -1,10 +1,12 @@
 import json
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from quaverlake.llm import tool_calls
 from quaverlake.llm.shared import table
-from quaverlake.llm.tool_calls import TOOLS, calls_of, canonical, link_calls, op1_tool_calls, validate
+from quaverlake.llm.tool_calls import TOOLS, calls_of, canonical, link_calls, op1_tool_calls, order_keys, validate
 
 CALLS = "conv_id long, call_id string, turn long, name string, arguments string, after array<string>"
 RESULTS = "conv_id long, call_id string, turn long, content string"
@@ -61,6 +63,35 @@ def test_orders_and_statuses(spark):
     assert text["a"] == '{"arguments":{"query":"long enough query"},"id":"a","name":"search","result":"R"}'
 
 
+def test_cycles_take_few_rounds(spark, monkeypatch):
+    """Two calls that wait for each other, and one behind them, among ten thousand that follow the turns."""
+    n, tables = 10_000, []
+    real = tool_calls.cut
+    monkeypatch.setattr(tool_calls, "cut", lambda df: tables.append(1) or real(df))
+    after = {100: ["c101"], 101: ["c100"], 50: ["c100"]}
+    calls = spark.createDataFrame([(1, f"c{i}", i, "compute", "{}", after.get(i, [f"c{i - 1}"] if i else None)) for i in range(n)], CALLS)
+    got = order_keys(calls.withColumnRenamed("conv_id", "conv")).collect()
+    assert {r.call_id for r in got if r.cycle} == {"c50", "c51", *(f"c{i}" for i in range(52, 102))} and len(tables) < 200
+    assert all((r.at, r.depth) == (int(r.call_id[1:]), 0) for r in got if not r.cycle) and len(got) == n
+    tables.clear()
+    after = {100: ["c101"], 101: ["c100"]}
+    calls = spark.createDataFrame([(1, f"c{i}", i, "compute", "{}", after.get(i, [f"c{i - 1}"] if i else None)) for i in range(n)], CALLS)
+    got = order_keys(calls.withColumnRenamed("conv_id", "conv")).collect()
+    assert {r.call_id for r in got if r.cycle} == {"c100", "c101"} and len(tables) < 12
+
+
+def test_repeats_and_lone_surrogates(spark):
+    calls = [(1, "a", 0, "search", r'{"query": "\ud800 is half of a pair", "\udfff": 1}', None)] * 3 + [(1, "a", 0, "search", "[]", None)] + [(1, "b", i % 3, "compute", "{}", None) for i in range(500)]
+    results = [(1, "a", 1, "r")] * 2 + [(1, "b", 9, None), (1, "b", 9, "x")]
+    got = link_calls(spark.createDataFrame(calls, CALLS).withColumn("n", F.lit(1)), spark.createDataFrame(results, RESULTS).withColumn("low", F.lit(1)), TOOLS).collect()
+    count = Counter((r.call_id, r.status) for r in got)
+    assert count == {("a", "linked"): 1, ("a", "repeated"): 3, ("a", "orphan"): 1, ("b", "linked"): 1, ("b", "repeated"): 499, ("b", "orphan"): 1}
+    assert sorted(r.seq for r in got) == list(range(1, len(got) + 1))
+    half = [r for r in got if "ud800" in r.message]
+    assert len(half) == 3 and all(json.loads(r.message)["arguments"]["query"] == "\ud800 is half of a pair" for r in half) and half[0].errors == [r"$.\udfff: not allowed"]
+    assert [json.loads(r.message)["result"] for r in got if r.call_id == "b" and r.status == "linked"] == [None]
+
+
 def test_empty(spark):
     assert link_calls(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS), TOOLS).collect() == []
 
@@ -86,6 +117,15 @@ def test_query_on_table(spark):
         order[k[0]].append(want[k][0])
     assert all(keys == sorted(keys) for keys in order.values())
     assert all(r.message == canonical(json.loads(r.message)) for r in got)
+    sent = {(c.conv_id, c.call_id): c for c in calls}
+    answered = {(r.conv_id, r.call_id): r.content for r in sorted(results, key=lambda r: (r.turn, str(r.content)), reverse=True)}
+    for r in linked:
+        c, m = sent[r.conv_id, r.call_id], json.loads(r.message)
+        try:
+            arguments = json.loads(c.arguments)
+        except ValueError:
+            arguments = c.arguments
+        assert m == {"arguments": arguments, "id": c.call_id, "name": c.name, "result": answered.get((c.conv_id, c.call_id))}
     assert {e.split(": ")[1] for r in got for e in r.errors} >= {"arguments are not JSON", "unknown tool", "missing", "too long"}
 
 
