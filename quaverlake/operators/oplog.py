@@ -47,9 +47,10 @@ def interrupt_running(calls: DataFrame, now: Column, message: str = "The process
 def reference_snapshots(calls: DataFrame, metadata: DataFrame) -> DataFrame:
     """(call_id, path, pos, reference, title): the references that calls of browse, play and manage_queue name, with what is known of them."""
     one = calls.where("tool = 'browse'").select("call_id", F.lit("browseRef").alias("path"), F.lit(0).alias("pos"), F.get_json_object("arguments", "$.browseRef").alias("reference"))
-    items = calls.where("tool in ('play', 'manage_queue')").select("call_id", F.posexplode(F.from_json(F.get_json_object("arguments", "$.items"), "array<string>")).alias("pos", "reference"))
+    lists = F.try_parse_json(F.get_json_object("arguments", "$.items")).try_cast("array<variant>")
+    items = calls.where("tool in ('play', 'manage_queue')").select("call_id", F.posexplode(lists).alias("pos", "item"))
     # Only strings count; numbers and objects of the list keep their places.
-    many = items.where(~F.col("reference").rlike(r"^\s*[\[{0-9-]|^(true|false|null)$")).select("call_id", F.concat(F.lit("items["), F.col("pos").cast("string"), F.lit("]")).alias("path"), "pos", "reference")
+    many = items.where(F.schema_of_variant("item") == "STRING").select("call_id", F.concat(F.lit("items["), F.col("pos").cast("string"), F.lit("]")).alias("path"), "pos", F.col("item").cast("string").alias("reference"))
     rows = one.where("reference is not null").unionByName(many)
     return rows.join(metadata.select("reference", "title"), "reference", "left").select("call_id", "path", "pos", "reference", "title")
 
