@@ -1,15 +1,13 @@
 """Lossless WebP (VP8L): a reader of the whole format, and a writer to store payloads with.
 
 The reader decodes prefix codes, back-references and the colour cache, then inverts the predictor, cross-colour, subtract-green
-and palette transforms, for any number of prefix groups. Where all codes of an image have one length and no symbol refers back, pixels
-stand at fixed distances in the stream and are decoded as arrays.
+and palette transforms, for any number of prefix groups. In images whose pixels differ in green alone, as palette images do, all places of
+the stream are looked up in the prefix code at once, as arrays, and only the way from symbol to symbol is walked.
 
-The writer has two ways. By default all bytes of an image share one code of equal lengths, over as many symbols as it needs; that is an
-ordinary VP8L stream which is made and read at array speed. With `rich` the writer uses what the format offers: transforms,
-back-references, colour cache and Huffman codes.
-
-A payload's bytes are the samples of ARGB pixels in the order blue, green, red, alpha, 16 pixels (64 bytes) in a row, with wider rows from 16384 rows on;
-what a last wide row lacks is filled with zeros and cut off again by the payload's length.
+Stored texts use the format: a payload's bytes are the grey samples of opaque pixels, 64 in a row, with wider rows from 16384 rows on;
+what a last wide row lacks is filled with zeros and cut off again by the payload's length. Subtract-green and the palette transform leave one channel, whose repeats of
+twelve samples or more become back-references; symbols, distances and the palette have Huffman codes. Repeats are searched within segments, so memory does not follow the text.
+Payloads above 2**28 bytes have four samples a pixel and codes of one length. `encode_rich` writes any transforms, for tests and other images.
 
 Defined results: a null or empty text is a payload of 64 zero bytes. Equal texts give equal values. One row per input row; other columns are ignored.
 """
@@ -21,6 +19,7 @@ import heapq
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +30,11 @@ from .shared import table
 
 SIDE = 16384
 SEGMENT = 1 << 20
+#: Bytes of a payload that are grey samples; above, pixels hold four.
+MOST_GREY = 1 << 28
+#: Bytes of a stream whose places are looked up at once.
+WINDOW = 1 << 14
+EIGHT = np.arange(8, dtype=np.uint32)
 #: The order of code length codes, and the neighbours (x to the left, y up) that the first 120 distances stand for.
 ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
 NEIGHBOURS = [
@@ -46,27 +50,33 @@ CACHE_FACTOR = 0x1E35A7BD
 
 
 class Bits:
-    """Reads numbers from the low bits up."""
+    """Reads numbers of at most 32 bits from the low bits up."""
 
     def __init__(self, data: bytes):
-        self.data, self.at = data, 0
+        self.data, self.at, self.size = data, 0, 8 * len(data) + 64
+        self.base, self.held = 0, int.from_bytes(data[:64], "little")  # 64 bytes from bit `base` on
 
     def peek(self, n: int) -> int:
-        byte = self.at >> 3
-        return int.from_bytes(self.data[byte : byte + 5], "little") >> (self.at & 7) & ((1 << n) - 1)
+        skip = self.at - self.base
+        if not 0 <= skip <= 480:
+            self.base, skip = self.at & ~7, self.at & 7
+            self.held = int.from_bytes(self.data[self.base >> 3 : (self.base >> 3) + 64], "little")
+        return self.held >> skip & ((1 << n) - 1)
 
     def read(self, n: int) -> int:
         value = self.peek(n)
         self.at += n
-        if self.at > 8 * len(self.data) + 64:
+        if self.at > self.size:
             raise ValueError("the stream ends early")
         return value
 
 
-def _reversed(code: np.ndarray, size: int) -> np.ndarray:
-    out = np.zeros_like(code)
+@lru_cache
+def _turned(size: int) -> np.ndarray:
+    """All numbers of `size` bits with their bits in reverse."""
+    out = np.zeros(1, np.int64)
     for _ in range(size):
-        out, code = out << 1 | code & 1, code >> 1
+        out = np.concatenate([out << 1, out << 1 | 1])
     return out
 
 
@@ -74,53 +84,48 @@ class Code:
     """A canonical prefix code from its lengths; one symbol alone takes no bits."""
 
     def __init__(self, lengths: np.ndarray):
-        used = np.flatnonzero(lengths)
-        self.size = int(lengths.max()) if len(used) else 0
-        self.equal = len(used) > 0 and bool((lengths[used] == self.size).all())
+        used = lengths.nonzero()[0]
         if len(used) <= 1:
             self.size, self.symbols = 0, used if len(used) else np.zeros(1, np.int64)
-            self.table = [(int(self.symbols[0]), 0)]
-            return
-        if (1 << self.size >> lengths[used]).sum() != 1 << self.size:
-            raise ValueError("code lengths do not fill the code space")
-        self.symbols = used[np.argsort(lengths[used], kind="stable")]
-        self.table = None
-        if not self.equal:
-            self.build(lengths)
-
-    def build(self, lengths: np.ndarray) -> None:
-        table = np.zeros((1 << self.size, 2), np.int64)
-        code = 0
-        for length in range(1, self.size + 1):
-            own = np.flatnonzero(lengths == length)
-            first = _reversed(np.arange(code, code + len(own)), length)
-            for symbol, low in zip(own.tolist(), first.tolist(), strict=True):
-                table[low :: 1 << length] = symbol, length
-            code = (code + len(own)) << 1
-        self.table = list(map(tuple, table.tolist()))
+            self.lengths = np.zeros(1, np.int64)
+        else:
+            own = lengths[used]
+            order = own.argsort(kind="stable")
+            self.symbols, self.lengths = used[order], own[order]
+            self.size = int(self.lengths[-1])
+            if (1 << self.size >> self.lengths).sum() != 1 << self.size:
+                raise ValueError("code lengths do not fill the code space")
+        self.equal = self.size == int(self.lengths[0])
+        self.table: list[int] | None = None
+
+    def steps(self) -> np.ndarray:
+        """For each number of `size` bits: 16 * the symbol that it starts with + the symbol's length."""
+        return np.repeat(self.symbols << 4 | self.lengths, 1 << self.size >> self.lengths)[_turned(self.size)]
 
     def read(self, bits: Bits) -> int:
         if self.table is None:
-            lengths = np.zeros(int(self.symbols.max()) + 1, np.int64)
-            lengths[self.symbols] = self.size
-            self.build(lengths)
-        symbol, length = self.table[bits.peek(self.size) if self.size else 0]
-        bits.at += length
-        return symbol
+            self.table = self.steps().tolist()
+        step = self.table[bits.peek(self.size) if self.size else 0]
+        bits.at += step & 15
+        return step >> 4
+
+
+@lru_cache(1024)
+def _simple(first: int, second: int) -> Code:
+    lengths = np.zeros(256, np.int64)
+    lengths[[first, second]] = 1
+    return Code(lengths)
 
 
 def _read_code(bits: Bits, alphabet: int) -> Code:
-    lengths = np.zeros(alphabet, np.int64)
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
-        lengths[bits.read(8 if wide else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
-        return Code(lengths)
-    own = np.zeros(19, np.int64)
+        first = bits.read(8 if wide else 1)
+        return _simple(first, bits.read(8) if two else first)
+    lengths, own = np.zeros(alphabet, np.int64), [0] * 19
     for i in range(4 + bits.read(4)):
         own[ORDER[i]] = bits.read(3)
-    code = Code(own)
+    code = Code(np.array(own))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     i, before = 0, 8
     while i < alphabet and left:
@@ -179,6 +184,74 @@ def _flat(bits: Bits, group: list[Code], n: int) -> np.ndarray:
     return out[:, [2, 0, 1, 3]].copy().view("<u4").ravel()
 
 
+def _green_only(bits: Bits, group: list[Code], n: int, width: int) -> np.ndarray:
+    """Pixels that differ in green alone.
+
+    For every bit of a window: the symbol that would start there and, by doubling, the place after the next 1, 2, 4, 8 and 16 literals, at most up to a
+    back-reference. The walk then takes 16 literals a step, and the literals on it are gathered as arrays."""
+    green, far = group[0], group[4]
+    steps, mask, size = green.steps().astype(np.int32), (1 << green.size) - 1, len(bits.data)
+    literals, copies, i = [], [], 0
+    while i < n:
+        first, count = bits.at >> 3, min(WINDOW, size - (bits.at >> 3))
+        if count <= 0:
+            raise ValueError("the stream ends early")
+        raw = np.zeros(count + 2, np.uint32)
+        near = np.frombuffer(bits.data, np.uint8, min(count + 2, size - first), first)
+        raw[: len(near)] = near
+        wide = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
+        step = steps[(wide[:, None] >> EIGHT & mask).ravel()]
+        end = len(step)
+        literal = step < 4096
+        # Back-references and places behind the window stand for themselves.
+        jump, taken = np.arange(end + 15, dtype=np.int32), np.zeros(end + 15, np.uint8)
+        jump[:end] += (step & 15) * literal
+        taken[:end] = literal
+        levels = [jump]
+        for _ in range(4):
+            taken = taken + taken[jump]
+            jump = jump[jump]
+            levels.append(jump)
+        far_on, many, what, base, at, starts = memoryview(jump), memoryview(taken), memoryview(step), 8 * first, bits.at - 8 * first, []
+        while i < n and at < end:
+            starts.append(at)
+            i += many[at]
+            at = far_on[at]
+            if at >= end or i >= n or what[at] < 4096:
+                continue
+            s = what[at]
+            bits.at = base + at + (s & 15)
+            length = _extra(bits, (s >> 4) - 256)
+            place = _extra(bits, far.read(bits))
+            x, y = NEIGHBOURS[place - 1] if place <= 120 else (place - 120, 0)
+            distance = max(1, x + y * width)
+            if distance > i or i + length > n:
+                raise ValueError("back-reference out of the image")
+            copies.append((i, length, distance))
+            i += length
+            at = bits.at - base
+        walked = np.array(starts, np.int32)
+        for level in levels[3::-1]:
+            walked = np.stack([walked, level[walked]], 1).ravel()
+        walked = walked[walked < end]
+        walked = walked[literal[walked]]
+        literals.append((step[walked] >> 4).astype(np.uint8))
+        stops = base + walked + (step[walked] & 15)
+        bits.at = base + at
+    out = np.zeros(n, np.uint8)
+    own = np.ones(n, bool)
+    for at, length, _ in copies:
+        own[at : at + length] = False
+    spare = sum(map(len, literals)) - int(own.sum())  # the last step may pass the image's end
+    if spare < len(stops) and stops[-1 - spare] > 8 * size:
+        raise ValueError("the stream ends early")
+    out[own] = np.concatenate(literals)[: len(own) - sum(length for _, length, _ in copies)]
+    for at, length, distance in copies:
+        out[at : at + length] = out[at - distance : at - distance + length] if distance >= length else np.resize(out[at - distance : at], length)
+    red, blue, alpha = (int(c.symbols[0]) for c in group[1:4])
+    return out.astype(np.uint32) << 8 | np.uint32(alpha << 24 | red << 16 | blue)
+
+
 def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """An entropy-coded image, by rows."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -193,8 +266,11 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     cache_size = 1 << cache_bits if cache_bits else 0
     groups = [[_read_code(bits, a) for a in (280 + cache_size, 256, 256, 256, 40)] for _ in range(int(meta.max()) + 1 if meta is not None else 1)]
     n = width * height
-    if meta is None and all(c.equal or c.size == 0 for c in groups[0][:4]) and groups[0][0].symbols.max() < 256 and not cache_bits:
-        return _flat(bits, groups[0], n)
+    if meta is None and not cache_bits:
+        if all(c.equal for c in groups[0][:4]) and groups[0][0].symbols.max() < 256:
+            return _flat(bits, groups[0], n)
+        if main and not any(c.size for c in groups[0][1:4]):
+            return _green_only(bits, groups[0], n, width)
     out, cache, i, seen = [0] * n, [0] * cache_size, 0, 0
     group = groups[0]
     shift = 32 - cache_bits
@@ -203,7 +279,7 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             group = groups[int(meta[i // width >> block, i % width >> block])]
         s = group[0].read(bits)
         if s < 256:
-            red, blue, alpha = group[1].read(bits), group[2].read(bits), group[3].read(bits)
+            red, blue, alpha = (c.read(bits) if c.size else int(c.symbols[0]) for c in group[1:4])
             out[i] = alpha << 24 | red << 16 | s << 8 | blue
             i += 1
         elif s < 280:
@@ -317,9 +393,12 @@ def _cross(pixels: np.ndarray, elements: np.ndarray, block: int, width: int, hei
 
 
 def _green(pixels: np.ndarray, sign: int) -> np.ndarray:
-    c = _channels(pixels)
-    c[:, [0, 2]] += sign * c[:, 1:2]
-    return _joined(c)
+    """Adds (sign 1) green to red and blue, or takes it away (-1)."""
+    pixels = pixels.astype(np.uint32)
+    green = pixels >> 8 & 0xFF
+    if sign < 0:
+        green = 256 - green & 0xFF
+    return pixels & np.uint32(0xFF00FF00) | (pixels & np.uint32(0x00FF00FF)) + (green << 16 | green) & np.uint32(0x00FF00FF)
 
 
 def _packing(colours: int) -> int:
@@ -396,23 +475,23 @@ class Out:
         self.n += n
 
 
-def _put_lengths(out: Out, lengths: list[int]) -> dict[int, tuple[int, int]]:
-    """Writes a code by its lengths and gives each symbol's (bits, size)."""
-    used = [i for i, x in enumerate(lengths) if x]
-    if len(used) <= 1 and (not used or used[0] < 256):
-        out.put(1, 1)
-        out.put(0, 1)
-        out.put(1, 1)
-        out.put(used[0] if used else 0, 8)
-        return {(used[0] if used else 0): (0, 0)}
+def _put_lengths(out: Out, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes a code by its lengths and gives each symbol's bits and their number."""
+    used = lengths.nonzero()[0]
+    if len(used) <= 1 and (not len(used) or used[0] < 256):
+        out.put(5, 3)
+        out.put(int(used[0]) if len(used) else 0, 8)
+        return np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    if len(used) == 2 and used[1] < 256 and lengths[used].tolist() == [1, 1]:
+        out.put(7, 3)
+        out.put(int(used[0]), 8)
+        out.put(int(used[1]), 8)
+        return _codes(lengths)
     runs: list[tuple[int, int, int]] = []  # symbol, extra, bits of extra
-    i, before = 0, 8
-    while i < len(lengths):
-        x, j = lengths[i], i
-        while j < len(lengths) and lengths[j] == x:
-            j += 1
-        n = j - i
-        i = j
+    edge = [0, *((lengths[1:] != lengths[:-1]).nonzero()[0] + 1).tolist(), len(lengths)]
+    before = 8
+    for begin, end, x in zip(edge, edge[1:], lengths[edge[:-1]].tolist(), strict=False):
+        n = end - begin
         while n:
             if x == 0 and n >= 11:
                 k = min(n, 138)
@@ -428,48 +507,17 @@ def _put_lengths(out: Out, lengths: list[int]) -> dict[int, tuple[int, int]]:
                 runs.append((x, 0, 0))
                 before = x or before
             n -= k
-    own = _huffman(Counter(r[0] for r in runs), 7)
+    own = _lengths(np.bincount([r[0] for r in runs], minlength=19), 7)
     out.put(0, 1)
-    last = max(ORDER.index(s) for s in own)
-    count = max(4, last + 1)
+    count = max(4, 1 + max(ORDER.index(s) for s in own.nonzero()[0].tolist()))
     out.put(count - 4, 4)
     for s in ORDER[:count]:
-        out.put(own.get(s, 0), 3)
+        out.put(int(own[s]), 3)
     out.put(0, 1)
-    codes = _canonical(own)
+    bits, sizes = (x.tolist() for x in _codes(own))
     for s, extra, n in runs:
-        out.put(*codes[s])
-        out.put(extra, n)
-    return _canonical({i: x for i, x in enumerate(lengths) if x})
-
-
-def _huffman(counts: Counter, limit: int) -> dict[int, int]:
-    """Code lengths of at most `limit` bits; a symbol alone gets length 1."""
-    counts = Counter({s: n for s, n in counts.items() if n})
-    while True:
-        heap = [(n, i, [s]) for i, (s, n) in enumerate(sorted(counts.items()))]
-        lengths = dict.fromkeys(counts, 0 if len(heap) > 1 else 1)
-        heapq.heapify(heap)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                lengths[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], a[1], a[2] + b[2]))
-        if max(lengths.values(), default=0) <= limit:
-            return lengths
-        counts = Counter({s: n // 2 + 1 for s, n in counts.items()})
-
-
-def _canonical(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
-    if len(lengths) == 1:
-        return {s: (0, 0) for s in lengths}
-    out, code, before = {}, 0, 0
-    for s, n in sorted(lengths.items(), key=lambda x: (x[1], x[0])):
-        code <<= n - before
-        before = n
-        out[s] = int(format(code, f"0{n}b")[::-1], 2), n
-        code += 1
-    return out
+        out.put(bits[s] | extra << sizes[s], sizes[s] + n)
+    return _codes(lengths)
 
 
 def _prefix(value: int) -> tuple[int, int, int]:
@@ -527,8 +575,8 @@ def _put_pixels(out: Out, pixels: np.ndarray, width: int, main: bool, cache_bits
             counts[4][s[2][0]] += 1
     codes = []
     for c, size in zip(counts, (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40), strict=True):
-        lengths = _huffman(c, 15)
-        codes.append(_put_lengths(out, [lengths.get(s, 0) for s in range(size)]))
+        bits, sizes = _put_lengths(out, _lengths(np.array([c[s] for s in range(size)], np.int64)))
+        codes.append(list(zip(bits.tolist(), sizes.tolist(), strict=True)))
     for s in steps:
         if s[0] == "pixel":
             for code, x in zip(codes, s[1:], strict=False):
@@ -614,10 +662,10 @@ def _equal_codes(present: np.ndarray) -> tuple[int, int, int, np.ndarray]:
             _heads.clear()
         out = Out()
         out.put(0, 3)  # no more transforms, no colour cache, no prefix groups
-        lengths = [max(size, 1) if x else 0 for x in chosen.tolist()]
+        lengths = np.where(chosen, max(size, 1), 0)
         for more in (24, 0, 0, 0):
-            _put_lengths(out, lengths + [0] * more)
-        _put_lengths(out, [0] * 40)
+            _put_lengths(out, np.append(lengths, np.zeros(more, np.int64)))
+        _put_lengths(out, np.zeros(40, np.int64))
         _heads[key] = out.value, out.n
     rank = np.zeros(256, np.uint8)
     rank[chosen] = np.arange(int(chosen.sum()))
@@ -651,8 +699,145 @@ def encode(image: np.ndarray) -> bytes:
     return _file(start + body.tobytes())
 
 
+@lru_cache
+def _near(width: int) -> dict[int, int]:
+    """The smallest code of each distance that a neighbour stands for."""
+    out: dict[int, int] = {}
+    for code, (x, y) in enumerate(NEIGHBOURS, 1):
+        out.setdefault(max(1, x + y * width), code)
+    return out
+
+
+def _lengths(counts: np.ndarray, limit: int = 15) -> np.ndarray:
+    """Huffman code lengths; a symbol alone gets length 1."""
+    used = counts.nonzero()[0]
+    out = np.zeros(len(counts), np.int64)
+    weights = counts[used].tolist()
+    if len(used) < 2:
+        out[used] = 1
+        return out
+    while True:
+        heap = [(w, i) for i, w in enumerate(weights)]
+        heapq.heapify(heap)
+        above, new = [0] * (2 * len(weights) - 1), len(weights)
+        while len(heap) > 1:
+            (a, i), (b, j) = heapq.heappop(heap), heap[0]
+            above[i] = above[j] = new
+            heapq.heapreplace(heap, (a + b, new))
+            new += 1
+        depth = [0] * new
+        for i in range(new - 2, -1, -1):
+            depth[i] = depth[above[i]] + 1
+        if max(depth) <= limit:
+            out[used] = depth[: len(weights)]
+            return out
+        weights = [w // 2 + 1 for w in weights]
+
+
+def _codes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each symbol's bits, the first one lowest, and their number."""
+    code = Code(lengths)
+    bits, sizes = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    if code.size:
+        room = 1 << code.size >> code.lengths
+        bits[code.symbols], sizes[code.symbols] = _turned(code.size)[np.cumsum(room) - room], code.lengths
+    return bits, sizes
+
+
+def _repeats(x: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of repeats of at least 12 samples, the nearest found, from left to right."""
+    if len(x) < 16:
+        return []
+    two = x[:-1].astype(np.uint64) | x[1:].astype(np.uint64) << 8
+    four = two[:-2] | two[2:] << 16
+    eight = four[:-4] | four[4:] << 32
+    order = ((eight * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16).argsort(kind="stable")
+    same = eight[order[1:]] == eight[order[:-1]]
+    distance = np.zeros(len(eight) + 1, np.int64)
+    distance[order[1:][same]] = (order[1:] - order[:-1])[same]
+    edge = (distance[1:] != distance[:-1]).nonzero()[0] + 1
+    ends, out, done = edge.tolist(), [], 0
+    for begin, end, d in zip(ends, ends[1:], distance[edge[:-1]].tolist(), strict=False):
+        begin = max(begin, done)
+        if d and end - begin > 4:
+            done = end + 7
+            while begin < done:
+                n = min(4096, done - begin)
+                out.append((begin, n, d))
+                begin += n
+    return out
+
+
+def _tokens(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of green by turns, and of the repeats among them: their places and (bits of length, their number, distance symbol, bits, number)."""
+    found = _repeats(x)
+    symbols, shown = x.astype(np.int64), np.ones(len(x), bool)
+    more = np.zeros((len(found), 5), np.int64)
+    near = _near(width)
+    for k, (at, n, d) in enumerate(found):
+        symbol, *length = _prefix(n)
+        more[k] = (*length[:2], *_prefix(near.get(d) or d + 120))
+        shown[at : at + n] = False
+        shown[at], symbols[at] = True, 256 + symbol
+    place = np.flatnonzero(shown)
+    return symbols[place], np.searchsorted(place, [f[0] for f in found]), more
+
+
+def _spread(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bits of numbers, one after another."""
+    ends = np.cumsum(sizes)
+    return ((np.repeat(values, sizes) >> (np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes))) & 1).astype(np.uint8)
+
+
+def encode_grey(samples: np.ndarray, width: int) -> bytes:
+    """A file of grey, opaque pixels: subtract-green, palette, back-references and Huffman codes."""
+    height = len(samples) // width
+    out = _start(width, height)
+    colours = np.flatnonzero(np.bincount(samples, minlength=256))
+    rank = np.zeros(256, np.uint8)
+    rank[colours] = np.arange(len(colours))
+    for value, n in ((1, 1), (GREEN, 2), (1, 1), (PALETTE, 2), (len(colours) - 1, 8), (0, 1)):
+        out.put(value, n)
+    steps = np.append(colours[0], colours[1:] - colours[:-1])
+    bits, sizes = _put_lengths(out, _lengths(np.bincount(steps, minlength=280)))
+    # Red and blue are 0 throughout. Alpha is 255, then steps of 0: a code of two symbols, or one if there is one colour. No distances.
+    out.put(5 | 5 << 11, 22)
+    out.put(*((7 | 255 << 11, 19) if len(steps) > 1 else (5 | 255 << 3, 11)))
+    out.put(5, 11)
+    for k, (low, size) in enumerate(zip(bits[steps].tolist(), sizes[steps].tolist(), strict=True)):
+        out.put(low | (k == 0 < len(steps) - 1) << size, size + (len(steps) > 1))
+    out.put(0, 3)  # no more transforms, no colour cache, no prefix groups
+    index, pack = rank[samples], _packing(len(colours))
+    if pack:
+        wide = (width + (1 << pack) - 1) >> pack
+        cells = np.zeros((height, wide << pack), np.uint8)
+        cells[:, :width] = index.reshape(height, width)
+        index, width = (cells.reshape(height, wide, 1 << pack) << (np.arange(1 << pack) * (8 >> pack)).astype(np.uint8)).sum(axis=2, dtype=np.uint8).ravel(), wide
+    parts = [index[i : i + SEGMENT] for i in range(0, len(index), SEGMENT)]
+    tokens = [_tokens(parts[0], width)] if len(parts) == 1 else (_tokens(x, width) for x in parts)
+    counts, far = np.zeros(280, np.int64), np.zeros(40, np.int64)
+    for symbols, _, more in tokens:
+        counts += np.bincount(symbols, minlength=280)
+        far += np.bincount(more[:, 2], minlength=40)
+    bits, sizes = _put_lengths(out, _lengths(counts))
+    out.put(5 | 5 << 11 | 5 << 22, 33)
+    far_bits, far_sizes = _put_lengths(out, _lengths(far))
+    rest = np.array([out.value >> i & 1 for i in range(out.n & ~7, out.n)], np.uint8)
+    body = [(out.value & ((1 << (out.n & ~7)) - 1)).to_bytes(out.n >> 3, "little")]
+    for symbols, at, more in tokens if len(parts) == 1 else (_tokens(x, width) for x in parts):
+        values, lengths = np.zeros((len(symbols), 4), np.int64), np.zeros((len(symbols), 4), np.int64)
+        values[:, 0], lengths[:, 0] = bits[symbols], sizes[symbols]
+        values[at, 1], lengths[at, 1], values[at, 3], lengths[at, 3] = more[:, 0], more[:, 1], more[:, 3], more[:, 4]
+        values[at, 2], lengths[at, 2] = far_bits[more[:, 2]], far_sizes[more[:, 2]]
+        rest = np.concatenate([rest, _spread(values.ravel(), lengths.ravel())])
+        whole = len(rest) & ~7
+        body.append(np.packbits(rest[:whole], bitorder="little").tobytes())
+        rest = rest[whole:]
+    return _file(b"".join([*body, np.packbits(rest, bitorder="little").tobytes()]))
+
+
 def to_image(payload: bytes) -> np.ndarray:
-    """Rows of 16 pixels, or of more where 16384 rows would not do."""
+    """Rows of 16 pixels of four bytes, or of more where 16384 rows would not do."""
     rows = len(payload) // 64
     width = 16 * max(1, -(-rows // SIDE))
     height = -(-len(payload) // (4 * width))
@@ -662,11 +847,17 @@ def to_image(payload: bytes) -> np.ndarray:
 
 
 def stored(payload: bytes) -> bytes:
-    return encode(to_image(payload))
+    if len(payload) > MOST_GREY:
+        return encode(to_image(payload))
+    width = 64 * max(1, -(-(len(payload) // 64) // SIDE))
+    return encode_grey(np.frombuffer(payload.ljust(-(-len(payload) // width) * width, b"\0"), np.uint8), width)
 
 
 def loaded(media: bytes, size: int) -> bytes:
-    return decode(media).astype("<u4").tobytes()[:size]
+    pixels = decode(media)
+    if size > MOST_GREY:
+        return pixels.astype("<u4").tobytes()[:size]
+    return pixels.astype(np.uint8).tobytes()[:size]
 
 
 def feature(payload: bytes) -> str:

@@ -113,3 +113,113 @@ def test_null_and_empty(spark):
     got = W.inspect_media(W.store_texts(df)).collect()
     assert [r.payload_bytes for r in got] == [64] * 3 and got[0].media == got[1].media
     assert W.inspect_media(W.store_texts(df.limit(0))).collect() == []
+
+
+def plain_reader(data: bytes) -> tuple[bytes, dict]:
+    """The grey samples of a stored file, read bit by bit as the format's specification tells, and what the stream made use of."""
+    bits, at, seen = [b >> k & 1 for b in data[20:] for k in range(8)], 0, {"copies": 0}
+
+    def number(n):
+        nonlocal at
+        at += n
+        return sum(b << k for k, b in enumerate(bits[at - n : at]))
+
+    def book(lengths):
+        """{(length, code): symbol} with codes counted up from the shortest."""
+        out, code = {}, 0
+        for length in range(1, 16):
+            for symbol, x in enumerate(lengths):
+                if x == length:
+                    out[length, code] = symbol
+                    code += 1
+            code <<= 1
+        return {(0, 0): next(iter(out.values()))} if len(out) == 1 else out
+
+    def symbol(codes):
+        length = code = 0
+        while (length, code) not in codes:
+            length, code = length + 1, code << 1 | number(1)
+        return codes[length, code]
+
+    def read_book(alphabet):
+        if number(1):
+            two, wide = number(1), number(1)
+            used = [number(8 if wide else 1), *([number(8)] if two else [])]
+            return book([int(k in used) for k in range(256)])
+        own = dict.fromkeys(range(19), 0)
+        for k in [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15][: 4 + number(4)]:
+            own[k] = number(3)
+        assert number(1) == 0
+        codes, lengths, last = book([own[k] for k in range(19)]), [], 8
+        while len(lengths) < alphabet:
+            x = symbol(codes)
+            if x < 16:
+                lengths.append(x)
+                last = x or last
+            else:
+                lengths += [last] * (3 + number(2)) if x == 16 else [0] * (3 + number(3) if x == 17 else 11 + number(7))
+        assert len(lengths) == alphabet
+        return book(lengths)
+
+    def value(prefix):
+        return prefix + 1 if prefix < 4 else ((2 + prefix % 2) << (prefix - 2) // 2) + number((prefix - 2) // 2) + 1
+
+    def image(width, height, main):
+        assert number(2 if main else 1) == 0
+        books, out = [read_book(a) for a in (280, 256, 256, 256, 40)], []
+        while len(out) < width * height:
+            s = symbol(books[0])
+            if s < 256:
+                red, blue, alpha = (symbol(b) for b in books[1:4])
+                out.append((alpha, red, s, blue))
+                continue
+            seen["copies"] += 1
+            n, code = value(s - 256), value(symbol(books[4]))
+            x, y = W.NEIGHBOURS[code - 1] if code <= 120 else (code - 120, 0)
+            for _ in range(n):
+                out.append(out[-max(1, x + y * width)])
+        return out
+
+    assert number(8) == 0x2F
+    width, height, _, version = number(14) + 1, number(14) + 1, number(1), number(3)
+    assert version == 0 and [number(1), number(2), number(1), number(2)] == [1, 2, 1, 3]
+    colours = number(8) + 1
+    palette, pixel = [], (0, 0, 0, 0)
+    for step in image(colours, 1, False):
+        pixel = tuple((a + b) & 255 for a, b in zip(pixel, step, strict=True))
+        palette.append(pixel)
+    assert number(1) == 0
+    pack = 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
+    packed = (width + (1 << pack) - 1) >> pack
+    index = [p[2] for p in image(packed, height, True)]
+    out = []
+    for row in range(height):
+        for x in range(width):
+            cell = index[row * packed + (x >> pack)] >> ((x & ((1 << pack) - 1)) * (8 >> pack))
+            alpha, red, green, blue = palette[cell & ((1 << (8 >> pack)) - 1) if pack else cell]
+            assert (alpha, (red + green) & 255, (blue + green) & 255) == (255, green, green)
+            out.append(green)
+    return bytes(out), seen
+
+
+@pytest.mark.parametrize("segment", [1 << 20, 256])
+def test_stored_files_by_a_plain_reader(monkeypatch, segment):
+    monkeypatch.setattr(W, "SEGMENT", segment)
+    monkeypatch.setattr(W, "WINDOW", 64 if segment == 256 else 1 << 14)
+    texts = ["", "a", "ab" * 300, "the cat and the dog and the bird sat on the mat; " * 20 + "end", "Größe ça 漢字 " * 40, "".join(map(chr, range(32, 255))) * 3, bytes(RNG.integers(97, 110, 3000, dtype=np.uint8)).decode()]
+    copies = 0
+    for text in texts:
+        raw = text.encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        media = W.stored(payload)
+        samples, seen = plain_reader(media)
+        assert samples[: len(payload)] == payload == W.loaded(media, len(payload)) and len(samples) == len(payload)
+        copies += seen["copies"]
+    assert copies > 5
+
+
+def test_large_payloads_have_four_samples_a_pixel(monkeypatch):
+    monkeypatch.setattr(W, "MOST_GREY", 128)
+    payload = bytes(RNG.integers(0, 50, 64 * 9, dtype=np.uint8))
+    media = W.stored(payload)
+    assert W.decode(media).shape == (9, 16) and W.loaded(media, len(payload)) == payload
