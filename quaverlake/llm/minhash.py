@@ -10,6 +10,9 @@ Words are runs of bytes other than 0x20 and 0x09-0x0D, after lower-casing A-Z. A
 fewer words, the whole sequence; without words or text it is empty and linked with nothing. Two
 documents are linked if 100 * intersection >= 75 * union.
 
+Sets hold 64-bit hashes of runs of words, whose words are hashed in two prime fields (see words.py); a link compares the full sets of its two
+documents, so a wrong one needs equal hashes inside one pair, a chance of about n**2 / 2**64 for n shingles.
+
 How it scales. Documents with equal sets collapse to one representative first. In each band bucket all
 members are compared with its smallest member only, which connects most of a group of near copies without its pairs. Buckets whose members then
 still lie in different components are finished in blocks of bounded size: those outside the largest component meet all other members, and a
@@ -42,6 +45,8 @@ GROUP_SHINGLES = 200_000
 #: Members on either side of a block.
 BLOCK = 512
 NEAR, OF = 75, 100
+#: Groups that a class of equal sets is dealt into.
+SALTS = 64
 
 _tables: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -210,8 +215,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sign = lambda df: df.mapInArrow(lambda it: _sign(it, shingle, bands, rows, seed), "id long, tag long, text string, n long, mark binary, keys array<long>, low binary")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("tag"), F.col(text_col).cast("string").alias("text"))
     signed = cut(sign(texts).drop("text", "low"))
-    full = signed.where("mark is not null and id is not null")
-    classes = full.groupBy("mark").agg(F.min(F.struct("id", "tag")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    full = signed.where("mark is not null and id is not null").withColumn("salt", F.pmod(F.xxhash64("id", "tag"), F.lit(SALTS)))
+    classes = full.groupBy("mark").agg(F.min(F.struct("id", "tag")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.collect_set("salt").alias("salts"))
     keyed = classes.select("rep", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("rep", "n")).alias("hub")).where("members > 1").select("key", "hub")
     crowd = cut(keyed.hint("merge").join(shared, "key").select("key", F.col("rep.id").alias("rep"), F.col("rep.tag").alias("tag"), "n", F.col("hub.rep.id").alias("hub"), F.col("hub.n").alias("hub_n")))
@@ -221,7 +226,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = cut(sign(texts.hint("merge").join(wanted, ["id", "tag"]).dropDuplicates(["id", "tag"])).select(F.col("id").alias("rep"), "text", "keys", "low"))
 
     # An id that stands on several rows belongs to the classes of all of them.
-    member = full.join(classes.select("mark", F.col("rep.id").alias("rep")), "mark").select("id", "rep")
+    # Members of a large class meet their representative in SALTS groups.
+    member = full.join(classes.select("mark", F.col("rep.id").alias("rep"), F.explode("salts").alias("salt")), ["mark", "salt"]).select("id", "rep")
     again = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.collect_set("rep").alias("all")).where("a < z").select("a", F.explode("all").alias("b"))
     first = components(_stars(crowd, held, shingle, near, of).union(again))
     least = int(near / of * k - 6 * (k * near / of * (1 - near / of)) ** 0.5)  # six standard deviations below what the threshold makes likely

@@ -32,6 +32,8 @@ KEY = "mix-1"
 #: Hex digits of the hash that name a range: 4096 ranges a source.
 RANGE_DIGITS = 3
 LATE = 1 << 62
+#: Slots of a period, about 8 bytes each, up to which the schedule is broadcast; a longer one is joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 
 def quotas(counts: DataFrame, period: int, weights: dict[str, float] | None = None) -> DataFrame:
@@ -74,20 +76,25 @@ def interleave(docs: DataFrame, source_col: str = "source", id_col: str = "doc_i
     """The rows of docs with block (of its source, from 0), slot and place (in the block, from 0). The mixture is the order of (slot, place)."""
     docs = docs.drop("block", "slot", "place")
     same = F.coalesce(F.col(id_col).cast("string"), *([F.col("text").cast("string")] if "text" in docs.columns else []), F.lit(""))
-    rows = docs.withColumns({"_source": _named(source_col), "_hash": F.md5(F.concat(F.lit(key + "|"), same))}).withColumn("_range", F.substring("_hash", 1, RANGE_DIGITS))
-    ranges = cut(rows.groupBy("_source", "_range").agg(F.count("*").alias("rows")))
-    counts = ranges.groupBy(F.col("_source").alias("source")).agg(F.sum("rows").alias("total"))
-    period = max(period, 4 * counts.count())
-    # At most `period` numbers in all, as every source has at least one slot.
-    plan = F.broadcast(cut(schedule(quotas(counts, period, weights), period)).withColumnRenamed("source", "_source"))
-    earlier = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.select("_source", "_range", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_source", "_range").orderBy("_hash", F.xxhash64(*[F.col(c) for c in docs.columns]))
-    ranked = rows.withColumn("_number", F.row_number().over(within)).join(offsets, ["_source", "_range"]).join(plan, "_source")
-    rank = F.col("_before") + F.col("_number") - 1
+    # The row is one column, so that no column of the input clashes with those made here.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), _named(source_col).alias("source"), F.md5(F.concat(F.lit(key + "|"), same)).alias("hash")).withColumn("range", F.substring("hash", 1, RANGE_DIGITS))
+    ranges = cut(rows.groupBy("source", "range").agg(F.count("*").alias("rows")))
+    counts = ranges.groupBy("source").agg(F.sum("rows").alias("total"))
+    sources = counts.count()
+    period = max(period, 4 * sources)
+    # One row a source, with `period` numbers in all, as every source has at least one slot.
+    plan = cut(schedule(quotas(counts, period, weights), period))
+    if period <= MOST_BROADCAST:
+        plan = F.broadcast(plan)
+    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select("source", "range", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy("source", "range").orderBy("hash", F.xxhash64("row"))
+    ranked = rows.withColumn("number", F.row_number().over(within)).join(offsets, ["source", "range"]).join(plan, "source")
+    rank = F.col("before") + F.col("number") - 1
     block = F.floor(rank / block_rows)
     slot = F.floor(block / F.col("quota")) * period + F.get("slots", (block % F.col("quota")).cast("int"))
-    return ranked.select(*docs.columns, block.alias("block"), slot.alias("slot"), (rank % block_rows).alias("place"))
+    return ranked.select("row.*", block.alias("block"), slot.alias("slot"), (rank % block_rows).alias("place"))
 
 
 def op9_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,9 @@
 A word is a run of bytes other than 0x20 and 0x09-0x0D. Numpy works on the bytes of
 many texts at once; texts are handed over in slices of bounded size, so memory does not
 follow the batch, and one long text is hashed piece by piece.
+
+A word's hash is that of two polynomials modulo different primes of 31 bits; powers of two as modulus, which arithmetic would give for free,
+let anyone make different words with equal hashes.
 """
 
 from __future__ import annotations
@@ -18,11 +21,13 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-#: Bytes of text that are hashed at once; about 40 bytes of working memory each.
+#: Bytes of text that are hashed at once; about 60 bytes of working memory each.
 PIECE = 1 << 19
 
-BASE = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2**64
-_pow: dict[str, np.ndarray] = {}
+#: Prime moduli and bases of a word's two hashes, and the factor between the words of a window.
+FIELDS = ((2147483647, 1103515249), (2147483629, 1664525911))
+BASE = 0x9E3779B97F4A7C15 | 1
+_pow: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,22 +37,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_pow.get("up", ())) < n:
-        size = max(n, PIECE)
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _pow[name] = np.multiply.accumulate(p)
-    return _pow["up"], _pow["down"]
+def _powers(field: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of a field's base and of its inverse, as many as a piece needs; those of longer words are not kept."""
+    if field in _pow and len(_pow[field][0]) >= n:
+        return _pow[field]
+    modulus, base = FIELDS[field]
+    out = []
+    for x in (base, pow(base, -1, modulus)):
+        p = np.ones(1, np.uint64)
+        while len(p) < max(n, PIECE + 1):
+            p = np.concatenate([p, p * np.uint64(pow(x, len(p), modulus)) % np.uint64(modulus)])
+        out.append(p)
+    if n <= PIECE + 1:
+        _pow[field] = out[0][: PIECE + 1], out[1][: PIECE + 1]
+    return out[0], out[1]
 
 
 def _hash_piece(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of data[begin:end] for each word, by prefix sums of byte * BASE**position modulo 2**64."""
-    up, down = _powers(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=prefix[1:])
-    return mix((prefix[end] - prefix[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    """Hash of data[begin:end] for each word, by prefix sums of (byte + 1) * base**position in each field."""
+    values, parts = data.astype(np.uint64) + np.uint64(1), []
+    for field, (modulus, _) in enumerate(FIELDS):
+        up, down = _powers(field, len(data) + 1)
+        terms = values * up[: len(data)]
+        if len(data) > 1 << 24:
+            terms %= np.uint64(modulus)  # the sum of more would not fit
+        prefix = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(terms, out=prefix[1:])
+        parts.append((prefix[end] - prefix[begin]) % np.uint64(modulus) * down[begin] % np.uint64(modulus))
+    return mix(parts[0] << np.uint64(31) | parts[1] ^ ((end - begin).astype(np.uint64) << np.uint64(62)))
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -4,6 +4,7 @@ from collections import defaultdict
 import duckdb
 import pytest
 
+from quaverlake.llm import pfair
 from quaverlake.llm.pfair import OP9_SQL, interleave, op9_pfair, quotas, schedule
 
 
@@ -64,3 +65,15 @@ def test_query_matches_sql(spark):
     got = op9_pfair(spark, d)
     assert sorted(names) == sorted(got.columns)
     assert sorted(tuple(r[n] for n in names) for r in got.collect()) == sorted(cur.fetchall())
+
+
+def test_columns_of_any_name_and_a_long_period(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"s{i % 3}", "x" * (i % 2 * 100_000)) for i in range(200)], "doc_id long, source string, text string")
+    more = df.selectExpr("*", *[f"1 AS {n}" for n in ("quota", "slots", "_number", "_before", "_range", "range", "hash", "number", "before", "row", "rows")])
+    plain, odd = interleave(df), interleave(more)
+    assert odd.columns == [*more.columns, "block", "slot", "place"] and odd.where("quota = 1 and row = 1 and hash = 1").count() == 200
+    key = lambda d: sorted((r.doc_id, r.block, r.slot, r.place) for r in d.collect())
+    want = key(plain)
+    assert key(odd) == want
+    monkeypatch.setattr(pfair, "MOST_BROADCAST", 10)
+    assert key(interleave(df)) == want
