@@ -166,10 +166,10 @@ def canonical_album_artist(v):
     return D.canonical_album_artist(I.document_artists(_all_documents(v)))
 
 
-@query(f"SELECT u.artist_id, d.id, d.native_rating FROM ({_TRACK_DOCS}) d, (SELECT unnest(string_split(artist_ids, ',')) AS artist_id, id FROM ({_TRACK_DOCS}) x) u WHERE u.id = d.id AND u.artist_id IN (SELECT source_id FROM v_artists WHERE name LIKE '%5')")
+@query(f"SELECT u.artist_id, d.id, d.native_rating FROM ({_TRACK_DOCS}) d, (SELECT unnest(string_split(artist_ids, ',')) AS artist_id, id FROM ({_TRACK_DOCS}) x) u WHERE u.id = d.id AND u.artist_id IN (SELECT source_id FROM v_artists)")
 def artist_media(v):
     docs = _all_documents(v)
-    return D.artist_media(v.artists.where("name like '%5'").select(F.col("source_id").alias("artist_id")), I.document_artists(docs), docs, "track").select("artist_id", "id", "native_rating")
+    return D.artist_media(v.artists.select(F.col("source_id").alias("artist_id")), I.document_artists(docs), docs, "track").select("artist_id", "id", "native_rating")
 
 
 # Text.
@@ -206,9 +206,9 @@ def text_forms(v):
 
 @query(f"""SELECT a.query_id, CAST(d AS INT) AS distance, round(CASE WHEN len(ga) > 0 AND len(gb) > 0 THEN 2.0 * len(list_intersect(ga, gb)) / (len(ga) + len(gb)) ELSE 0 END, 9) AS dice FROM
   (SELECT query_id, CASE WHEN levenshtein(x, y) <= 3 THEN levenshtein(x, y) ELSE 4 END AS d, list_distinct(list_transform(range(1, length(x) - 1), lambda i: substring(x, i, 3))) AS ga, list_distinct(list_transform(range(1, length(y) - 1), lambda i: substring(y, i, 3))) AS gb FROM
-  (SELECT query_id, {_c(_n('q.text'))} AS x, {_c(_n('t.title'))} AS y FROM v_queries q JOIN v_titles t ON t.id = substring(q.query_id, 5) WHERE q.query_id LIKE 'q10%' OR q.query_id LIKE 'q1%')) a""")
+  (SELECT query_id, {_c(_n('q.text'))} AS x, {_c(_n('t.title'))} AS y FROM v_queries q JOIN v_titles t ON q.query_id = 'q' || CAST(100000 + CAST(t.id AS BIGINT) AS VARCHAR))) a""")
 def similarity(v):
-    pairs = v.queries.where("query_id like 'q1%'").join(v.titles.withColumn("n", F.col("id")), F.expr("id = substring(query_id, 5)"))
+    pairs = v.queries.join(v.titles.withColumn("query_id", F.concat(F.lit("q"), (100_000 + F.col("id").cast("long")).cast("string"))), "query_id")
     x, y = T.compact(T.normalise(F.col("text"))), T.compact(T.normalise(F.col("title")))
     return pairs.select("query_id", T.bounded_edit(x, y, 3).alias("distance"), F.round(T.trigram_dice(T.trigrams(x), T.trigrams(y)), 9).alias("dice"))
 
@@ -357,11 +357,52 @@ def lane_report(v):
     return R.lane_report(matched, R.best(matched, F.desc("score"), group=["query_id", "lane"]))
 
 
+_MORE_LANES = _CANDIDATES.replace("key FROM field_forms) WHERE", "key FROM field_forms UNION ALL SELECT 'backwards', reverse(c), key FROM field_forms) WHERE").replace("s FROM span_forms) WHERE", "s FROM span_forms UNION ALL SELECT query_id, 'backwards', reverse(c) FROM span_forms) WHERE")
+_BACKWARDS = I.EquivalenceProvider("backwards", "backwards", 1210, lambda c: F.array(F.reverse(T.compact(T.normalise(c)))), lambda span, number, whole: F.array(F.reverse(T.compact(span))))
+
+
+@query(f"""WITH {_MORE_LANES}, firsts AS (SELECT query_id, key, min(CASE lane WHEN 'normalised' THEN 1 WHEN 'compact' THEN 2 WHEN 'skeleton' THEN 3 ELSE 4 END) AS p FROM candidates GROUP BY ALL)
+  SELECT m.query_id, m.lane, m.matched, coalesce(r.retrieved, 0) AS retrieved, coalesce(n.fresh, 0) AS fresh FROM (SELECT query_id, lane, count(*) AS matched FROM matches GROUP BY ALL) m LEFT JOIN (SELECT query_id, lane, count(*) AS retrieved FROM candidates GROUP BY ALL) r USING (query_id, lane)
+  LEFT JOIN (SELECT query_id, CASE p WHEN 1 THEN 'normalised' WHEN 2 THEN 'compact' WHEN 3 THEN 'skeleton' ELSE 'backwards' END AS lane, count(*) AS fresh FROM firsts GROUP BY ALL) n USING (query_id, lane)""")
+def register_equivalence(v):
+    """The report of lanes with one that was added."""
+    providers = I.register_equivalence([], _BACKWARDS)
+    matched = R.lookup_matches(R.span_terms(v.queries, phonetic=False, providers=providers), I.lookup_terms(_docs(v), phonetic=False, providers=providers))
+    return R.lane_report(matched, R.best(matched, F.desc("score"), group=["query_id", "lane"]))
+
+
 @query("SELECT 'track:' || id AS key, CAST((SELECT count(*) FROM v_titles WHERE native_rating >= 60) AS BIGINT) AS matched FROM v_titles WHERE native_rating >= 60 ORDER BY id LIMIT 80")
 def constraint_scan(v):
     return R.constraint_scan(_docs(v), F.col("native_rating") >= 60).select("key", "matched")
 
 
+# Whole texts: documents as titles and benchmark items as queries, every word of both.
+
+
+def _whole(v):
+    docs = v.spark.read.parquet(f"{v.dir}/documents.parquet")
+    nothing = lambda kind: F.lit(None).cast(kind)
+    return docs.select(F.lit("track").alias("kind"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("title"), nothing("string").alias("artist"), nothing("string").alias("album"), F.lit(0).alias("native_rating"), nothing("array<string>").alias("artist_ids"), nothing("int").alias("year"), nothing("array<string>").alias("genre_keys"))
+
+
+def _items(v):
+    return v.spark.read.parquet(f"{v.dir}/benchmark.parquet").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("query_id"), "text")
+
+
+_WHOLE = "docs AS (SELECT 'track' AS kind, CAST(doc_id AS VARCHAR) AS id, text AS title, CAST(NULL AS VARCHAR) AS album FROM documents)"
+_WHOLE_WORDS = _WORDS.replace(_DOCS, _WHOLE)
+
+
+@query(f"WITH {_WHOLE_WORDS} SELECT key, term, tf, CAST(length AS BIGINT) AS length FROM posts")
+def text_token_postings(v):
+    return I.token_postings(_whole(v))
+
+
+@query(f"""WITH {_WHOLE_WORDS}, {_bm25(f"SELECT query_id, word AS term, key, tf, length FROM (SELECT DISTINCT 'b' || item_id AS query_id, unnest(list_filter(string_split({_n('text')}, ' '), lambda x: x <> '')) AS word FROM benchmark) q JOIN posts ON starts_with(posts.term, word)")} {_top80('token_prefix')}""")
+def text_prefix_candidates(v):
+    return R.prefix_candidates(_items(v), I.token_postings(_whole(v))).withColumn("score", F.round("score", 6))
+
+
 # Selection. The draw is the first 13 hex digits of an MD5, which DuckDB can make too.
 
 
@@ -419,6 +460,42 @@ def browse_years(v):
     return A.browse(_tables(v), "years")
 
 
+@query("SELECT source_id AS id, name AS title FROM v_artists ORDER BY upper(name), source_id LIMIT 50")
+def browse_artists(v):
+    return A.browse(_tables(v), "artists")
+
+
+@query("SELECT source_id AS id, title FROM v_albums ORDER BY upper(title), source_id LIMIT 50")
+def browse_albums(v):
+    return A.browse(_tables(v), "albums")
+
+
+@query("SELECT source_id AS id, name AS title FROM v_genres ORDER BY upper(name), source_id LIMIT 50")
+def browse_genres(v):
+    return A.browse(_tables(v), "genres")
+
+
+@query("SELECT source_id AS id, title FROM v_albums WHERE year = (SELECT min(year) FROM v_albums) ORDER BY upper(title), source_id LIMIT 50")
+def browse_albums_of_year(v):
+    year = v.albums.agg(F.min("year")).first()[0]
+    return A.browse(_tables(v), "albums_of_year", str(year))
+
+
+def _dated(v):
+    number = F.substring("source_id", 2, 20).cast("long")
+    return _tables(v) | {"tracks": v.tracks.withColumns({"added_at": F.timestamp_seconds(number % 700 * 86_400), "track_number": F.when(number % 4 > 0, number % 13)})}
+
+
+@query("SELECT b.source_id AS id, b.title FROM v_albums b JOIN (SELECT album_id, max(CAST(substring(source_id, 2) AS BIGINT) % 700) AS added FROM v_tracks GROUP BY album_id) t ON t.album_id = b.source_id ORDER BY added DESC, upper(b.title), b.source_id LIMIT 10 OFFSET 3")
+def browse_recent_albums(v):
+    return A.browse(_dated(v), "recent_albums", None, 3, 10)
+
+
+@query("SELECT id, title FROM (SELECT source_id AS id, title, CAST(substring(source_id, 2) AS BIGINT) AS n FROM v_tracks WHERE album_id = 'Brand#3') ORDER BY CASE WHEN n % 4 > 0 THEN n % 13 END NULLS LAST, upper(title), id LIMIT 50")
+def browse_tracks_of_album(v):
+    return A.browse(_dated(v), "tracks_of_album", "Brand#3")
+
+
 # Observations.
 
 _MARKED = "(SELECT c.observation_id, c.correlation_id, c.position, c.title, s.at AS selected_at FROM v_candidates c LEFT JOIN (SELECT correlation_id, min(selected_at) AS at FROM v_selections GROUP BY correlation_id) s USING (correlation_id))"
@@ -540,10 +617,10 @@ def request_summary(v):
     return L.request_summary(calls)
 
 
-@query("SELECT event_id, 'browseRef' AS path, 'r' || event_id % 50 AS reference, CASE WHEN event_id % 50 < 20 THEN 'title ' || event_id % 50 END AS title FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, 'items[1]', 'p' || event_id % 50, NULL FROM events WHERE event_type = 'click'")
+@query("SELECT event_id, 'browseRef' AS path, 'r' || event_id % 50 AS reference, CASE WHEN event_id % 50 < 20 THEN 'title ' || event_id % 50 END AS title FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, 'items[1]', CASE event_id % 4 WHEN 0 THEN '0f' || event_id % 50 WHEN 1 THEN '-' || event_id % 50 WHEN 2 THEN '[' || event_id % 50 ELSE 'null' END, NULL FROM events WHERE event_type = 'click'")
 def reference_snapshots(v):
     number = (F.col("call_id") % 50).cast("string")
-    arguments = F.when(F.col("tool") == "view", F.concat(F.lit('{"browseRef":"r'), number, F.lit('"}'))).otherwise(F.concat(F.lit('{"items":[5,"p'), number, F.lit('",{"a":1}]}')))
+    arguments = F.when(F.col("tool") == "view", F.concat(F.lit('{"browseRef":"r'), number, F.lit('"}'))).otherwise(F.concat(F.lit('{"items":[5,"'), F.element_at(F.array(F.concat(F.lit("0f"), number), F.concat(F.lit("-"), number), F.concat(F.lit("["), number), F.lit("null")), (F.col("call_id") % 4 + 1).cast("int")), F.lit('",{"a":1},null,true,["x"]]}')))
     calls = v.calls.where("tool in ('view', 'click')").withColumns({"arguments": arguments, "tool": F.when(F.col("tool") == "view", "browse").otherwise("play")})
     known = v.spark.range(20).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("reference"), F.concat(F.lit("title "), F.col("id").cast("string")).alias("title"))
     return L.reference_snapshots(calls, known).select(F.col("call_id").alias("event_id"), "path", "reference", "title")
@@ -575,7 +652,10 @@ def validate_rows(v):
 
 @query("SELECT s_suppkey AS supplier, len(list_distinct(list_filter(list_transform(string_split(parts, ','), lambda x: trim(x)), lambda x: x <> ''))) AS ids FROM (SELECT l_suppkey AS s_suppkey, string_agg(CASE WHEN l_partkey % 9 = 0 THEN '' ELSE ' ' || l_partkey END, ',') AS parts FROM lineitem GROUP BY l_suppkey)")
 def split_ids(v):
+    """The lists of suppliers with an even key are JSON arrays, of strings and numbers."""
     rows = v.spark.read.parquet(f"{v.dir}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("supplier")).agg(F.array_join(F.collect_list(F.when(F.col("l_partkey") % 9 == 0, "").otherwise(F.concat(F.lit(" "), F.col("l_partkey").cast("string")))), ",").alias("parts"))
+    array = F.concat(F.lit(" ["), F.array_join(F.transform(F.split("parts", ","), lambda x: F.when(F.length(x) % 2 == 0, F.concat(F.lit('"'), x, F.lit('"'))).otherwise(F.coalesce(F.nullif(F.trim(x), F.lit("")), F.lit("null")))), ","), F.lit("]"))
+    rows = rows.withColumn("parts", F.when(F.col("supplier") % 2 == 0, array).otherwise(F.col("parts")))
     return rows.select("supplier", F.size(S.split_ids(F.col("parts"))).cast("long").alias("ids"))
 
 
@@ -593,4 +673,4 @@ def full_search(v):
     number = F.substring("query_id", 2, 20).cast("long")
     asked = v.queries.withColumns({"rating": F.when(number % 7 == 0, 3.0), "match": F.when(number % 7 == 0, "at_least"), "genre": F.when(number % 11 == 0, "en"), "from_year": F.when(number % 13 == 0, 80), "to_year": F.when(number % 13 == 0, 99)})
     asked = asked.withColumn("text", F.when(number % 17 == 0, "").otherwise(F.col("text")))
-    return P.search(asked, _docs(v), "seed", 2026)
+    return P.search(asked, _docs(v), "seed", 2026, titles=v.singers.select("id", "title"), phrases=["zz"])

@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _observed(meta: DataFrame) -> DataFrame:
+    return meta.withColumn("observation_id", F.sha2(F.concat_ws("|", "query_id", F.col("created_at").cast("string")), 256))
+
+
 def record_observations(results: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(observations, candidates) of search results (query_id, key, kind, title, place, native_rating) and meta (query_id, created_at, query, status).
 
     Ids are hashes, so a repeated run gives the same. Only tracks have a public rating, native / 20."""
-    ids = meta.withColumn("observation_id", F.sha2(F.concat_ws("|", "query_id", F.col("created_at").cast("string")), 256))
+    ids = _observed(meta)
     observations = ids.select("observation_id", "created_at", "query", "status")
     rows = results.join(ids.select("query_id", "observation_id"), "query_id")
     candidates = rows.select("observation_id", F.sha2(F.concat_ws("|", "observation_id", "key"), 256).alias("correlation_id"), F.col("place").alias("position"), "kind", "title", F.when(F.col("kind") == "track", (F.col("native_rating") / 20).cast("decimal(5,2)")).alias("rating"), F.lit(None).cast("timestamp").alias("selected_at"))
     return observations, candidates
 
 
+def record_requests(requests: DataFrame, meta: DataFrame) -> DataFrame:
+    """(observation_id, sequence, kind, status, duration_ms) of the requests (query_id, started_at, kind, status, duration_ms) that searches made; the sequence counts from 1 in the order of
+    their starts. Durations below 0 and null ones are 0."""
+    rows = requests.join(_observed(meta).select("query_id", "observation_id"), "query_id")
+    order = Window.partitionBy("observation_id").orderBy("started_at", "kind", "status", "duration_ms")
+    return rows.select("observation_id", F.row_number().over(order).alias("sequence"), "kind", "status", F.greatest(F.coalesce(F.col("duration_ms").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("duration_ms"))
+
+
 def retrieval_durations(requests: DataFrame, observations: DataFrame) -> DataFrame:
     """(observation_id, retrieval_ms, processing_ms). Index and provider requests run side by side with the playlist search, expansions one after
     another, name-free requests side by side. requests: observation_id, kind (index, provider, expansion, name_free), duration_ms; observations: playlist_ms, total_ms."""

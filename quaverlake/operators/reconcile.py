@@ -80,16 +80,26 @@ def catalogue_summary(tables: dict[str, DataFrame], warnings: DataFrame) -> Data
     return out
 
 
-def replace_snapshot(current: DataFrame, new: DataFrame, snapshot_id: str, limit: int = 10_000, available: bool = True) -> DataFrame:
-    """The rows (id, title) of a new snapshot as the only one, after checks; a failed check raises and leaves the current rows."""
+def replace_snapshot(current: DataFrame | None, new: DataFrame, snapshot_id: str, limit: int = 10_000, available: bool = True) -> DataFrame:
+    """current (id, title, snapshot_id, all snapshots that are stored) with the rows (id, title) of a new snapshot staged beside them, after checks; a failed check raises and the
+    current rows stay. The new rows count once the state names their snapshot (activate_snapshot)."""
     checks = new.agg(
         F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.count_if(F.coalesce(F.trim("id"), F.lit("")) == "").alias("blank"),
         F.count_if((F.length("id") > 256) | F.col("title").isNull() | (F.length("title") > 1024)).alias("long"),
     ).first()
     wrong = "unavailable but not empty" if not available and checks.n else "too many rows" if checks.n > limit else "blank ids" if checks.blank else "repeated ids" if checks.ids < checks.n else "too long" if checks.long else ""
+    if not wrong and current is not None and not current.where(F.col("snapshot_id") == snapshot_id).isEmpty():
+        wrong = "the snapshot is there already"
     if wrong:
         raise ValueError(wrong)
-    return new.select("id", "title", F.lit(snapshot_id).alias("snapshot_id"))
+    staged = new.select("id", "title", F.lit(snapshot_id).alias("snapshot_id"))
+    return staged if current is None else current.select("id", "title", "snapshot_id").unionByName(staged)
+
+
+def activate_snapshot(rows: DataFrame, snapshot_id: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, state): the one-row state that names the snapshot, and the rows without those of inactive snapshots."""
+    state = rows.sparkSession.createDataFrame([(snapshot_id,)], "active_snapshot_id string")
+    return rows.where(F.col("snapshot_id") == snapshot_id), state
 
 
 def active_rows(rows: DataFrame, state: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from . import index as I
 
 LIMIT = 80
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Distinct (query, trigram) rows, some 40 bytes each, up to which they are sent to the postings; more of them meet the postings by a shuffle on trigrams.
+MOST_SENT = 1_000_000
 LANES = ["normalised", "compact", "skeleton", "double_metaphone", "acronym", "roman_cardinal", "token_prefix", "trigram"]
 
 
@@ -107,12 +109,15 @@ def prefix_candidates(queries: DataFrame, postings: DataFrame, allowed: DataFram
 
 
 def trigram_matches(queries: DataFrame, postings: DataFrame) -> DataFrame:
-    """A trigram stands for itself, so its weight in a document is made once, on the postings' side, and only for trigrams that are asked for."""
+    """A trigram stands for itself, so its weight in a document is made once, on the postings' side, and only for trigrams that are asked for. A bounded set of queries is sent to
+    postings that are dealt by document: a document's score is then summed where it lies, and only the best of each part are shuffled."""
     grams = queries.select("query_id", F.explode(T.trigrams(T.compact(T.normalise(F.col("text"))))).alias("term"))
     asked = postings.join(grams.select("term").distinct(), "term", "left_semi")
     df = asked.groupBy("term").agg(F.count("*").alias("df"))
     weights = asked.join(df, "term").crossJoin(_size(postings)).select("term", "key", _weight().alias("w"))
-    return grams.join(weights, "term").groupBy("query_id", "key").agg((F.sum("w") / 1e9).alias("score"))
+    if grams.count() <= MOST_SENT:
+        grams, weights = F.broadcast(grams), weights.repartition("key")
+    return weights.join(grams, "term").groupBy("query_id", "key").agg((F.sum("w") / 1e9).alias("score"))
 
 
 def trigram_candidates(queries: DataFrame, postings: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
@@ -128,11 +133,13 @@ def collect_candidates(*lanes: DataFrame) -> DataFrame:
     return rows.groupBy("query_id", "key").agg(F.array_sort(F.collect_set("lane")).alias("lanes"))
 
 
-def lane_report(matched: DataFrame, retrieved: DataFrame) -> DataFrame:
-    """(query_id, lane, matched, retrieved, fresh): before the limit, after it, and first found by this lane in the lanes' order."""
-    place = F.array_position(F.array(*map(F.lit, LANES)), F.col("lane"))
-    first = retrieved.groupBy("query_id", "key").agg(F.min(place).alias("p"))
-    fresh = first.groupBy("query_id", F.element_at(F.array(*map(F.lit, LANES)), F.col("p").cast("int")).alias("lane")).agg(F.count("*").alias("fresh"))
+def lane_report(matched: DataFrame, retrieved: DataFrame, lanes: list[str] = LANES) -> DataFrame:
+    """(query_id, lane, matched, retrieved, fresh): before the limit, after it, and first found by this lane in the lanes' order. Lanes that the list does
+    not name come after it, by name."""
+    place = F.array_position(F.array(*map(F.lit, lanes)), F.col("lane"))
+    order = F.struct(F.when(place > 0, place).otherwise(len(lanes) + 1).alias("place"), "lane")
+    first = retrieved.groupBy("query_id", "key").agg(F.min(order).alias("p"))
+    fresh = first.groupBy("query_id", F.col("p.lane").alias("lane")).agg(F.count("*").alias("fresh"))
     before = matched.groupBy("query_id", "lane").agg(F.count("*").alias("matched"))
     after = retrieved.groupBy("query_id", "lane").agg(F.count("*").alias("retrieved"))
     return before.join(after, ["query_id", "lane"], "left").join(fresh, ["query_id", "lane"], "left").select("query_id", "lane", "matched", F.coalesce("retrieved", F.lit(0)).alias("retrieved"), F.coalesce("fresh", F.lit(0)).alias("fresh"))

@@ -1,71 +1,50 @@
-"""The search index as immutable generations: staged, checked, then switched to by a pointer written last."""
+"""The search index as immutable generations: tables in a folder of their own, and one row in a table of generations once they are complete."""
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 NAMES = ["documents", "lookup_terms", "token_postings", "trigram_postings"]
+GENERATION = "number long, name string, version string, documents long"
 
 
-def _fs(spark: SparkSession, root: str):
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+def _path(spark: SparkSession, path: str):
+    out = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return out, out.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _write(spark: SparkSession, root: str, name: str, value: dict) -> None:
-    """A small file, by writing another and renaming it."""
-    fs, path = _fs(spark, root)
-    spare = path(f"{root}/.{name}.{uuid.uuid4().hex}")
-    out = fs.create(spare, True)
-    out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
-    out.close()
-    target = path(f"{root}/{name}")
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(spare, target)
-
-
-def _read(spark: SparkSession, root: str, name: str) -> dict | None:
-    fs, path = _fs(spark, root)
-    target = path(f"{root}/{name}")
-    if not fs.exists(target):
-        return None
-    return json.loads("".join(r.value for r in spark.read.text(str(target.toString())).collect()))
+def _generations(spark: SparkSession, root: str) -> list:
+    """Published generations, the newest first."""
+    path, files = _path(spark, f"{root}/generations")
+    return spark.read.schema(GENERATION).parquet(f"{root}/generations").orderBy("number", ascending=False).collect() if files.exists(path) else []
 
 
 def publish_index(spark: SparkSession, index: dict[str, DataFrame], root: str, version: str) -> str:
-    """Writes a generation, checks that each of its tables can be read and has the rows that were written, and makes it the current one. The one
-    before stays; older ones are deleted. A failure leaves the pointer as it is."""
-    generation = uuid.uuid4().hex
+    """Writes a generation, checks that each of its tables can be read and has the rows that were written, and appends its row, which makes it the current one. The one
+    before stays; the data of older ones are deleted. A failure appends nothing, so the current one stays."""
+    published, name = _generations(spark, root), uuid.uuid4().hex
     counts = {}
-    for name in NAMES:
-        df = index[name]
-        writer = df.write.partitionBy("lane") if name == "lookup_terms" else df.write
-        writer.parquet(f"{root}/{generation}/{name}")
-        counts[name] = spark.read.schema(df.schema).parquet(f"{root}/{generation}/{name}").count()
+    for table in NAMES:
+        df, at = index[table], f"{root}/{name}/{table}"
+        (df.write.partitionBy("lane") if table == "lookup_terms" else df.write).parquet(at)
+        counts[table] = spark.read.schema(df.schema).parquet(at).count()
     if counts["documents"] == 0:
         raise ValueError("an index without documents is not published")
-    _write(spark, f"{root}/{generation}", "manifest.json", {"version": version, "counts": counts})
-    pointer = _read(spark, root, "current.json") or {}
-    _write(spark, root, "current.json", {"current": generation, "previous": pointer.get("current")})
-    fs, path = _fs(spark, root)
-    for status in fs.listStatus(path(root)):
-        if status.isDirectory() and status.getPath().getName() not in (generation, pointer.get("current")):
-            fs.delete(status.getPath(), True)
-    return generation
+    number = published[0].number + 1 if published else 1
+    spark.createDataFrame([(number, name, version, counts["documents"])], GENERATION).coalesce(1).write.mode("append").parquet(f"{root}/generations")
+    for old in published[1:]:
+        path, files = _path(spark, f"{root}/{old.name}")
+        files.delete(path, True)
+    return name
 
 
 def open_index(spark: SparkSession, root: str, version: str) -> dict[str, DataFrame]:
-    """The tables of the current generation; another version's manifest is refused."""
-    pointer = _read(spark, root, "current.json")
-    if pointer is None:
+    """The tables of the current generation; one of another version is refused."""
+    published = _generations(spark, root)
+    if not published:
         raise ValueError("no index is published")
-    at = f"{root}/{pointer['current']}"
-    manifest = _read(spark, at, "manifest.json")
-    if manifest is None or manifest["version"] != version:
-        raise ValueError(f"the index has version {manifest and manifest['version']}, not {version}")
-    return {name: spark.read.parquet(f"{at}/{name}") for name in NAMES}
+    if published[0].version != version:
+        raise ValueError(f"the index has version {published[0].version}, not {version}")
+    return {table: spark.read.parquet(f"{root}/{published[0].name}/{table}") for table in NAMES}

@@ -14,20 +14,37 @@ from ..operators.reconcile import dedupe_last, upsert
 CALL = "call_id string, tool string, status string, started_at timestamp, completed_at timestamp, duration_ms double"
 
 
+def _versions(spark: SparkSession, target: str) -> list[int]:
+    """The committed versions of a table, from the oldest."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(int(f.getPath().getParent().getName()[1:]) for f in found)
+
+
+def current_pages(spark: SparkSession, target: str) -> DataFrame | None:
+    """The newest committed version of a table that stream_pages writes."""
+    versions = _versions(spark, target)
+    return spark.read.parquet(f"{target}/v{versions[-1]}") if versions else None
+
+
 def stream_pages(pages: DataFrame, target: str, key: str, order: str, refresh_id: str):
-    """A writer of typed pages into a Parquet table, batch by batch: the last row of a key wins and a replay gives the same table. Each batch writes a new
-    version folder, so a failed batch leaves the one before."""
+    """A writer of typed pages into a Parquet table, batch by batch: the last row of a key wins and a replay gives the same table. A batch starts from the newest
+    committed version, also under a new checkpoint, and writes the next; a failed batch leaves the one before. The two newest versions are kept."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
         fresh = dedupe_last(batch, key, order).drop(order)
-        stored = fresh.limit(0).withColumn("seen_refresh_id", F.lit(refresh_id)) if batch_id == 0 else spark.read.parquet(f"{target}/v{batch_id - 1}")
-        upsert(stored, fresh, key, refresh_id).write.mode("overwrite").parquet(f"{target}/v{batch_id}")
+        versions = _versions(spark, target)
+        stored = spark.read.parquet(f"{target}/v{versions[-1]}") if versions else fresh.limit(0).withColumn("seen_refresh_id", F.lit(refresh_id))
+        upsert(stored, fresh, key, refresh_id).write.mode("overwrite").parquet(f"{target}/v{versions[-1] + 1 if versions else 0}")
+        for old in versions[:-1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v{old}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return pages.writeStream.foreachBatch(apply)
 
 
-def _calls(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _calls(timeout_ms: int, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """State is the start of a call. The first completion of a started call ends it; later events of the call are ignored."""
     done, tool, start = state.get if state.exists else (False, None, None)
     if state.hasTimedOut:
@@ -45,17 +62,18 @@ def _calls(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
             began = pd.Timestamp(start, unit="us")
             out.append((key[0], tool, row.event.capitalize(), began, row.at.tz_localize(None), max(0.0, (row.at.tz_localize(None) - began).total_seconds() * 1000)))
     state.update((done, tool, start))
-    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(rows["at"].max().value // 1_000_000) + _calls.timeout_ms))
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(rows["at"].max().value // 1_000_000) + timeout_ms))
     yield pd.DataFrame(out, columns=["call_id", "tool", "status", "started_at", "completed_at", "duration_ms"])
 
 
-_calls.timeout_ms = 3_600_000
-
-
 def stream_tool_calls(events: DataFrame, timeout: str = "1 hour") -> DataFrame:
     """events (call_id, tool, event: started, completed or failed, at) as one row per finished call; a call without an end by the timeout is Interrupted."""
-    _calls.timeout_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
-    return events.withWatermark("at", timeout).groupBy("call_id").applyInPandasWithState(_calls, CALL, "done boolean, tool string, start long", "append", GroupStateTimeout.EventTimeTimeout)
+    timeout_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
+
+    def calls(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return _calls(timeout_ms, key, batches, state)
+
+    return events.withWatermark("at", timeout).groupBy("call_id").applyInPandasWithState(calls, CALL, "done boolean, tool string, start long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_selections(candidates: DataFrame, selections: DataFrame, retention: str = "90 days") -> DataFrame:
@@ -67,5 +85,6 @@ def stream_selections(candidates: DataFrame, selections: DataFrame, retention: s
 
 
 def stream_errors(events: DataFrame, retention: str = "90 days") -> DataFrame:
-    """Errors with a report id, each id once."""
-    return events.where("report_id is not null").withWatermark("at", retention).dropDuplicatesWithinWatermark(["report_id"])
+    """Errors with a report id, each id once, and all errors without one."""
+    timed = events.withWatermark("at", retention)
+    return timed.where("report_id is not null").dropDuplicatesWithinWatermark(["report_id"]).unionByName(timed.where("report_id is null"))

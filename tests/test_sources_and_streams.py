@@ -35,6 +35,12 @@ def test_pages(spark, tmp_path):
 def test_snapshot_checks(spark):
     rows = lambda *x: spark.createDataFrame(x, "id string, title string")
     assert C.replace_snapshot(None, rows(("a", "t")), "s").first().snapshot_id == "s"
+    two = C.replace_snapshot(C.replace_snapshot(None, rows(("a", "t")), "s"), rows(("a", "u"), ("b", "v")), "s2")
+    assert sorted((r.id, r.snapshot_id) for r in two.collect()) == [("a", "s"), ("a", "s2"), ("b", "s2")]
+    kept, state = C.activate_snapshot(two, "s2")
+    assert sorted(r.title for r in C.active_rows(two, state).collect()) == sorted(r.title for r in kept.collect()) == ["u", "v"]
+    with pytest.raises(ValueError):
+        C.replace_snapshot(two, rows(("c", "t")), "s2")
     for bad, more in ((rows(("a", "t"), ("a", "u")), {}), (rows((" ", "t")), {}), (rows(("a", None)), {}), (rows(("a", "t")), {"available": False}), (rows(("a", "t"), ("b", "u")), {"limit": 1})):
         with pytest.raises(ValueError):
             C.replace_snapshot(None, bad, "s", **more)
@@ -45,7 +51,7 @@ def test_generations(spark, tmp_path):
     index = {"documents": docs, "lookup_terms": I.lookup_terms(docs), "token_postings": I.token_postings(docs), "trigram_postings": I.trigram_postings(docs)}
     root = f"file://{tmp_path}/index"
     names = [publish_index(spark, index, root, "v1") for _ in range(3)]
-    assert sorted(p.name for p in (tmp_path / "index").iterdir() if p.is_dir()) == sorted(names[1:])
+    assert sorted(p.name for p in (tmp_path / "index").iterdir() if p.is_dir()) == sorted([*names[1:], "generations"])
     assert open_index(spark, root, "v1")["lookup_terms"].where("lane = 'normalised'").count() == index["lookup_terms"].where("lane = 'normalised'").count()
     with pytest.raises(ValueError):
         open_index(spark, root, "v2")
@@ -79,7 +85,14 @@ def test_pages_as_a_stream_converge(spark, tmp_path):
     stream = spark.readStream.schema("source_id string, title string, pos int").parquet(f"{tmp_path}/in")
     writer = W.stream_pages(stream, f"{tmp_path}/out", "source_id", "pos", "r")
     drain(writer.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start())
-    assert sorted((r.source_id, r.title) for r in spark.read.parquet(f"{tmp_path}/out/v0").collect()) == [("a", "two"), ("b", "x")]
+    assert sorted((r.source_id, r.title) for r in W.current_pages(spark, f"{tmp_path}/out").collect()) == [("a", "two"), ("b", "x")]
+    # A new checkpoint goes on from the table that is there.
+    for n in (2, 3):
+        spark.createDataFrame([("c", f"new{n}", 1), ("b", "y", 1)], "source_id string, title string, pos int").coalesce(1).write.parquet(f"{tmp_path}/in{n}")
+        more = spark.readStream.schema("source_id string, title string, pos int").parquet(f"{tmp_path}/in{n}")
+        drain(W.stream_pages(more, f"{tmp_path}/out", "source_id", "pos", "r").option("checkpointLocation", f"{tmp_path}/cp{n}").trigger(availableNow=True).start())
+    assert sorted((r.source_id, r.title) for r in W.current_pages(spark, f"{tmp_path}/out").collect()) == [("a", "two"), ("b", "y"), ("c", "new3")]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["v1", "v2"]
 
 
 def test_tool_calls_as_a_stream(spark, tmp_path):
@@ -96,11 +109,24 @@ def test_tool_calls_as_a_stream(spark, tmp_path):
     assert "c2" in {r.call_id for r in spark.table("calls").where("status = 'Interrupted'").collect()}
 
 
+def test_timeout_reaches_the_workers(spark, tmp_path):
+    """A call that is open longer than a short timeout is interrupted, and one within a long one is not."""
+    rows = [("c1", "play", "started", "2024-01-01 00:00:00"), ("c9", "play", "started", "2024-01-01 00:20:00"), ("c8", "play", "started", "2024-01-01 00:40:00")]
+    schema = "call_id string, tool string, event string, at string"
+    for i, row in enumerate(rows):
+        spark.createDataFrame([row], schema).withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    for name, timeout, want in (("short", "1 minute", {"c1", "c9"}), ("long", "3 hours", set())):
+        stream = spark.readStream.schema("call_id string, tool string, event string, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        drain(W.stream_tool_calls(stream, timeout).writeStream.format("memory").queryName(f"calls_{name}").option("checkpointLocation", f"{tmp_path}/cp_{name}").trigger(availableNow=True).start())
+        got = {r.call_id for r in spark.table(f"calls_{name}").where("status = 'Interrupted'").collect()}
+        assert got >= {"c1"} & want and got <= want
+
+
 def test_errors_and_selections_as_streams(spark, tmp_path):
     spark.createDataFrame([("r1", "2024-01-01"), ("r1", "2024-01-02"), (None, "2024-01-01"), ("r2", "2024-01-01")], "report_id string, at string").withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/e")
     errors = W.stream_errors(spark.readStream.schema("report_id string, at timestamp").parquet(f"{tmp_path}/e"))
     drain(errors.writeStream.format("memory").queryName("errors").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start())
-    assert sorted(r.report_id for r in spark.table("errors").collect()) == ["r1", "r2"]
+    assert sorted(str(r.report_id) for r in spark.table("errors").collect()) == ["None", "r1", "r2"]
     stamp = lambda rows, schema, at: spark.createDataFrame(rows, schema).withColumn(at, F.col(at).cast("timestamp")).coalesce(1)
     stamp([("k1", "o", 2, "2024-01-01 10:00:00")], "correlation_id string, observation_id string, position int, shown_at string", "shown_at").write.parquet(f"{tmp_path}/k")
     stamp([("k1", "2024-01-01 11:00:00"), ("k1", "2024-01-01 12:00:00"), ("k9", "2024-01-01 12:00:00")], "correlation_id string, selected_at string", "selected_at").write.parquet(f"{tmp_path}/s")
