@@ -165,15 +165,15 @@ def order_keys(calls: DataFrame) -> DataFrame:
 
 
 def _first_and_rest(rows: DataFrame, *order: str) -> tuple[DataFrame, DataFrame]:
-    """The first row of each (conv, call_id) and all others. Equal rows are counted, so that one of them can be the first."""
-    columns = rows.columns
-    counted = rows.groupBy(*columns).agg(F.count("*").alias("copies")).withColumn("place", F.struct(*order, F.sha2(F.to_json(F.struct(*columns)), 256).alias("row")))
-    counted = counted.withColumn("salt", F.pmod(F.xxhash64("place"), F.lit(SALTS)))
-    low = counted.groupBy("conv", "call_id", "salt").agg(F.min("place").alias("low")).groupBy("conv", "call_id").agg(F.min("low").alias("low"), F.collect_list("salt").alias("salts"))
-    marked = counted.join(low.select("conv", "call_id", "low", F.explode("salts").alias("salt")), ["conv", "call_id", "salt"])
-    first = marked.where("place = low").select(*columns)
-    spare = F.col("copies") - F.when(F.col("place") == F.col("low"), 1).otherwise(0)
-    return first, marked.select(*columns, F.explode(F.array_repeat(F.lit(0), spare.cast("int"))).alias("copy")).drop("copy")
+    """The first row of each (conv, call_id) and all others. Rows get numbers that are stored with them, so that one of equal rows is the first."""
+    held = cut(rows.withColumn("uid", F.monotonically_increasing_id()))
+    salt = F.pmod("uid", F.lit(SALTS)).alias("salt")
+    low = held.select("conv", "call_id", salt, F.struct(*order, "uid").alias("place")).groupBy("conv", "call_id", "salt").agg(F.min("place").alias("low"))
+    low = low.groupBy("conv", "call_id").agg(F.min("low")["uid"].alias("first"), F.collect_list("salt").alias("salts"))
+    marked = held.select("*", salt).join(low.select("conv", "call_id", "first", F.explode("salts").alias("salt")), ["conv", "call_id", "salt"])
+    marked = cut(marked.select(*rows.columns, (F.col("uid") == F.col("first")).alias("is_first")))
+    uncut(held)
+    return marked.where("is_first").drop("is_first"), marked.where("not is_first").drop("is_first")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, tools: dict[str, dict]) -> DataFrame:
