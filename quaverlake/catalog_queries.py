@@ -611,10 +611,11 @@ def bound_json(v):
     return docs.select("doc_id", F.md5(S.bound_json(F.col("text"), 2000)).alias("bounded"))
 
 
-@query("SELECT call_id, 'rating ' || json_extract_string(props, '$.k') AS summary FROM (SELECT event_id AS call_id, props FROM events)")
+@query("SELECT event_id AS call_id, CASE event_type WHEN 'error' THEN NULL WHEN 'view' THEN 'Rating: ≥ ' || json_extract_string(props, '$.k') ELSE 'Rating: ' || json_extract_string(props, '$.k') END AS summary FROM events")
 def request_summary(v):
-    calls = v.calls.withColumns({"arguments": F.replace("arguments", F.lit('"k"'), F.lit('"rating"')), "arguments_truncated": F.lit(False)})
-    return L.request_summary(calls)
+    arguments = F.replace("arguments", F.lit('"k"'), F.when(F.col("tool") == "view", '"ratingMatch":"at_least","rating"').otherwise('"rating"'))
+    calls = v.calls.withColumns({"arguments": arguments, "arguments_truncated": F.lit(False)})
+    return L.request_summary(calls.withColumn("tool", F.when(F.col("tool") == "error", "get_queue").otherwise("search")))
 
 
 @query("SELECT event_id, 'browseRef' AS path, 'r' || event_id % 50 AS reference, CASE WHEN event_id % 50 < 20 THEN 'title ' || event_id % 50 END AS title FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, 'items[1]', CASE event_id % 4 WHEN 0 THEN '0f' || event_id % 50 WHEN 1 THEN '-' || event_id % 50 WHEN 2 THEN '[' || event_id % 50 ELSE 'null' END, NULL FROM events WHERE event_type = 'click'")

@@ -55,19 +55,58 @@ def reference_snapshots(calls: DataFrame, metadata: DataFrame) -> DataFrame:
     return rows.join(metadata.select("reference", "title"), "reference", "left").select("call_id", "path", "pos", "reference", "title")
 
 
+#: What stands before the values of a search, by argument and whether it is a number, and before its rating by the kind of match.
+SEARCH_PARTS = [("name", False, ""), ("provider", False, "Provider: "), ("genre", False, "Genre: ")]
+RATINGS = {"at_least": "Rating: ≥ ", "exact": "Rating: = "}
+#: What a request without arguments asks for, by tool.
+WITHOUT_ARGUMENTS = {"search": "Broad search", "browse": "Library roots", "get_player_status": "All players"}
+
+
 def request_summary(calls: DataFrame, snapshots: DataFrame | None = None) -> DataFrame:
-    """(call_id, summary): one line of a call's arguments, at most 240 characters; null where the arguments are truncated or no JSON object."""
-    get = lambda name: F.nullif(F.trim(F.get_json_object("arguments", f"$.{name}")), F.lit(""))
-    named = lambda label, name: F.concat(F.lit(f"{label} "), get(name))
-    titles = F.lit(None).cast("string")
+    """(call_id, summary): one line of what a call asks for, by its tool, at most 240 characters; null where the arguments are truncated or neither an object nor null, and for unknown tools.
+
+    snapshots (call_id, path, pos, reference, title, perhaps artist and album) name what references stand for."""
+    said = F.try_parse_json("arguments")
+    value = lambda name: F.try_variant_get(said, f"$.{name}", "variant")
+    one_line = lambda c: F.nullif(F.trim(F.regexp_replace(c, r"[\s\p{Cc}]+", " ")), F.lit(""))
+    text = lambda name: F.when(F.schema_of_variant(value(name)) == "STRING", one_line(value(name).cast("string")))
+    number = lambda name: F.when(F.schema_of_variant(value(name)).rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.get_json_object("arguments", f"$.{name}"))
+    line = lambda *parts: F.nullif(F.array_join(F.array_compact(F.array(*parts)), " · "), F.lit(""))
+    after = lambda label, c: F.concat(F.lit(label), c)
+
+    first, last, rating, match = number("fromYear"), number("toYear"), number("rating"), text("ratingMatch")
+    both = first.isNotNull() & last.isNotNull()
+    rated = F.coalesce(*[F.when(match == kind, after(label, rating)) for kind, label in RATINGS.items()], after("Rating: ", rating))
+    odd_match = F.when(rating.isNull() | ~match.isin(*RATINGS), after("Rating match: ", match))
+    search = line(*[after(label, text(name)) for name, _, label in SEARCH_PARTS], F.when(both, F.concat(F.lit("Years: "), first, F.lit("–"), last)), F.when(~both, after("From year: ", first)), F.when(~both, after("To year: ", last)), rated, odd_match)
+
+    known = [F.lit(None).cast("string")] * 3
     if snapshots is not None:
-        each = snapshots.groupBy("call_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("title", "reference").alias("t")))), lambda x: x["t"]), ", ").alias("_titles"))
-        calls = calls.join(each, "call_id", "left")
-        titles = F.col("_titles")
-    years = F.when(get("fromYear").isNotNull() & get("toYear").isNotNull(), F.concat(get("fromYear"), F.lit("-"), get("toYear")))
-    parts = F.array_compact(F.array(get("query"), named("rating", "rating"), named("genre", "genre"), years, get("action"), titles))
-    fine = F.json_object_keys("arguments").isNotNull() & ~F.coalesce("arguments_truncated", F.lit(False))
-    return calls.select("call_id", F.when(fine, F.nullif(F.substring(F.array_join(parts, " · "), 1, SUMMARY), F.lit(""))).alias("summary"))
+        more = [F.when((F.coalesce(one_line(F.col(c)), F.lit("")) != "") & (F.lower(c) != F.lower("title")), one_line(F.col(c))) for c in ("artist", "album") if c in snapshots.columns]
+        label = F.coalesce(F.when(F.col("title").isNotNull(), line(one_line(F.col("title")), *more)), one_line(F.col("reference")))
+        own = snapshots.withColumn("item", F.struct("pos", label.alias("label"))).groupBy("call_id").agg(
+            F.min(F.when(F.col("path") == "browseRef", F.col("item")))["label"].alias("_root"), F.min(F.when(F.col("path").startswith("items["), F.col("item")))["label"].alias("_first"), F.count_if(F.col("path").startswith("items[")).alias("_items"),
+        )
+        calls = calls.join(own, "call_id", "left")
+        known = [F.col("_root"), F.col("_first"), F.col("_items")]
+    root, item, items = known
+    count = F.size(value("items").try_cast("array<variant>"))
+    asked = F.when(count >= 0, F.concat(count.cast("string"), F.when(count == 1, " requested item").otherwise(" requested items")))
+    shown = F.coalesce(F.when(items > 1, F.concat(item, F.lit(" + "), (items - 1).cast("string"), F.lit(" more"))), item, asked)
+    action = text("action")
+    act = F.concat(F.upper(F.substring(action, 1, 1)), F.replace(F.substring(action, F.lit(2), F.length(action)), F.lit("_"), F.lit(" ")))
+
+    empty = F.is_variant_null(said) | F.forall(F.map_values(said.try_cast("map<string,variant>")), F.is_variant_null)
+    nothing = F.lit(None).cast("string")
+    for tool, what in WITHOUT_ARGUMENTS.items():
+        nothing = F.when((F.col("tool") == tool) & F.coalesce(empty, F.lit(False)), what).otherwise(nothing)
+    by_tool = (
+        F.when(F.col("tool") == "search", search).when(F.col("tool") == "browse", F.coalesce(root, text("browseRef"))).when(F.col("tool") == "get_queue", text("player"))
+        .when(F.col("tool") == "control_player", line(text("player"), act)).when(F.col("tool").isin("manage_queue", "play"), line(text("player"), act, shown))
+    )
+    fine = (F.is_variant_null(said) | F.schema_of_variant(said).startswith("OBJECT")) & ~F.coalesce("arguments_truncated", F.lit(False))
+    full = F.coalesce(by_tool, nothing)
+    return calls.select("call_id", F.when(fine, F.when(F.length(full) > SUMMARY, F.concat(F.substring(full, 1, SUMMARY - 1), F.lit("…"))).otherwise(full)).alias("summary"))
 
 
 def ingest_errors(existing: DataFrame, new: DataFrame, limits: dict[str, int]) -> DataFrame:
