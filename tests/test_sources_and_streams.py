@@ -65,7 +65,13 @@ def test_corpus(spark, tmp_path):
     cases = E.read_corpus(spark, f"file://{tmp_path}/c.json")
     assert sorted(cases.first().unknown) == ["extra", "more"]
     got = {(r.location, r.error) for r in E.validate_corpus(cases).collect()}
-    assert got == {("cases[0].expected[0]", "title is blank"), ("cases[1]", "id is not kebab case"), ("cases[1]", "query is blank or not trimmed"), ("cases[1]", "category is blank or not trimmed"), ("cases[1]", "expected is missing")}
+    assert got == {("members", "unknown member extra"), ("members", "unknown member more"), ("cases[0].expected[0]", "title is blank"), ("cases[1]", "id is not kebab case"), ("cases[1]", "query is blank or not trimmed"), ("cases[1]", "category is blank or not trimmed"), ("cases[1]", "expected is missing")}
+
+
+def test_corpus_without_cases_or_version(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"schemaVersion": 2, "cases": []}))
+    got = {(r.location, r.error) for r in E.validate_corpus(E.read_corpus(spark, f"file://{tmp_path}/c.json")).collect()}
+    assert got == {("schemaVersion", "version is not 1"), ("cases", "no cases")}
 
 
 def test_metrics_of_two_cases(spark):
