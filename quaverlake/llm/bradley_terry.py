@@ -9,7 +9,7 @@ to the driver. Scoring is one pass over whole texts without a shuffle. Labels ar
 modulo 3, is not 1. Features come from the text alone.
 
 Defined results: a null or empty text has all features 0 and gets the score that follows. A null id is not held out and never trains. Several labels
-of one id, or rows that repeat an id, all count in training. Without labels of both kinds every score is 0.5. Other columns are kept.
+of one id all count in training; of rows that repeat an id the smallest text does. Without labels of both kinds every score is 0.5. Other columns are kept.
 """
 
 from __future__ import annotations
@@ -122,8 +122,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     usable = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
     chosen = usable.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("id"), "id", "y").limit(sample)
     # At most `sample` pairs of numbers.
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    rows = texts.select("y", "text").mapInArrow(_feature_rows, "y int, x array<double>").limit(2 * sample).collect()
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen.select("id").distinct()), "id")
+    texts = own.groupBy("id").agg(F.min("text").alias("text")).join(F.broadcast(chosen), "id")
+    rows = texts.select("y", "text").mapInArrow(_feature_rows, "y int, x array<double>").collect()
     return fit_pairs(np.array([r.x for r in rows]).reshape(-1, FEATURES), np.array([r.y for r in rows], int))
 
 

@@ -181,7 +181,9 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     write_warc(table(spark, sf_dir, "pages"), path)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
-    back = cut(read_warc(spark, path).where("gap is null").select(number("record_id").alias("page_id"), F.octet_length("block").cast("long").alias("bytes"), F.substring("digest", 6, 32).alias("payload_digest"), F.col("type").alias("record_type"), number("refers_to").alias("refers_to")))
+    # A gap in archives that were just written is no result but a fault.
+    whole = F.when(F.col("gap").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("gap in "), "path", F.lit(" at "), F.col("start").cast("string"), F.lit(": "), "gap")).cast("boolean"))
+    back = cut(read_warc(spark, path).where(whole).select(number("record_id").alias("page_id"), F.octet_length("block").cast("long").alias("bytes"), F.substring("digest", 6, 32).alias("payload_digest"), F.col("type").alias("record_type"), number("refers_to").alias("refers_to")))
     # A revisit has the size of the response that it names; both are found by the digest.
     sizes = back.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("bytes").alias("payload_bytes"))
     return back.join(sizes, "payload_digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
