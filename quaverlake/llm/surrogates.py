@@ -133,17 +133,22 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.reverse(F.split(digits, "")), lambda c, i: (c.cast("int") * (1 + i % 2)) % 10 + F.when((i % 2 == 1) & (c.cast("int") >= 5), 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
 
 
-def _surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
-    stream = _stream(key, kind, form, attempt.cast("string"))
-    domain = F.substring_index(form, "@", -1)
-    top = F.element_at(F.split(domain, r"\."), -1)
+def _tried(todo: DataFrame, key: str) -> DataFrame:
+    """todo (type, kind, form, attempt) with the surrogate of that attempt. The attempt is a column, so that all rounds run the same compiled code."""
+    kind, form, attempt = F.col("kind"), F.col("form"), F.col("attempt")
+    rows = todo.withColumns({"stream": _stream(key, kind, form, attempt.cast("string")), "domain": F.substring_index(form, "@", -1)})
+    rows = rows.withColumns({"base": _stream(key, F.lit("domain"), F.col("domain")), "top": F.element_at(F.split("domain", r"\."), -1), "local_size": F.when(kind == "email", F.length(form) - F.length("domain")).otherwise(1 << 30)})  # with the @
+    body = F.when(kind == "email", F.substring(form, F.lit(1), F.length(form) - F.length("top") - 1)).otherwise(form)
+    rows = rows.withColumn("alike", _alike(body, F.col("stream"), F.coalesce((kind == "secret") & form.rlike("^[0-9a-f]+$"), F.lit(False)), F.col("base"), F.col("local_size")))
+    return rows.select("type", "kind", "form", _surrogate().alias("surrogate"))
+
+
+def _surrogate() -> Column:
+    kind, form, attempt, stream, alike, top = (F.col(c) for c in ("kind", "form", "attempt", "stream", "alike", "top"))
     is_email = kind == "email"
-    local_size = F.when(is_email, F.length(form) - F.length(domain)).otherwise(1 << 30)  # with the @
-    body = F.when(is_email, F.substring(form, F.lit(1), F.length(form) - F.length(top) - 1)).otherwise(form)
-    alike = _alike(body, stream, F.coalesce((kind == "secret") & form.rlike("^[0-9a-f]+$"), F.lit(False)), _stream(key, F.lit("domain"), domain), local_size)
     name_of = F.translate(F.substring(stream, 129, 12), "0123456789", "ghijklmnop")
     # A local part of marks alone has nothing to vary, so it gets letters after all attempts.
-    email = F.when(attempt < ATTEMPTS, F.concat(alike, F.lit("."), top)).otherwise(F.concat(name_of, F.substring(alike, local_size, F.length(alike)), F.lit("."), top))
+    email = F.concat(F.when(attempt < ATTEMPTS, alike).otherwise(F.concat(name_of, F.substring(alike, F.col("local_size"), F.length(alike)))), F.lit("."), top)
     # The country code is one digit in North America and Russia, else two.
     code = F.when(form.rlike(r"^\+[17]"), 2).when(form.startswith("+"), 3).otherwise(0)
     phone = F.array_join(F.transform(F.split(form, ""), lambda c, i: F.when(i < code, c).when(i == code, _pick("23456789", _byte(stream, i))).otherwise(_pick("0123456789", _byte(stream, i)))), "")
@@ -169,9 +174,10 @@ def assign(units: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, form, surrogate) for distinct (kind, form), after the collision checks. All parts of names are of one type."""
     kind_of = F.when(F.col("kind").rlike("^(given|surname)"), "name").otherwise(F.col("kind"))
     originals = cut(units.select("kind", "form").distinct().withColumn("type", kind_of))
-    done, todo, attempt = None, originals, 0
+    done, todo, attempt = None, originals.withColumn("attempt", F.lit(0)), 0
+    todo = cut(todo)
     while True:
-        tried = todo.select("type", "kind", "form", _surrogate(F.col("kind"), F.col("form"), F.lit(attempt), key).alias("surrogate")).where(~F.contains("surrogate", "form"))
+        tried = _tried(todo, key).where(~F.contains("surrogate", "form"))
         # Of those that chose the same surrogate the first form keeps it, unless an earlier round gave it away.
         first = tried.groupBy("type", "surrogate").agg(F.min(F.struct("form", "kind")).alias("winner"))
         if attempt < STRICT:
@@ -179,9 +185,9 @@ def assign(units: DataFrame, key: str = KEY) -> DataFrame:
         if done is not None:
             first = first.join(done.select("type", "surrogate"), ["type", "surrogate"], "left_anti")
         won = first.select("type", "winner.kind", "winner.form", "surrogate")
-        before = [x for x in (done, todo) if x is not None and x is not originals]
+        before = [x for x in (done, todo) if x is not None]
         done = cut(won if done is None else done.unionByName(won))
-        todo = cut(originals.join(done, ["kind", "form"], "left_anti"))
+        todo = cut(originals.join(done, ["kind", "form"], "left_anti").withColumn("attempt", F.lit(attempt + 1)))
         uncut(*before)
         if todo.isEmpty():
             uncut(todo, originals)
