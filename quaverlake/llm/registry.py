@@ -10,6 +10,7 @@ from .surrogates import op2_surrogates
 from .tool_calls import op1_tool_calls
 from .warc import op10_warc_salvage
 from .webp import op6_lossless_webp
+from .whitening import op11_whitening
 
 QUERIES = {
     "op1_tool_calls": op1_tool_calls,
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_rp_forest": op8_rp_forest,
     "op9_pfair": op9_pfair,
     "op10_warc_salvage": op10_warc_salvage,
+    "op11_whitening": op11_whitening,
 }
 
 SQL = {
