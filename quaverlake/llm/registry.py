@@ -2,6 +2,7 @@
 
 from .bpe_automaton import op7_bpe_automaton
 from .bradley_terry import op3_bradley_terry
+from .fm_index import OP12_SQL, op12_fm_index
 from .minhash import op4_circulant_minhash
 from .pfair import OP9_SQL, op9_pfair
 from .rp_forest import op8_rp_forest
@@ -24,8 +25,10 @@ QUERIES = {
     "op9_pfair": op9_pfair,
     "op10_warc_salvage": op10_warc_salvage,
     "op11_whitening": op11_whitening,
+    "op12_fm_index": op12_fm_index,
 }
 
 SQL = {
     "op9_pfair": OP9_SQL,
+    "op12_fm_index": OP12_SQL,
 }

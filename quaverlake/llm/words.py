@@ -102,6 +102,20 @@ def windows(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarra
     return mix(h[at]), at
 
 
+def word_strings(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(words with A-Z in small letters, words before each text): a word is a run of bytes for which `solid` holds. Bytes are copied once, without a string a word in Python."""
+    data = LOWER[data]
+    inside = solid[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    first[inner] = inside[inner]
+    begin, body = np.flatnonzero(first), data[inside]
+    bounds = np.append(np.cumsum(inside)[begin] - 1, len(body)).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(bounds), pa.py_buffer(body)])
+    return words, np.searchsorted(begin, offsets)
+
+
 def slices(column: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of a string column, at most about `limit` bytes at a time. Nulls are empty."""
     column = column.cast(pa.large_string()) if pa.types.is_string(column.type) else column
