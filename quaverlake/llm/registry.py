@@ -6,6 +6,7 @@ from .fm_index import OP12_SQL, op12_fm_index
 from .minhash import op4_circulant_minhash
 from .pfair import OP9_SQL, op9_pfair
 from .rp_forest import op8_rp_forest
+from .source_divergence import OP13_SQL, op13_divergence
 from .substring_dedup import op5_substring_dedup
 from .surrogates import op2_surrogates
 from .tool_calls import op1_tool_calls
@@ -26,9 +27,11 @@ QUERIES = {
     "op10_warc_salvage": op10_warc_salvage,
     "op11_whitening": op11_whitening,
     "op12_fm_index": op12_fm_index,
+    "op13_divergence": op13_divergence,
 }
 
 SQL = {
     "op9_pfair": OP9_SQL,
     "op12_fm_index": OP12_SQL,
+    "op13_divergence": OP13_SQL,
 }

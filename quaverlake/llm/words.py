@@ -67,6 +67,25 @@ def _hash_piece(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(parts[0] << np.uint64(31) | parts[1] ^ ((end - begin).astype(np.uint64) << np.uint64(62)))
 
 
+def _hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of data[begin:end] for each word, the words being in order."""
+    out = np.empty(len(begin), np.uint64)
+    i = 0
+    while i < len(begin):  # pieces end between words; a word longer than a piece is a piece of its own
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + PIECE, "right")))
+        lo = begin[i]
+        out[i:j] = _hash_piece(data[lo : end[j - 1]], begin[i:j] - lo, end[i:j] - lo)
+        i = j
+    return out
+
+
+def string_hashes(strings: pa.Array) -> np.ndarray:
+    """The hash of each of these strings, the one that it has as a word of a text."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    data = np.frombuffer(strings.buffers()[2], np.uint8) if strings.buffers()[2] else np.zeros(0, np.uint8)
+    return _hashes(data, offsets[:-1], offsets[1:])
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, words before each text): `offsets` are the texts' bounds in `data`."""
     solid = ~SPACE[data]
@@ -79,13 +98,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     if len(begin) == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    out = np.empty(len(begin), np.uint64)
-    i = 0
-    while i < len(begin):  # pieces end between words; a word longer than a piece is a piece of its own
-        j = max(i + 1, int(np.searchsorted(end, begin[i] + PIECE, "right")))
-        lo = begin[i]
-        out[i:j] = _hash_piece(data[lo : end[j - 1]], begin[i:j] - lo, end[i:j] - lo)
-        i = j
+    out = _hashes(data, begin, end)
     return out, np.searchsorted(begin, offsets)
 
 
