@@ -231,7 +231,7 @@ def normalise_years(v):
     return part.select("p_partkey", years.alias("y")).select("p_partkey", F.col("y.first").alias("first_year"), F.col("y.last").alias("last_year"))
 
 
-# Index and retrieval over the text catalogue: tracks are documents' first words, artists benchmark items'.
+# Index and retrieval over the text catalogue: tracks are titles of pages, artists names of parts.
 
 
 def _docs(v):
@@ -634,9 +634,9 @@ def ingest_errors(v):
     return L.ingest_errors(stored, errors, {"message": 4})
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 5 > 0 AND user_id % 7 > 0 AND event_type <> 'error' THEN '["scan","u' || user_id || '","' || event_id || '"]' END AS token FROM events WHERE event_id > 0""")
+@query("""SELECT event_id, CASE WHEN event_id % 5 > 0 AND user_id % 7 > 0 AND event_type <> 'error' THEN '["scan","u' || user_id || '","' || event_id || '"]' END AS token FROM events""")
 def change_token(v):
-    rows = v.spark.read.parquet(f"{v.dir}/events.parquet").where("event_id > 0")
+    rows = v.spark.read.parquet(f"{v.dir}/events.parquet")
     token = N.change_token(F.when(F.col("user_id") % 7 > 0, F.concat(F.lit(" u"), F.col("user_id").cast("string"))), F.col("event_id").cast("string"), F.when(F.col("event_id") % 5 == 0, "1").otherwise("0"), F.when(F.col("event_type") == "error", "yes"))
     return rows.select("event_id", token.alias("token"))
 

@@ -8,7 +8,7 @@ import pytest
 from quaverlake.catalog_queries import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.01"
-TABLES = ["supplier", "part", "lineitem", "customer", "documents", "benchmark", "events", "orders"]
+TABLES = ["supplier", "part", "lineitem", "customer", "documents", "benchmark", "pages", "events", "orders"]
 
 
 def plain(x):
