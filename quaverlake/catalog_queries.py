@@ -21,6 +21,7 @@ from .operators import score as Sc
 from .operators import select as A
 from .operators import titles as Ti
 from .plans import search as P
+from .plans.stage import staged
 from .plans.views import Views, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -307,7 +308,7 @@ def prefix_candidates(v):
 
 @query(f"""WITH {_GRAMS}, {_bm25(f"SELECT query_id, term, key, tf, length FROM (SELECT DISTINCT query_id, unnest(CASE WHEN length(c) >= 3 THEN list_transform(range(1, length(c) - 1), lambda i: substring(c, i, 3)) ELSE [] END) AS term FROM (SELECT query_id, {_c(_n('text'))} AS c FROM v_queries)) q JOIN posts USING (term)")} {_top80('trigram')}""")
 def trigram_candidates(v):
-    return R.trigram_candidates(v.queries, I.trigram_postings(_docs(v))).withColumn("score", F.round("score", 6))
+    return R.trigram_candidates(v.queries, staged(I.trigram_postings(_docs(v)))).withColumn("score", F.round("score", 6))
 
 
 _SCORED = f"""{_CANDIDATES}, pairs AS (SELECT c.query_id, c.key, field, ff.f, span_no, tokens - size AS ignored, ff.n AS fn, ff.c AS fc, ff.s AS fs, span AS qn, sf.c AS qc, sf.s AS qs, greatest(length(ff.c), length(sf.c)) AS longest
@@ -347,7 +348,7 @@ def cap_by_kind(v):
 def search_all_lanes(v):
     """All lanes and signals, phonetic and cardinal ones included."""
     docs = _docs(v)
-    lanes = R.collect_candidates(R.lookup_candidates(v.queries, I.lookup_terms(docs)), R.prefix_candidates(v.queries, I.token_postings(docs)), R.trigram_candidates(v.queries, I.trigram_postings(docs)))
+    lanes = R.collect_candidates(R.lookup_candidates(v.queries, I.lookup_terms(docs)), R.prefix_candidates(v.queries, I.token_postings(docs)), R.trigram_candidates(v.queries, staged(I.trigram_postings(docs))))
     return Sc.top_n(Sc.rank(Sc.score_candidates(lanes, docs, v.queries), docs)).select("query_id", "key", "score", "field", "signal", "rank")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ DIGIT_NAMES = ["zero", "one", "two", "three", "four", "five", "six", "seven", "e
 SOUNDS = [("ph", "f"), ("ght", "t"), ("ck", "k"), ("qu", "k"), ("sh", "s"), ("ch", "c"), ("th", "t")]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once a row, also where the body uses it in a lambda of its own, as every call of a lambda would work it out anew."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalise(c: Column) -> Column:
     """Lower-case words of letters and digits, without marks, one space apart; null and blank give ''.
 
@@ -67,9 +74,8 @@ def expand_digits(normalised: Column) -> Column:
 
 
 def all_trigrams(compacted: Column) -> Column:
-    n = F.length(compacted)
-    each = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(compacted, i, F.lit(3)))
-    return F.when(n >= 3, each).otherwise(F.array().cast("array<string>"))
+    each = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3)))
+    return let(compacted, lambda c: F.when(F.length(c) >= 3, each(c)).otherwise(F.array().cast("array<string>")))
 
 
 def trigrams(compacted: Column) -> Column:
@@ -78,10 +84,9 @@ def trigrams(compacted: Column) -> Column:
 
 def query_spans(words: Column) -> Column:
     """Every run of words as (text, size), in the order of first words, then of sizes."""
-    n = F.size(words)
-    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    each = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.struct(F.array_join(F.slice(words, i, k), " ").alias("text"), k.alias("size"))))
-    return F.flatten(each)
+    starts = lambda w: F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w))).otherwise(F.array().cast("array<int>"))
+    each = lambda w, i: F.transform(F.sequence(F.lit(1), F.size(w) - i + 1), lambda k: F.struct(F.array_join(F.slice(w, i, k), " ").alias("text"), k.alias("size")))
+    return let(words, lambda w: F.flatten(F.transform(starts(w), lambda i: each(w, i))))
 
 
 def acronym_keys(value: Column) -> Column:

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.metaphone import double_metaphone
 from ..functions.numerals import cardinal_span_keys
+from ..plans.stage import staged
 from . import index as I
 
 LIMIT = 80
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Distinct (query, trigram) rows, some 40 bytes each, up to which they are sent to the postings; more of them meet the postings by a shuffle on trigrams.
 MOST_SENT = 1_000_000
+#: Postings of a block, and of a part of a frequent term.
+BLOCK, PART = 128, 8192
 LANES = ["normalised", "compact", "skeleton", "double_metaphone", "acronym", "roman_cardinal", "token_prefix", "trigram"]
 
 
@@ -109,20 +112,84 @@ def prefix_candidates(queries: DataFrame, postings: DataFrame, allowed: DataFram
 
 
 def trigram_matches(queries: DataFrame, postings: DataFrame) -> DataFrame:
-    """A trigram stands for itself, so its weight in a document is made once, on the postings' side, and only for trigrams that are asked for. A bounded set of queries is sent to
-    postings that are dealt by document: a document's score is then summed where it lies, and only the best of each part are shuffled."""
-    grams = queries.select("query_id", F.explode(T.trigrams(T.compact(T.normalise(F.col("text"))))).alias("term"))
-    asked = postings.join(grams.select("term").distinct(), "term", "left_semi")
-    df = asked.groupBy("term").agg(F.count("*").alias("df"))
-    weights = asked.join(df, "term").crossJoin(_size(postings)).select("term", "key", _weight().alias("w"))
+    """(query_id, key, score) of every document that shares a trigram with a query. A trigram stands for itself, so its weight in a document is made once, on the
+    postings' side, and only for trigrams that are asked for. A bounded set of queries is sent to postings that are dealt by document: a document's score is then summed
+    where it lies, and only the best of each part are shuffled."""
+    grams, weights = query_grams(queries), impacts(queries, postings)
     if grams.count() <= MOST_SENT:
         grams, weights = F.broadcast(grams), weights.repartition("key")
     return weights.join(grams, "term").groupBy("query_id", "key").agg((F.sum("w") / 1e9).alias("score"))
 
 
+def query_grams(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(T.trigrams(T.compact(T.normalise(F.col("text"))))).alias("term"))
+
+
+def impacts(queries: DataFrame, postings: DataFrame) -> DataFrame:
+    """(term, key, w): the weight of each trigram that is asked for in each document that has it."""
+    asked = postings.join(query_grams(queries).select("term").distinct(), "term", "left_semi")
+    df = asked.groupBy("term").agg(F.count("*").alias("df"))
+    return asked.join(df, "term").crossJoin(_size(postings)).select("term", "key", _weight().alias("w"))
+
+
+def impact_blocks(weights: DataFrame) -> DataFrame:
+    """(term, top, rows): postings of a term in blocks of falling weight, `top` being the block's largest. A term in many documents is first dealt into parts by document, so no task
+    sorts the whole list of a frequent one."""
+    parts = weights.groupBy("term").agg(F.count("*").alias("df")).select("term", F.ceil(F.col("df") / PART).alias("parts"))
+    dealt = weights.join(parts, "term").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
+    lists = dealt.groupBy("term", "part").agg(F.sort_array(F.collect_list(F.struct("w", "key")), False).alias("all"))
+    begins = F.sequence(F.lit(1), F.size("all"), F.lit(BLOCK))
+    blocks = lists.select("term", F.explode(T.let(F.col("all"), lambda x: F.transform(begins, lambda i: F.slice(x, i, BLOCK)))).alias("rows"))
+    return blocks.select("term", F.col("rows")[0]["w"].alias("top"), "rows")
+
+
+def best_by_impact(grams: DataFrame, blocks: DataFrame, weights: DataFrame, allowed: DataFrame | None = None, limit: int = LIMIT) -> DataFrame:
+    """(query_id, key, score): the `limit` best documents of each query, without reading what can't be among them.
+
+    A query's terms are taken from the rarest. The best documents of its rarer half are scored in full; the worst of them bounds the last place from below. Terms at the
+    frequent end whose largest weights together stay below that bound can't bring in a document of their own, nor can the lighter blocks of the term before them. What
+    is read gives the candidates, and only of these the weights that were left out are looked up. Scores are whole billionths, so bounds are exact."""
+    per_query = Window.partitionBy("query_id")
+    bounds = blocks.groupBy("term").agg(F.sum(F.size("rows")).alias("df"), F.max("top").alias("most"))
+    order = per_query.orderBy("df", "term")
+    known = staged(
+        grams.join(bounds, "term").withColumns({
+            "place": F.row_number().over(order), "terms": F.count("*").over(per_query),
+            # What this term and all more frequent ones can add up to, and the more frequent ones alone.
+            "rest": F.sum("most").over(order.rowsBetween(0, Window.unboundedFollowing)), "after": F.coalesce(F.sum("most").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)),
+        })
+    )
+
+    def read(terms: DataFrame) -> DataFrame:
+        """Sums of the weights of at least `least` of terms (query_id, term, least); blocks below it are not opened."""
+        rows = terms.join(blocks, (terms["term"] == blocks["term"]) & (blocks["top"] >= terms["least"])).select("query_id", "least", F.explode("rows").alias("r"))
+        return constrained(rows.where("r.w >= least").select("query_id", "r.key", "r.w"), allowed).groupBy("query_id", "key").agg(F.sum("w").alias("sum"))
+
+    def completed(found: DataFrame, terms: DataFrame) -> DataFrame:
+        """Adds the weights below `most_left` of terms (query_id, term, most_left)."""
+        more = found.select("query_id", "key").join(terms, "query_id").join(weights, ["term", "key"]).where("w < most_left").select("query_id", "key", F.col("w").alias("sum"))
+        return found.select("query_id", "key", "sum").unionByName(more).groupBy("query_id", "key").agg(F.sum("sum").alias("sum"))
+
+    top = lambda rows: best(rows, F.desc("sum"), group=["query_id"], limit=limit)
+    rarer = F.col("place") <= F.ceil(F.col("terms") / 2)
+    seeds = top(read(known.where(rarer).withColumn("least", F.lit(0).cast("long"))))
+    last = completed(seeds, known.where(~rarer).select("query_id", "term", F.lit(1 << 62).alias("most_left"))).groupBy("query_id").agg(F.count("*").alias("n"), F.min("sum").alias("bound"))
+    cuts = known.join(last.where(F.col("n") == limit), "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0)))
+    # Weights below `least` are left out: of terms whose rest is below the bound all, of the term before them what is below the room that is left, of others none.
+    least = F.when(F.col("rest") < F.col("bound"), F.lit(1 << 62)).otherwise(F.greatest(F.lit(0), F.col("bound") - F.col("after")))
+    cuts = staged(cuts.select("query_id", "term", "bound", least.alias("least"), F.least(least, "most").alias("gone")))
+    # A document may lack at most what was left out.
+    short = cuts.groupBy("query_id").agg((F.max("bound") - F.sum("gone")).alias("enough"))
+    found = read(cuts.where(F.col("least") < 1 << 62)).join(short, "query_id").where("sum >= enough")
+    full = completed(found, cuts.where("least > 0").select("query_id", "term", F.col("least").alias("most_left")))
+    return top(full).select("query_id", "key", (F.col("sum") / 1e9).alias("score"))
+
+
 def trigram_candidates(queries: DataFrame, postings: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    found = constrained(trigram_matches(queries, postings), allowed).withColumn("lane", F.lit("trigram"))
-    return best(found, F.desc("score"), group=["query_id", "lane"]).select("query_id", "lane", "key", "score")
+    """The best documents of each query, by impact-ordered blocks; postings are best a table, as they are read twice."""
+    weights = staged(impacts(queries, postings))
+    found = best_by_impact(query_grams(queries), staged(impact_blocks(weights)), weights, allowed)
+    return found.select("query_id", F.lit("trigram").alias("lane"), "key", "score")
 
 
 def collect_candidates(*lanes: DataFrame) -> DataFrame:
@@ -146,9 +213,11 @@ def lane_report(matched: DataFrame, retrieved: DataFrame, lanes: list[str] = LAN
 
 
 def constraint_scan(docs: DataFrame, condition: Column, albums: int = 5, limit: int = LIMIT) -> DataFrame:
-    """Documents that meet a condition, without a name: the first albums, then tracks, at most `limit` in all, with the count of all matches."""
+    """Documents that meet a condition, without a name: the first albums, then tracks, at most `limit` in all, with the count of all matches. Each kind's first rows are taken in every
+    part of the table and then merged, so matches are neither sorted nor shuffled as a whole."""
     found = docs.where(condition).where("kind in ('album', 'track')").withColumn("key", I.stable_key())
     total = found.groupBy().agg(F.count("*").alias("matched"))
-    per_kind = found.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("id"))).where((F.col("kind") == "track") & (F.col("n") <= limit) | (F.col("n") <= albums))
-    kept = per_kind.orderBy(I.kind_order(F.col("kind")), "id").limit(limit)
+    first = lambda kind, n: found.where(F.col("kind") == kind).orderBy("id").limit(n)
+    kept = first("album", min(albums, limit)).unionByName(first("track", limit)).orderBy(I.kind_order(F.col("kind")), "id").limit(limit)
+    kept = kept.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy("id")))
     return kept.crossJoin(F.broadcast(total)).select("key", "kind", "id", "n", "matched")
