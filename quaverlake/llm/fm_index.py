@@ -55,7 +55,7 @@ def suffixes(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     left alone, so text that does not repeat is done in two or three rounds."""
     n = len(codes)
     rank = np.where(ends, np.cumsum(ends) - 1, codes + int(ends.sum())).astype(np.int64)
-    bits = np.int64(max(n, int(rank.max()) + 1).bit_length() + 1)
+    bits = np.int64(max(n, int(rank.max()) + 1).bit_length())
     assert 3 * bits <= 63, "shards are too large"
 
     def ahead(at: np.ndarray, h: int) -> np.ndarray:
