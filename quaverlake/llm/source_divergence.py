@@ -35,6 +35,8 @@ from .words import slices, word_strings
 
 MIN_DOCS, TOP = 10, 10
 SHARD_TERMS, BROADCAST_BYTES = 1024, 16 << 20
+#: Bytes of text that a task works on at once, some 50 bytes of working memory each.
+PIECE = 2 << 20
 #: Counters that a task holds at once, and sources of a tile.
 CELLS, TILE = 1 << 22, 256
 #: Letters and all bytes of other characters.
@@ -49,9 +51,9 @@ def _coded(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.Array]:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, pa.Array]]:
-    """(rows, row of each word, code of each word, distinct words) of about 8 MB of texts at a time."""
+    """(rows, row of each word, code of each word, distinct words) of about PIECE bytes of texts at a time."""
     for batch in batches:
-        for i, j, data, offsets in slices(batch.column("text")):
+        for i, j, data, offsets in slices(batch.column("text"), PIECE):
             words, bounds = word_strings(data, offsets, WORD)
             words = words.dictionary_encode()
             yield batch.slice(i, j - i), np.repeat(np.arange(j - i), np.diff(bounds)), words.indices.to_numpy().astype(np.int64), words.dictionary
