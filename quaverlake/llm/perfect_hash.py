@@ -79,7 +79,7 @@ class Shards:
         known = {r["lang"]: np.full(r["shards"], -1) for r in rows}
         for s, r in enumerate(rows):
             known[r["lang"]][r["shard"]] = s
-        return cls(known, at, size, Bits.of(b"".join(words)), pa.array(keys, pa.large_string()), np.concatenate(slot), np.array(first), rest)
+        return cls(known, at, size, Bits.of(b"".join(words)), pa.array(keys, pa.large_string()), np.concatenate([*slot, np.zeros(0, np.int64)]), np.array(first), rest)
 
     def slots(self, lang: str, terms: pa.Array) -> np.ndarray:
         """The slot of each term of a language, -1 where it is no key."""

@@ -216,16 +216,15 @@ def perfect_hashes(terms: DataFrame, languages: DataFrame, shard_terms: int = SH
 
 def recount(docs: DataFrame, hashes: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, cells: int = CELLS) -> DataFrame:
     """(lang, shard, source, slot, n): exact occurrences of the terms of `hashes` in each group, above 0."""
-    spark, schema = docs.sparkSession, "lang string, shard long, source string, slot int, n long"
+    spark, schema, out = docs.sparkSession, "lang string, shard long, source string, slot int, n long", None
     total = hashes.agg(F.sum(F.octet_length("bits") + F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a + F.octet_length(k) + 8))).first()[0] or 0
-    passes = math.ceil(total / broadcast_bytes)
-    out = spark.createDataFrame([], schema)
+    passes = max(1, math.ceil(total / broadcast_bytes))
     for b in range(passes):
         # About broadcast_bytes, as shards are dealt by hash and none is large.
         rows = hashes.where(F.pmod(F.xxhash64("lang", "shard"), F.lit(passes)) == b).orderBy("lang", "shard").collect()
-        if rows:
-            shards = spark.sparkContext.broadcast(Shards.of([r.asDict() for r in rows]))
-            out = out.unionByName(docs.mapInArrow(lambda it, shards=shards: _recount(it, shards.value, cells), schema))
+        shards = spark.sparkContext.broadcast(Shards.of([r.asDict() for r in rows]))
+        counted = docs.mapInArrow(lambda it, shards=shards: _recount(it, shards.value, cells), schema)
+        out = counted if out is None else out.unionByName(counted)
     return out.groupBy("lang", "shard", "source", "slot").agg(F.sum("n").alias("n"))
 
 
