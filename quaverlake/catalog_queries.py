@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
@@ -205,6 +205,17 @@ def text_forms(v):
     return docs.select("doc_id", F.md5("n").alias("normalised"), F.md5("c").alias("compacted"), F.md5(T.skeleton(F.col("c"))).alias("skeleton"), F.size(T.tokens(F.col("n"))).alias("words"))
 
 
+_BACKWARDS = I.EquivalenceProvider("backwards", "backwards", 1210, lambda c: F.array(F.reverse(T.compact(T.normalise(c)))), lambda span, number, whole: F.array(F.reverse(T.compact(span))))
+
+
+@query(f"""SELECT id, n AS normalised, c AS compact, list_filter(string_split(n, ' '), lambda x: x <> '') AS tokens, array_to_string(list_filter(m, lambda x, i: i = 1 OR x <> m[i - 1]), '') AS skeleton, CASE WHEN length(c) >= 3 THEN list_sort(list_distinct(list_transform(range(1, length(c) - 1), lambda i: substring(c, i, 3)))) ELSE [] END AS trigrams, [reverse(c)] AS backwards
+  FROM (SELECT *, string_split(regexp_replace(translate(s, 'cqvz', 'kkfs'), '[aeiouy]', '', 'g'), '') AS m FROM (SELECT id, n, c, replace(replace(replace(replace(replace(replace(replace(c, 'ph', 'f'), 'ght', 't'), 'ck', 'k'), 'qu', 'k'), 'sh', 's'), 'ch', 'c'), 'th', 't') AS s FROM (SELECT id, n, replace(n, ' ', '') AS c FROM (SELECT id, {_n('title')} AS n FROM v_titles) a) b) d) e""")
+def forms_of_titles(v):
+    """The struct of forms with a lane that was added; phonetic codes and spoken forms have golden values in the tests."""
+    forms = v.titles.select("id", I.text_forms(F.col("title"), phonetic=False, providers=I.register_equivalence([], _BACKWARDS)).alias("f")).select("id", "f.*").drop("spoken")
+    return forms.withColumn("trigrams", F.array_sort("trigrams"))
+
+
 @query(f"""SELECT a.query_id, CAST(d AS INT) AS distance, round(CASE WHEN len(ga) > 0 AND len(gb) > 0 THEN 2.0 * len(list_intersect(ga, gb)) / (len(ga) + len(gb)) ELSE 0 END, 9) AS dice FROM
   (SELECT query_id, CASE WHEN levenshtein(x, y) <= 3 THEN levenshtein(x, y) ELSE 4 END AS d, list_distinct(list_transform(range(1, length(x) - 1), lambda i: substring(x, i, 3))) AS ga, list_distinct(list_transform(range(1, length(y) - 1), lambda i: substring(y, i, 3))) AS gb FROM
   (SELECT query_id, {_c(_n('q.text'))} AS x, {_c(_n('t.title'))} AS y FROM v_queries q JOIN v_titles t ON q.query_id = 'q' || CAST(100000 + CAST(t.id AS BIGINT) AS VARCHAR))) a""")
@@ -359,7 +370,6 @@ def lane_report(v):
 
 
 _MORE_LANES = _CANDIDATES.replace("key FROM field_forms) WHERE", "key FROM field_forms UNION ALL SELECT 'backwards', reverse(c), key FROM field_forms) WHERE").replace("s FROM span_forms) WHERE", "s FROM span_forms UNION ALL SELECT query_id, 'backwards', reverse(c) FROM span_forms) WHERE")
-_BACKWARDS = I.EquivalenceProvider("backwards", "backwards", 1210, lambda c: F.array(F.reverse(T.compact(T.normalise(c)))), lambda span, number, whole: F.array(F.reverse(T.compact(span))))
 
 
 @query(f"""WITH {_MORE_LANES}, firsts AS (SELECT query_id, key, min(CASE lane WHEN 'normalised' THEN 1 WHEN 'compact' THEN 2 WHEN 'skeleton' THEN 3 ELSE 4 END) AS p FROM candidates GROUP BY ALL)
@@ -429,6 +439,14 @@ def rotate(v):
     return A.rotate(rows, ["genre"], 35, "r").select("genre", "key", "place")
 
 
+@query(f"""SELECT genre, key, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY genre ORDER BY score DESC, turn, -ln(1 - {_draw("'w/album'", "genre", "album")}) / first_weight, album) AS place FROM
+  (SELECT *, row_number() OVER t AS turn, first_value(weight) OVER t AS first_weight FROM (SELECT genre, 'track:' || id AS key, native_rating // 50 AS score, lower(album) AS album, 1 + greatest(0, native_rating - 80) / 10 AS weight FROM v_titles)
+   WINDOW t AS (PARTITION BY genre, score, album ORDER BY -ln(1 - {_draw("'w'", "genre", "key")}) / weight, key))) WHERE place <= 35""")
+def weighted_rotate(v):
+    rows = v.titles.withColumns({"key": F.concat(F.lit("track:"), "id"), "score": F.floor(F.col("native_rating") / 50)})
+    return A.rotate(rows, ["genre"], 35, "w", weight=A.rating_weight(F.col("native_rating"))).select("genre", "key", "place")
+
+
 @query("""SELECT id, CAST(coalesce(CASE WHEN rating IS NULL THEN 4 WHEN match = 'exact' AND rating < 4 THEN NULL WHEN match = 'exact' THEN rating ELSE greatest(rating, 4) END, -1) AS DOUBLE) AS rating FROM
   (SELECT doc_id AS id, CASE WHEN doc_id % 7 > 0 THEN CAST(doc_id % 6 AS DOUBLE) END AS rating, CASE WHEN doc_id % 2 = 0 THEN 'exact' ELSE 'at_least' END AS match FROM documents)""")
 def top_track_constraint(v):
@@ -511,6 +529,42 @@ def _summaries(v):
     return O.summarise_observations(v.observations, _marked(v), v.reviews)
 
 
+_META = "meta AS (SELECT 'u' || user_id || '-' || CAST(ts AS DATE) AS query_id, CAST(CAST(ts AS DATE) AS VARCHAR) || ' 00:00:00' AS made, max(event_type) AS query, CASE WHEN max(value) > 190 THEN 'failed' ELSE 'completed' END AS status FROM events GROUP BY 1, 2), named AS (SELECT *, sha256(query_id || '|' || made) AS observation_id FROM meta)"
+_EVENT_ID = "'u' || user_id || '-' || CAST(ts AS DATE)"
+
+
+def _recorded(v):
+    """Users' days as searches: their views and clicks are results, all their events requests."""
+    events = v.spark.read.parquet(f"{v.dir}/events.parquet").withColumn("query_id", F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), F.to_date("ts").cast("string")))
+    meta = events.groupBy("query_id", F.to_date("ts").cast("timestamp").alias("created_at")).agg(F.max("event_type").alias("query"), F.when(F.max("value") > 190, "failed").otherwise("completed").alias("status"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("ts", "event_id"))
+    results = events.where("event_type in ('view', 'click')").select("query_id", F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("key"), F.when(F.col("event_type") == "view", "track").otherwise("album").alias("kind"), F.col("event_type").alias("title"), place.alias("place"), F.least(F.lit(100), F.floor("value")).cast("int").alias("native_rating"))
+    requests = events.select("query_id", F.col("ts").alias("started_at"), F.col("event_type").alias("kind"), F.lit("ok").alias("status"), F.col("value").alias("duration_ms"))
+    return O.record(results, requests, meta)
+
+
+@query(f"WITH {_META} SELECT observation_id, made AS created, query, status FROM named")
+def record_observations(v):
+    return _recorded(v)["observations"].select("observation_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"), "query", "status")
+
+
+@query(f"""WITH {_META} SELECT observation_id, sha256(observation_id || '|' || key) AS correlation_id, CAST(position AS INT) AS position, kind, CASE WHEN kind = 'track' THEN round(rating / 20, 2) END AS rating FROM (SELECT {_EVENT_ID} AS query_id, 'e' || event_id AS key,
+  row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS position, CASE event_type WHEN 'view' THEN 'track' ELSE 'album' END AS kind, least(100, floor(value)) AS rating FROM events WHERE event_type IN ('view', 'click')) r JOIN named USING (query_id)""")
+def record_candidates(v):
+    return _recorded(v)["candidates"].select("observation_id", "correlation_id", "position", "kind", F.col("rating").cast("double").alias("rating"))
+
+
+@query(f"""WITH {_META} SELECT observation_id, CAST(row_number() OVER (PARTITION BY observation_id ORDER BY ts, event_type, value) AS INT) AS sequence, event_type AS kind, 'ok' AS status, greatest(coalesce(value, 0), 0) AS duration_ms FROM (SELECT *, {_EVENT_ID} AS query_id FROM events) e JOIN named USING (query_id)""")
+def record_requests(v):
+    return _recorded(v)["requests"].select("observation_id", "sequence", "kind", F.col("status"), "duration_ms")
+
+
+@query("SELECT * FROM (VALUES ('repeated observations', CAST(0 AS BIGINT)), ('repeated candidates', 0), ('candidates without an observation', 0), ('requests without an observation', 0), ('sequences with gaps', 0)) t(fault, n)")
+def recording_faults(v):
+    """What the three tables of the log say about each other."""
+    return O.recording_faults(_recorded(v))
+
+
 @query(f"SELECT correlation_id, position, epoch_us(selected_at) AS selected_us FROM {_MARKED} m")
 def mark_selected(v):
     return _marked(v).select("correlation_id", "position", F.unix_micros(F.col("selected_at").cast("timestamp")).alias("selected_us"))
@@ -593,6 +647,18 @@ def browse_log(v):
     return L.browse_log(v.calls, {"tool": " click ", "status": "Completed", "user_id": " "}, ["started_at", "call_id"], 10, 20)[1].select("call_id")
 
 
+@query("SELECT call_id FROM v_calls WHERE status = 'Completed' ORDER BY started_at DESC, call_id DESC LIMIT 20 OFFSET 40")
+def log_page_by_key(v):
+    """The third page, each found behind the last row of the one before."""
+    after = None
+    for n in range(3):
+        page = L.browse_log(v.calls, {"status": "Completed"}, ["started_at", "call_id"], 0, 20, after)[1].select("started_at", "call_id")
+        if n < 2:
+            last = page.orderBy("started_at", "call_id").first()
+            after = tuple(last) if last else None
+    return page.select("call_id")
+
+
 @query("SELECT status, count(*) AS kept FROM v_calls WHERE NOT (started_at < TIMESTAMP '2024-01-15 00:00:00' AND status IN ('Completed', 'Failed') AND call_id <> 1) GROUP BY status")
 def purge(v):
     calls = v.calls.withColumn("id", F.col("call_id").cast("string"))

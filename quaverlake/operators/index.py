@@ -42,6 +42,19 @@ def register_equivalence(providers: list[EquivalenceProvider], provider: Equival
     return [*providers, provider]
 
 
+def text_forms(c: Column, phonetic: bool = True, providers: list[EquivalenceProvider] | None = None) -> Column:
+    """All forms of a text in one struct: normalised, compact, tokens, skeleton, trigrams, spoken (digits as words), double_metaphone, and the keys of every provider under its name. What the
+    index, the lanes and the scores know of a provider they know from here."""
+    providers = [ACRONYM, CARDINAL] if providers is None else providers
+    base = T.text_forms(c)
+    fields = [base[f].alias(f) for f in ("normalised", "compact", "tokens", "skeleton", "trigrams")]
+    spoken = T.expand_digits(T.normalise(c))
+    fields.append(spoken.alias("spoken"))
+    if phonetic:
+        fields.append(double_metaphone(spoken).alias("double_metaphone"))
+    return F.struct(*fields, *[p.indexed(c).alias(p.name) for p in providers])
+
+
 def stable_key() -> Column:
     return F.concat(F.col("kind"), F.lit(":"), F.col("id"))
 
@@ -64,16 +77,10 @@ def lookup_terms(docs: DataFrame, phonetic: bool = True, providers: list[Equival
     """Distinct (lane, term, key). Forms are made once for each distinct text."""
     providers = [ACRONYM, CARDINAL] if providers is None else providers
     rows = field_rows(docs)
-    n = T.normalise(F.col("text"))
-    forms = rows.select("text").distinct().withColumn("n", n).withColumn("c", T.compact(F.col("n")))
+    forms = rows.select("text").distinct().withColumn("f", text_forms(F.col("text"), phonetic, providers))
     lane = lambda name, terms: F.transform(terms, lambda t: F.struct(F.lit(name).alias("lane"), t.alias("term")))
-    lanes = [lane("normalised", F.array("n")), lane("compact", F.array("c")), lane("skeleton", F.array(T.skeleton(F.col("c"))))]
-    if phonetic:
-        forms = forms.withColumn("codes", double_metaphone(T.expand_digits(F.col("n"))))
-        lanes.append(lane("double_metaphone", F.col("codes")))
-    for p in providers:
-        forms = forms.withColumn(f"keys_{p.name}", p.indexed(F.col("text")))
-        lanes.append(lane(p.name, F.col(f"keys_{p.name}")))
+    lanes = [lane(name, F.array(f"f.{name}")) for name in ("normalised", "compact", "skeleton")]
+    lanes += [lane(name, F.col(f"f.{name}")) for name in (["double_metaphone"] if phonetic else []) + [p.name for p in providers]]
     terms = forms.select("text", F.explode(F.concat(*lanes)).alias("t")).select("text", "t.*").where("term <> ''")
     return rows.join(terms, "text").select("lane", "term", "key").distinct()
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .paging import page_after
+
 
 def _observed(meta: DataFrame) -> DataFrame:
     return meta.withColumn("observation_id", F.sha2(F.concat_ws("|", "query_id", F.col("created_at").cast("string")), 256))
@@ -29,6 +31,29 @@ def record_requests(requests: DataFrame, meta: DataFrame) -> DataFrame:
     return rows.select("observation_id", F.row_number().over(order).alias("sequence"), "kind", "status", F.greatest(F.coalesce(F.col("duration_ms").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("duration_ms"))
 
 
+def record(results: DataFrame, requests: DataFrame, meta: DataFrame) -> dict[str, DataFrame]:
+    """The three linked tables of a log of searches: observations, candidates and requests. Rows of queries that meta does not name are left out."""
+    observations, candidates = record_observations(results, meta)
+    return {"observations": observations, "candidates": candidates, "requests": record_requests(requests, meta)}
+
+
+def recording_faults(tables: dict[str, DataFrame]) -> DataFrame:
+    """(fault, n) of recorded tables, all 0 in a sound log: repeated ids, links to no observation, and gaps in the sequences of requests."""
+    repeated = lambda name, key: tables[name].groupBy(key).count().where("count > 1").agg(F.count("*").alias("n"))
+    orphans = lambda name: tables[name].join(tables["observations"], "observation_id", "left_anti").agg(F.count("*").alias("n"))
+    gaps = tables["requests"].groupBy("observation_id").agg(F.max("sequence").alias("last"), F.count("*").alias("all"), F.countDistinct("sequence").alias("several"))
+    faults = {
+        "repeated observations": repeated("observations", "observation_id"), "repeated candidates": repeated("candidates", "correlation_id"),
+        "candidates without an observation": orphans("candidates"), "requests without an observation": orphans("requests"),
+        "sequences with gaps": gaps.where("last <> all or several <> all").agg(F.count("*").alias("n")),
+    }
+    out = None
+    for name, rows in faults.items():
+        one = rows.select(F.lit(name).alias("fault"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def retrieval_durations(requests: DataFrame, observations: DataFrame) -> DataFrame:
     """(observation_id, retrieval_ms, processing_ms). Index and provider requests run side by side with the playlist search, expansions one after
     another, name-free requests side by side. requests: observation_id, kind (index, provider, expansion, name_free), duration_ms; observations: playlist_ms, total_ms."""
@@ -65,9 +90,11 @@ def observation_filter(text: str | None = None, reviewed: bool | None = None, re
     return keep
 
 
-def browse_observations(summaries: DataFrame, condition: Column, offset: int = 0, limit: int = 100) -> tuple[int, DataFrame]:
-    """(total, page), the newest first."""
+def browse_observations(summaries: DataFrame, condition: Column, offset: int = 0, limit: int = 100, after: tuple | None = None) -> tuple[int, DataFrame]:
+    """(total, page), the newest first; `after` is (created_at, observation_id) of the last row of the page before."""
     rows = summaries.where(condition)
+    if after is not None:
+        return rows.count(), page_after(rows, [(F.col("created_at"), True), (F.col("observation_id"), True)], after, min(limit, 100))
     return rows.count(), rows.orderBy(F.desc("created_at"), F.desc("observation_id")).offset(offset).limit(min(limit, 100))
 
 

@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .paging import page_after
+
 #: Days that rows are kept by default.
 RETENTION = {"observations": 90, "errors": 90, "tool_calls": 30, "jobs": 90}
 TERMINAL = ["Completed", "Failed", "Cancelled", "Interrupted"]
 SUMMARY = 240
 
 
-def browse_log(df: DataFrame, filters: dict[str, str | None], order: list[str], offset: int = 0, limit: int = 100) -> tuple[int, DataFrame]:
-    """(total, page): equality filters by trimmed values, blank ones ignored; the newest first."""
+def browse_log(df: DataFrame, filters: dict[str, str | None], order: list[str], offset: int = 0, limit: int = 100, after: tuple | None = None) -> tuple[int, DataFrame]:
+    """(total, page): equality filters by trimmed values, blank ones ignored; the newest first. `after`, the last row's values of the columns of `order`, gives the page behind it without
+    sorting those before, as an offset does."""
     for column, value in filters.items():
         if value and value.strip():
             df = df.where(F.col(column) == value.strip())
+    if after is not None:
+        return df.count(), page_after(df, [(F.col(c), True) for c in order], after, min(limit, 100))
     return df.count(), df.orderBy(*[F.desc(c) for c in order]).offset(offset).limit(min(limit, 100))
 
 

@@ -19,9 +19,20 @@ def upsert(target: DataFrame, batch: DataFrame, key: str, refresh_id: str) -> Da
     return kept.unionByName(batch.withColumn("seen_refresh_id", F.lit(refresh_id)))
 
 
+def relation_rows(batch: DataFrame, owner: str, ids: str, target: str) -> DataFrame:
+    """(owner, target, pos) of the array column `ids` of a batch, each id once in order."""
+    return batch.select(F.col("source_id").alias(owner), F.posexplode(F.array_distinct(ids)).alias("pos", target))
+
+
+def statistic_rows(batch: DataFrame, owner: str, statistics: str) -> DataFrame:
+    """One row for each owner and source of the array column of structs `statistics` (source, ...), the last of a source counting."""
+    each = batch.select(F.col("source_id").alias(owner), F.posexplode(statistics).alias("_pos", "_s")).groupBy(owner, F.col("_s.source").alias("_source")).agg(F.max_by("_s", "_pos").alias("_s"))
+    return each.select(owner, "_s.*")
+
+
 def replace_relations(links: DataFrame, batch: DataFrame, owner: str, ids: str, target: str) -> DataFrame:
     """Links (owner, target, pos) where those of the batch's owners are replaced by its array column `ids`, each id once in order."""
-    fresh = batch.select(F.col("source_id").alias(owner), F.posexplode(F.array_distinct(ids)).alias("pos", target))
+    fresh = relation_rows(batch, owner, ids, target)
     kept = links.join(batch.select(F.col("source_id").alias(owner)).distinct(), owner, "left_anti")
     return kept.select(owner, target, "pos").unionByName(fresh.select(owner, target, "pos"))
 

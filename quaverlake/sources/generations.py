@@ -1,50 +1,48 @@
-"""The search index as immutable generations: tables in a folder of their own, and one row in a table of generations once they are complete."""
+"""The search index as immutable generations in Spark tables: each table has two slots as partitions, and one row of state names the slot that counts."""
 
 from __future__ import annotations
 
-import uuid
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 NAMES = ["documents", "lookup_terms", "token_postings", "trigram_postings"]
-GENERATION = "number long, name string, version string, documents long"
-
-
-def _path(spark: SparkSession, path: str):
-    out = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return out, out.getFileSystem(spark._jsc.hadoopConfiguration())
+STATE = "generation long, slot int, version string, documents long"
 
 
-def _generations(spark: SparkSession, root: str) -> list:
-    """Published generations, the newest first."""
-    path, files = _path(spark, f"{root}/generations")
-    return spark.read.schema(GENERATION).parquet(f"{root}/generations").orderBy("number", ascending=False).collect() if files.exists(path) else []
+def _state(spark: SparkSession, root: str):
+    """The row of state, or nothing where no index is published."""
+    try:
+        return spark.read.schema(STATE).parquet(f"{root}/state").orderBy(F.desc("generation")).first()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
-def publish_index(spark: SparkSession, index: dict[str, DataFrame], root: str, version: str) -> str:
-    """Writes a generation, checks that each of its tables can be read and has the rows that were written, and appends its row, which makes it the current one. The one
-    before stays; the data of older ones are deleted. A failure appends nothing, so the current one stays."""
-    published, name = _generations(spark, root), uuid.uuid4().hex
-    counts = {}
+def publish_index(spark: SparkSession, index: dict[str, DataFrame], root: str, version: str) -> int:
+    """Writes a generation into the slot that does not count, checks that each of its tables has rows to read, and then makes it the current one. The one before stays in its
+    slot; the one before that is what the new one replaced. A failure leaves the current one."""
+    now = _state(spark, root)
+    number = now.generation + 1 if now else 1
+    slot = number % 2
     for table in NAMES:
-        df, at = index[table], f"{root}/{name}/{table}"
-        (df.write.partitionBy("lane") if table == "lookup_terms" else df.write).parquet(at)
-        counts[table] = spark.read.schema(df.schema).parquet(at).count()
-    if counts["documents"] == 0:
-        raise ValueError("an index without documents is not published")
-    number = published[0].number + 1 if published else 1
-    spark.createDataFrame([(number, name, version, counts["documents"])], GENERATION).coalesce(1).write.mode("append").parquet(f"{root}/generations")
-    for old in published[1:]:
-        path, files = _path(spark, f"{root}/{old.name}")
-        files.delete(path, True)
-    return name
+        rows = index[table].withColumn("slot", F.lit(slot))
+        lanes = ["slot", "lane"] if table == "lookup_terms" else ["slot"]
+        if table == "documents" and rows.isEmpty():
+            raise ValueError("an index without documents is not published")
+        # Lanes of an older generation in this slot must not stay, so the slot is written as a table of its own.
+        rows.drop("slot").write.mode("overwrite").partitionBy(*lanes[1:]).parquet(f"{root}/{table}/slot={slot}")
+    counts = {table: spark.read.schema(index[table].schema).parquet(f"{root}/{table}/slot={slot}").count() for table in NAMES}
+    spark.createDataFrame([(number, slot, version, counts["documents"])], STATE).coalesce(1).write.mode("append").parquet(f"{root}/state")
+    return number
 
 
 def open_index(spark: SparkSession, root: str, version: str) -> dict[str, DataFrame]:
     """The tables of the current generation; one of another version is refused."""
-    published = _generations(spark, root)
-    if not published:
+    now = _state(spark, root)
+    if now is None:
         raise ValueError("no index is published")
-    if published[0].version != version:
-        raise ValueError(f"the index has version {published[0].version}, not {version}")
-    return {table: spark.read.parquet(f"{root}/{published[0].name}/{table}") for table in NAMES}
+    if now.version != version:
+        raise ValueError(f"the index has version {now.version}, not {version}")
+    return {table: spark.read.parquet(f"{root}/{table}/slot={now.slot}") for table in NAMES}

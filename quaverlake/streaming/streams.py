@@ -5,43 +5,64 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.reconcile import dedupe_last, upsert
+from ..operators import stored as St
+from ..operators.reconcile import relation_rows, statistic_rows
+from ..plans.stage import staged
 
 CALL = "call_id string, tool string, status string, started_at timestamp, completed_at timestamp, duration_ms double"
 
 
-def _versions(spark: SparkSession, target: str) -> list[int]:
-    """The committed versions of a table, from the oldest."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v*/_SUCCESS")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    return sorted(int(f.getPath().getParent().getName()[1:]) for f in found)
+class LastRow(StatefulProcessor):
+    """Keeps the last row of a key, by its order and then its text, and hands it on when it is new. A row that was seen before, or is older, changes nothing."""
 
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
 
-def current_pages(spark: SparkSession, target: str) -> DataFrame | None:
-    """The newest committed version of a table that stream_pages writes."""
-    versions = _versions(spark, target)
-    return spark.read.parquet(f"{target}/v{versions[-1]}") if versions else None
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "place long, body string", self.ttl_ms)
 
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        newest = max((r.place, r.body) for r in rows)
+        if not self.last.exists() or newest > tuple(self.last.get()):
+            self.last.update(newest)
+            yield Row(name=key[0], place=newest[0], body=newest[1])
 
-def stream_pages(pages: DataFrame, target: str, key: str, order: str, refresh_id: str):
-    """A writer of typed pages into a Parquet table, batch by batch: the last row of a key wins and a replay gives the same table. A batch starts from the newest
-    committed version, also under a new checkpoint, and writes the next; a failed batch leaves the one before. The two newest versions are kept."""
+    def close(self) -> None:
+        pass
+
+
+def stream_pages(pages: DataFrame, key: str, order: str, retention: str | None = None) -> DataFrame:
+    """The rows of typed pages, with their arrays of links, that change what was known of their key: the last row by the number `order` wins, and a replay of pages gives none. Rows
+    without a key are left out. State is one row a key, which with a retention is given up that long after its last change. Needs the RocksDB state store."""
+    schema = pages.drop(order).schema
+    body = F.to_json(F.struct(*[f.name for f in schema]), {"ignoreNullFields": "false"})
+    rows = pages.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("name"), F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 62))).alias("place"), body.alias("body"))
+    ttl = None if retention is None else int(pd.Timedelta(retention).total_seconds() * 1000)
+    changed = rows.groupBy("name").transformWithState(LastRow(ttl), "name string, place long, body string", "Update", "None" if ttl is None else "ProcessingTime")
+    return changed.select(F.from_json("body", schema).alias("r")).select("r.*")
+
+
+def write_pages(changes: DataFrame, tables: dict[str, str], refresh_id: str, relations: dict[str, tuple[str, str]] | None = None, statistics: str | None = None):
+    """A writer of changed track rows into stored tables (see operators.stored): `tables` names tracks and, by the array column they come from, the tables of links. relations gives of
+    such a column (link table's owner, target) and statistics the column of (source, ...) structs. A batch that runs again gives the same tables."""
+    relations = relations or {}
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        fresh = dedupe_last(batch, key, order).drop(order)
-        versions = _versions(spark, target)
-        stored = spark.read.parquet(f"{target}/v{versions[-1]}") if versions else fresh.limit(0).withColumn("seen_refresh_id", F.lit(refresh_id))
-        upsert(stored, fresh, key, refresh_id).write.mode("overwrite").parquet(f"{target}/v{versions[-1] + 1 if versions else 0}")
-        for old in versions[:-1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v{old}")
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        spark = batch.sparkSession
+        batch = staged(batch)
+        own = batch.drop(*relations, *([statistics] if statistics else []))
+        for column, (owner, target) in relations.items():
+            St.replace_owned(spark, tables[column], batch.select(F.col("source_id").alias(owner)), relation_rows(batch, owner, column, target), owner)
+        if statistics:
+            St.replace_owned(spark, tables[statistics], batch.select(F.col("source_id").alias("track_id")), statistic_rows(batch, "track_id", statistics), "track_id")
+        St.upsert_table(spark, tables["tracks"], own, "source_id", refresh_id)
 
-    return pages.writeStream.foreachBatch(apply)
+    return changes.writeStream.foreachBatch(apply).outputMode("update")
 
 
 def _calls(timeout_ms: int, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -53,14 +74,17 @@ def _calls(timeout_ms: int, key: tuple, batches: Iterator[pd.DataFrame], state:
         state.remove()
         return
     rows = pd.concat(list(batches)).sort_values(["at", "event"], ascending=[True, False])
-    out = []
-    for row in rows.itertuples():
-        if row.event == "started" and start is None:
-            tool, start = row.tool, row.at.value // 1000
-        elif row.event != "started" and start is not None and not done:
-            done = True
-            began = pd.Timestamp(start, unit="us")
-            out.append((key[0], tool, row.event.capitalize(), began, row.at.tz_localize(None), max(0.0, (row.at.tz_localize(None) - began).total_seconds() * 1000)))
+    out, known = [], start
+    starts = rows["event"] == "started"
+    if start is None and starts.any():
+        first = rows[starts].iloc[0]
+        tool, start = first["tool"], first["at"].value // 1000
+    # The first completion that stands after the start, in the order of times.
+    ends = rows[~starts & (starts.cumsum() > 0)] if known is None else rows[~starts]
+    if start is not None and not done and len(ends):
+        done, began, end = True, pd.Timestamp(start, unit="us"), ends.iloc[0]
+        at = end["at"].tz_localize(None)
+        out.append((key[0], tool, end["event"].capitalize(), began, at, max(0.0, (at - began).total_seconds() * 1000)))
     state.update((done, tool, start))
     state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(rows["at"].max().value // 1_000_000) + timeout_ms))
     yield pd.DataFrame(out, columns=["call_id", "tool", "status", "started_at", "completed_at", "duration_ms"])

@@ -1,4 +1,5 @@
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from quaverlake.operators import evaluate as E
 from quaverlake.operators import index as I
 from quaverlake.operators import ingest as N
 from quaverlake.operators import reconcile as C
+from quaverlake.operators import stored as St
 from quaverlake.sources.generations import open_index, publish_index
 from quaverlake.sources.pages import audit_pages, read_pages
 from quaverlake.streaming import streams as W
@@ -48,16 +50,22 @@ def test_snapshot_checks(spark):
 
 def test_generations(spark, tmp_path):
     docs = spark.createDataFrame([("track", "1", "MTV Night", None, None, 0, [], None, [])], I.DOCUMENT)
-    index = {"documents": docs, "lookup_terms": I.lookup_terms(docs), "token_postings": I.token_postings(docs), "trigram_postings": I.trigram_postings(docs)}
-    root = f"file://{tmp_path}/index"
-    names = [publish_index(spark, index, root, "v1") for _ in range(3)]
-    assert sorted(p.name for p in (tmp_path / "index").iterdir() if p.is_dir()) == sorted([*names[1:], "generations"])
+    build = lambda docs: {"documents": docs, "lookup_terms": I.lookup_terms(docs), "token_postings": I.token_postings(docs), "trigram_postings": I.trigram_postings(docs)}
+    index, root = build(docs), f"file://{tmp_path}/index"
+    with pytest.raises(ValueError, match="no index"):
+        open_index(spark, root, "v1")
+    assert [publish_index(spark, index, root, "v1") for _ in range(3)] == [1, 2, 3]
+    assert sorted(p.name for p in (tmp_path / "index" / "documents").iterdir()) == ["slot=0", "slot=1"]
     assert open_index(spark, root, "v1")["lookup_terms"].where("lane = 'normalised'").count() == index["lookup_terms"].where("lane = 'normalised'").count()
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="version v1"):
         open_index(spark, root, "v2")
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="without documents"):
         publish_index(spark, index | {"documents": docs.limit(0)}, root, "v1")
     assert open_index(spark, root, "v1")["documents"].count() == 1
+    # The new generation is complete before it counts, and the slot that it replaced holds nothing else.
+    old = open_index(spark, root, "v1")["documents"]
+    publish_index(spark, build(docs.unionByName(docs.withColumn("id", F.lit("2")))), root, "v2")
+    assert old.count() == 1 and open_index(spark, root, "v2")["documents"].count() == 2
 
 
 def test_corpus(spark, tmp_path):
@@ -85,20 +93,53 @@ def drain(query):
     query.awaitTermination(120)
 
 
-def test_pages_as_a_stream_converge(spark, tmp_path):
-    rows = [("a", "one", 1), ("a", "two", 2), ("b", "x", 1)]
-    spark.createDataFrame(rows, "source_id string, title string, pos int").coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("source_id string, title string, pos int").parquet(f"{tmp_path}/in")
-    writer = W.stream_pages(stream, f"{tmp_path}/out", "source_id", "pos", "r")
-    drain(writer.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start())
-    assert sorted((r.source_id, r.title) for r in W.current_pages(spark, f"{tmp_path}/out").collect()) == [("a", "two"), ("b", "x")]
-    # A new checkpoint goes on from the table that is there.
-    for n in (2, 3):
-        spark.createDataFrame([("c", f"new{n}", 1), ("b", "y", 1)], "source_id string, title string, pos int").coalesce(1).write.parquet(f"{tmp_path}/in{n}")
-        more = spark.readStream.schema("source_id string, title string, pos int").parquet(f"{tmp_path}/in{n}")
-        drain(W.stream_pages(more, f"{tmp_path}/out", "source_id", "pos", "r").option("checkpointLocation", f"{tmp_path}/cp{n}").trigger(availableNow=True).start())
-    assert sorted((r.source_id, r.title) for r in W.current_pages(spark, f"{tmp_path}/out").collect()) == [("a", "two"), ("b", "y"), ("c", "new3")]
-    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["v1", "v2"]
+PAGE = "source_id string, title string, artists array<string>, genres array<string>, statistics array<struct<source: string, native_rating: int>>, pos long"
+
+
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_pages_as_a_stream_converge(spark, tmp_path, rocks):
+    """Pages with artists, genres and statistics; replays, older rows, and a restart with and without the old checkpoint."""
+    tables = {k: f"s_{uuid.uuid4().hex}" for k in ("tracks", "artists", "genres", "statistics")}
+    none = lambda schema: spark.createDataFrame([], schema)
+    St.create_table(none("source_id string, title string, seen_refresh_id string"), tables["tracks"], "source_id", f"file://{tmp_path}/tracks", bands=4, buckets=2)
+    St.create_table(none("track_id string, artist_id string, pos int"), tables["artists"], "track_id", f"file://{tmp_path}/artists", bands=4, buckets=2)
+    St.create_table(none("track_id string, genre_id string, pos int"), tables["genres"], "track_id", f"file://{tmp_path}/genres", bands=4, buckets=2)
+    St.create_table(none("track_id string, source string, native_rating int"), tables["statistics"], "track_id", f"file://{tmp_path}/statistics", bands=4, buckets=2)
+    pages = 0
+
+    def arrive(*rows):
+        nonlocal pages
+        pages += 1
+        spark.createDataFrame(rows, PAGE).coalesce(1).write.parquet(f"{tmp_path}/in/{pages}")
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(PAGE).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        changes = W.stream_pages(stream, "source_id", "pos", "90 days")
+        writer = W.write_pages(changes, tables, "r", {"artists": ("track_id", "artist_id"), "genres": ("track_id", "genre_id")}, "statistics")
+        query = writer.option("checkpointLocation", f"{tmp_path}/{checkpoint}").trigger(availableNow=True).start()
+        drain(query)
+        read = lambda t, *c: sorted(tuple(r) for r in spark.table(tables[t]).select(*c).collect())
+        return read("tracks", "source_id", "title"), read("artists", "track_id", "artist_id", "pos"), read("genres", "track_id", "genre_id"), read("statistics", "track_id", "source", "native_rating")
+
+    arrive(("a", "one", ["x", "y", "x"], ["g"], [("core", 20), ("other", 5), ("core", 40)], 1), ("a", "two", ["y"], None, [("core", 60)], 2), ("b", "x", None, ["g", "h"], None, 1), (None, "lost", None, None, None, 1))
+    want = ([("a", "two"), ("b", "x")], [("a", "y", 0)], [("b", "g"), ("b", "h")], [("a", "core", 60)])
+    assert run("cp") == want
+    arrive(("a", "one", ["x"], ["g"], None, 1), ("b", "x", None, ["g", "h"], None, 1))  # a replay, and a row that is older than what is known
+    assert run("cp") == want
+    arrive(("b", "y", ["z", "x"], [], [("core", 1), ("core", 2)], 5), ("c", "new", [], [], [], 1))
+    want = ([("a", "two"), ("b", "y"), ("c", "new")], [("a", "y", 0), ("b", "x", 1), ("b", "z", 0)], [], [("a", "core", 60), ("b", "core", 2)])
+    assert run("cp") == want
+    assert run("another") == want  # all pages again, without what was known
+    for name in tables.values():
+        spark.sql(f"DROP TABLE {name}")
 
 
 def test_tool_calls_as_a_stream(spark, tmp_path):
