@@ -1,11 +1,12 @@
 """Surrogates for personal data: every detected entity gets a keyed replacement of its own type.
 
-Entities are e-mail addresses, phone numbers, payment card numbers, social security numbers, IPv4 addresses, secrets (long hex strings and common key
-forms) and names after a title, with the later and earlier bare mentions of these names in the same text. A replacement depends on a secret key, the type and the entity's canonical form, so that an
+Entities are e-mail addresses, phone numbers, payment card numbers, bank account numbers (IBAN), social security numbers, IPv4 and IPv6 addresses, secrets (long hex strings and common key
+forms) and names after a title, also all in capitals, with the later and earlier bare mentions of these names in the same text. A replacement depends on a secret key, the type and the entity's canonical form, so that an
 entity has the same surrogate wherever and however it is written (coreference). Surrogates keep the format: length, punctuation,
 letter case, the script of letters, a phone's country code, an address's top-level domain and shared domains, the digits of an octet within 0-255, a card's first
-digit and whether its check digit holds. Names keep the title, its gender, the script and the number of parts; a surname alone and with a given name
-has the same surrogate. Latin, Cyrillic and Greek have lists of given names by gender; names of other scripts get letters of their own script, which say no gender.
+digit and whether its check digit holds, an account number's country and whether its check digits hold. Names keep the title, its gender, the script and the number of parts; a surname alone and with a given name
+has the same surrogate. Names of Latin, Cyrillic and Greek letters are made of syllables and an ending
+that tells their gender; names of other scripts get letters of their own script, which say no gender.
 
 Collision checks. Two entities of a type never share a surrogate, no surrogate is an entity of the corpus and none contains its original: losers are keyed anew
 with the next attempt until none is left. Where a format is too small for that, surrogates may after `STRICT` attempts be other entities, and after
@@ -33,15 +34,12 @@ SALTS = 64
 
 #: Titles by gender.
 TITLES = {"m": ["Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин", "Κύριος"], "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа", "Κυρία"], "n": ["Dr", "Prof"]}
-#: Given names by script and gender, and syllables of surnames.
-GIVEN = {
-    "Latin": {"m": ["Adam", "Bruno", "Carlo", "David", "Emil", "Felix", "Jonas", "Oscar"], "f": ["Alma", "Bella", "Clara", "Diana", "Elena", "Flora", "Irene", "Paula"], "n": ["Alex", "Kim", "Robin", "Sascha", "Noel", "Jules", "Quinn", "Toni"]},
-    "Cyrillic": {"m": ["Антон", "Борис", "Виктор", "Денис", "Иван", "Максим", "Олег", "Павел"], "f": ["Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Ольга", "София"], "n": ["Саша", "Женя", "Валя", "Слава"]},
-    "Greek": {"m": ["Νίκος", "Πέτρος", "Κώστας", "Γιώργος"], "f": ["Μαρία", "Ελένη", "Σοφία", "Ειρήνη"], "n": ["Αλέξης", "Φώτης"]},
-}
-SYLLABLES = {
-    "Latin": ["ba", "den", "fo", "gar", "hol", "kin", "lan", "mer", "nor", "pel", "ros", "sen", "tal", "ver", "wil", "zan"], "Cyrillic": ["ба", "ден", "фо", "гар", "хол", "кин", "лан", "мер", "нор", "пел", "рос", "сен", "тал", "вер", "вил", "зан"],
-    "Greek": ["βα", "δεν", "φο", "γαρ", "χολ", "κιν", "λαν", "μερ", "νορ", "πελ", "ροσ", "σεν", "ταλ", "βερ", "βιλ", "ζαν"],
+#: Names are made of syllables, a consonant and a vowel each, and an ending that tells a surname or the gender of a given name. Five syllables and an ending make 2e10 names of a kind.
+SOUNDS = {"Latin": ("bdfghklmnprstvwz", "aeiou"), "Cyrillic": ("бвгдзклмнпрстфхш", "аеиоу"), "Greek": ("βγδζκλμνπρστφχψ", "αεηιο")}
+ENDINGS = {
+    "Latin": {"surname": ["mann", "berg", "sen", "dal", "wick", "strom"], "m": ["n", "rt", "ld", "k", "do", "no"], "f": ["na", "lia", "ra", "ssa", "nne", "tta"], "n": ["l", "x", "ri", "m", "y", "s"]},
+    "Cyrillic": {"surname": ["енко", "ук", "дзе", "вич", "ман", "берг"], "m": ["н", "рт", "д", "слав", "мир", "к"], "f": ["на", "ля", "ра", "ша", "та", "я"], "n": ["ль", "м", "с", "й", "р", "кс"]},
+    "Greek": {"surname": ["ακης", "ιδης", "ογλου", "εας", "ουλας", "ατος"], "m": ["νος", "ρος", "λος", "στος", "κος", "δας"], "f": ["να", "ρα", "λη", "νη", "σα", "τα"], "n": ["ξ", "ρ", "λι", "ν", "ψ", "μι"]},
 }
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 #: Ranges of scripts, and the range that a character of each is replaced from. Characters of other scripts become basic Latin letters.
@@ -57,16 +55,26 @@ def _pool(first: str, last: str) -> str:
     return "".join(c for c in map(chr, range(ord(first), ord(last) + 1)) if c.isalpha() and c == c.lower() and len(c.upper()) == 1)
 
 
-_TITLE = "(?:" + "|".join(x for xs in TITLES.values() for x in xs) + r")\.?"
+_TITLE = "(?:" + "|".join(x for xs in TITLES.values() for x in [*xs, *(x.upper() for x in xs)]) + r")\.?"
+_MIXED = "(?:" + "|".join(x for xs in TITLES.values() for x in xs) + r")\.?"
+_CAPITALS = "(?:" + "|".join(x.upper() for xs in TITLES.values() for x in xs) + r")\.?"
 _WORD = r"[\p{L}\p{M}\p{N}_.%+-]"
 _LABEL = r"[\p{L}\p{M}\p{N}-]++"
-_PART = r"(?:\p{Lu}[\p{L}\p{M}'’-]{1,40}|\p{Lo}[\p{Lo}\p{M}]{0,40})"
+#: Marks inside a name; an apostrophe that begins a possessive s does not belong to it.
+_INNER = r"['’](?=\p{L})(?![sS](?![\p{L}\p{M}]))|-(?=\p{L})"
+#: Scripts that put no spaces between words, of which a name is at most so long.
+_DENSE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_PART = rf"(?:\p{{Lu}}(?:[\p{{L}}\p{{M}}]|{_INNER})++|[{_DENSE}]{{1,40}}+|[\p{{Lo}}&&[^{_DENSE}]][\p{{Lo}}\p{{M}}&&[^{_DENSE}]]*+)"
+_CAPITAL = rf"\p{{Lu}}(?:[\p{{Lu}}\p{{M}}]|{_INNER})++(?!\p{{L}})"
+_GROUP = "[0-9A-Fa-f]{1,4}"
 #: No letter or digit stands next to it.
 _BARE = r"[\p{L}\p{M}\p{N}]"
 PATTERNS = {
-    "name": rf"(?<!\p{{L}}){_TITLE} {{1,3}}{_PART}(?: {_PART})?",
+    "name": rf"(?<!\p{{L}})(?:{_MIXED} {{1,3}}{_PART}(?: {_PART})?|{_CAPITALS} {{1,3}}{_CAPITAL}(?: {_CAPITAL})?)",
     "email": rf"(?<!{_WORD}){_WORD}++@{_LABEL}(?:\.{_LABEL}){{1,126}}+",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-fA-F]{32,}+|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xoxb)[-_][A-Za-z0-9]{16,}+)(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-fA-F]{32,}+|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|rk|gh[opsur]|github_pat|glpat|xox[abprs])[-_](?:[A-Za-z0-9]{1,15}[-_]){0,4}[A-Za-z0-9]{16,}+(?:[-_][A-Za-z0-9]++)*+)(?![\p{L}\p{N}])",
+    "iban": r"(?<![\p{L}\p{N}])(?=[A-Z]{2}(?:[A-Z ]*\d){8})[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "ip6": rf"(?<![\p{{L}}\p{{N}}:])(?=[A-Fa-f:]*\d)(?:{_GROUP}(?::{_GROUP}){{7}}|(?:{_GROUP}(?::{_GROUP}){{0,6}})?::(?:{_GROUP}(?::{_GROUP}){{0,6}})?)(?![\p{{L}}\p{{N}}:])",
     "phone": r"(?<![\p{L}\p{N}])\+\d{1,3}(?:[ .-]?\(\d{1,4}\)|[ .-]?\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\p{L}\p{N}])\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\p{L}\p{N}.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d.-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -74,12 +82,12 @@ PATTERNS = {
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without these has no entity.
-HINT = rf"[0-9@]|{_TITLE} |AKIA|ASIA|(?:sk|pk|ghp|gho|xoxb)[-_][A-Za-z0-9]{{16}}|[0-9a-fA-F]{{32}}"
+HINT = rf"[0-9@]|{_TITLE} |AKIA|ASIA|(?:sk|pk|rk|gh[opsur]|pat|xox[abprs])[-_][A-Za-z0-9]|[0-9a-fA-F]{{32}}"
 
 
 def _kind(e: Column) -> Column:
     out = F.lit("card")
-    for kind in ("ssn", "ip", "phone", "secret", "email", "name"):
+    for kind in ("ssn", "ip", "phone", "ip6", "iban", "secret", "email", "name"):
         out = F.when(e.rlike(rf"^(?:{PATTERNS[kind]})$"), kind).otherwise(out)
     return out
 
@@ -91,13 +99,13 @@ def _digits(c: Column) -> Column:
 def _units(e: Column, kind: Column) -> Column:
     """The parts of an entity that get surrogates of their own, as (kind, form, word of a name): a name has a surname and perhaps a given name, all else is one part."""
     words = F.split(F.regexp_replace(e, rf"^{_TITLE} +", ""), " ")
-    gender = F.when(e.rlike(rf"^(?:{'|'.join(TITLES['m'])})\.? "), "m").when(e.rlike(rf"^(?:{'|'.join(TITLES['f'])})\.? "), "f").otherwise("n")
+    gender = F.when(e.rlike(rf"(?iu)^(?:{'|'.join(TITLES['m'])})\.? "), "m").when(e.rlike(rf"(?iu)^(?:{'|'.join(TITLES['f'])})\.? "), "f").otherwise("n")
     first = F.substring(F.element_at(words, -1), 1, 1)
     script = F.when(first.rlike(r"\p{IsLatin}"), "Latin").when(first.rlike(r"\p{IsCyrillic}"), "Cyrillic").when(first.rlike(r"\p{IsGreek}"), "Greek").otherwise("Other")
     unit = lambda k, form, word: F.struct(k.alias("kind"), form.alias("form"), word.alias("word"))
     surname = unit(F.concat(F.lit("surname."), script), F.lower(F.element_at(words, -1)), F.element_at(words, -1))
     given = unit(F.concat(F.lit("given."), script, F.lit("."), gender), F.lower(words[0]), words[0])
-    form = F.when(kind.isin("card", "ssn"), _digits(e)).when(kind == "phone", F.concat(F.when(e.startswith("+"), "+").otherwise(""), _digits(e))).otherwise(F.lower(e))
+    form = F.when(kind.isin("card", "ssn"), _digits(e)).when(kind == "phone", F.concat(F.when(e.startswith("+"), "+").otherwise(""), _digits(e))).when(kind == "iban", F.lower(F.replace(e, F.lit(" "), F.lit("")))).otherwise(F.lower(e))
     return F.when(kind == "name", F.when(F.size(words) > 1, F.array(given, surname)).otherwise(F.array(surname))).otherwise(F.array(unit(kind, form, F.lit(None).cast("string"))))
 
 
@@ -120,7 +128,7 @@ def _alike(text: Column, stream: Column, hexadecimal: Column, base: Column, base
 
     def one(c: Column, i: Column) -> Column:
         b = F.when(i < base_at, _byte(stream, i)).otherwise(_byte(base, i - base_at))
-        out = F.when(hexadecimal, _pick("0123456789abcdef", b)).when(c.between("0", "9"), _pick("0123456789", b)).when(c.between("a", "z"), _pick(LATIN, b)).when(c <= "\x7f", c)
+        out = F.when(hexadecimal & (c.between("0", "9") | c.between("a", "f")), _pick("0123456789abcdef", b)).when(c.between("0", "9"), _pick("0123456789", b)).when(c.between("a", "z"), _pick(LATIN, b)).when(c <= "\x7f", c)
         for low, high, first, last in SCRIPTS:
             out = out.when(c.between(low, high), _pick(_pool(first, last), b))
         return out.otherwise(_pick(LATIN, b))
@@ -133,13 +141,40 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.reverse(F.split(digits, "")), lambda c, i: (c.cast("int") * (1 + i % 2)) % 10 + F.when((i % 2 == 1) & (c.cast("int") >= 5), 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
 
 
+def _mod97(text: Column) -> Column:
+    """The remainder that an account number's check digits depend on, letters counting from 10."""
+    value = lambda a, c: F.when(c.between("0", "9"), a * 10 + F.ascii(c) - 48).otherwise(a * 100 + F.ascii(c) - 87)
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: value(a, c) % 97)
+
+
+def _iban(form: Column, alike: Column, b: Column) -> Column:
+    """The country and check digits that hold exactly if those of the original do."""
+    country, body = F.substring(form, 1, 2), F.substring(alike, F.lit(5), F.length(form))
+    right = 98 - _mod97(F.concat(body, country, F.lit("00")))
+    holds = _mod97(F.concat(F.substring(form, F.lit(5), F.length(form)), F.substring(form, 1, 4))) == 1
+    check = F.when(holds, right).otherwise((right - 1 + b % 90) % 97 + 2)
+    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), body)
+
+
+def _name(kind: Column, attempt: Column, stream: Column) -> Column:
+    """A name of the script and role in `kind`, longer with each attempt."""
+    parts = F.split(kind, r"\.")
+    script, role = parts[1], F.coalesce(F.get(parts, F.lit(2)), F.lit("surname"))
+    known = lambda values: F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])[script]
+    consonants, vowels = (known({k: F.lit(v[i]) for k, v in SOUNDS.items()}) for i in (0, 1))
+    ends = F.create_map(*[x for k, v in ENDINGS.items() for r, w in v.items() for x in (F.lit(f"{k}.{r}"), F.lit(" ".join(w)))])[F.concat(script, F.lit("."), role)]
+    last = F.when(attempt == 0, 1).when(attempt == 1, 2).otherwise(4)
+    syllable = lambda i: F.concat(consonants.substr(_byte(stream, 2 * i) % 16 + 1, F.lit(1)), vowels.substr(_byte(stream, 2 * i + 1) % 5 + 1, F.lit(1)))
+    return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), last), syllable), ""), F.split(ends, " ")[_byte(stream, F.lit(20)) % 6])
+
+
 def _tried(todo: DataFrame, key: str) -> DataFrame:
     """todo (type, kind, form, attempt) with the surrogate of that attempt. The attempt is a column, so that all rounds run the same compiled code."""
     kind, form, attempt = F.col("kind"), F.col("form"), F.col("attempt")
     rows = todo.withColumns({"stream": _stream(key, kind, form, attempt.cast("string")), "domain": F.substring_index(form, "@", -1)})
     rows = rows.withColumns({"base": _stream(key, F.lit("domain"), F.col("domain")), "top": F.element_at(F.split("domain", r"\."), -1), "local_size": F.when(kind == "email", F.length(form) - F.length("domain")).otherwise(1 << 30)})  # with the @
     body = F.when(kind == "email", F.substring(form, F.lit(1), F.length(form) - F.length("top") - 1)).otherwise(form)
-    rows = rows.withColumn("alike", _alike(body, F.col("stream"), F.coalesce((kind == "secret") & form.rlike("^[0-9a-f]+$"), F.lit(False)), F.col("base"), F.col("local_size")))
+    rows = rows.withColumn("alike", _alike(body, F.col("stream"), F.coalesce((kind == "ip6") | (kind == "secret") & form.rlike("^[0-9a-f]+$"), F.lit(False)), F.col("base"), F.col("local_size")))
     return rows.select("type", "kind", "form", _surrogate().alias("surrogate"))
 
 
@@ -158,15 +193,8 @@ def _surrogate() -> Column:
     check = (10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10
     card = F.concat(body, F.when(_luhn(form) % 10 == 0, check).otherwise((check + 1 + _byte(stream, F.lit(100)) % 9) % 10).cast("string"))
     out = F.when(kind == "email", email).when(kind == "secret", alike).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "card", card).when(kind.isin("ssn", "surname.Other") | kind.startswith("given.Other"), alike)
-    for script, syllables in SYLLABLES.items():
-        part = lambda i, s=syllables: F.array(*map(F.lit, s))[_byte(stream, F.lit(i)) % len(s)]
-        out = out.when(kind == f"surname.{script}", F.concat(part(0), part(1), F.when(attempt > 0, part(2)).otherwise(""), F.when(attempt > 1, part(3)).otherwise(""), F.when(attempt > 2, part(4)).otherwise("")))
-        for gender, names in GIVEN[script].items():
-            name = F.lower(F.array(*map(F.lit, names))[_byte(stream, F.lit(0)) % len(names)])
-            # When all names of a list are in use, a second one is joined to them.
-            more = F.lower(F.array(*map(F.lit, names))[_byte(stream, F.lit(1)) % len(names)])
-            out = out.when(kind == f"given.{script}.{gender}", F.when(attempt > 1, F.concat(name, F.lit("-"), more, F.when(attempt > 3, F.concat(F.lit("-"), F.array(*map(F.lit, syllables))[_byte(stream, F.lit(2)) % len(syllables)])).otherwise(""))).otherwise(name))
-    longer = F.when((attempt < ATTEMPTS) | is_email, "").when(kind.isin("phone", "card", "ssn", "ip"), F.translate(F.substring(stream, 129, 12), "abcdef", "012345")).otherwise(name_of)
+    out = out.when(kind == "ip6", alike).when(kind == "iban", _iban(form, alike, _byte(stream, F.lit(100)))).otherwise(_name(kind, attempt, stream))
+    longer = F.when((attempt < ATTEMPTS) | is_email, "").when(kind.isin("phone", "card", "ssn", "ip", "iban"), F.translate(F.substring(stream, 129, 12), "abcdef", "012345")).when(kind == "ip6", F.concat(F.lit(":"), F.substring(stream, 129, 4))).otherwise(name_of)
     return F.concat(out, longer)
 
 
@@ -198,16 +226,18 @@ def assign(units: DataFrame, key: str = KEY) -> DataFrame:
 def _poured(e: Column, kind: Column, parts: Column) -> Column:
     """An entity's surrogate in the format in which the entity is written. parts: its units' surrogates."""
     one = parts[0]
-    start = F.struct(F.lit("").alias("out"), F.regexp_replace(one, r"^\+", "").alias("rest"))
+    start = F.struct(F.lit("").alias("out"), F.upper(F.regexp_replace(one, r"^\+", "")).alias("rest"))
+    # Letters of an account number are replaced like its digits; the other forms have none.
+    written = lambda c: c.between("0", "9") | (c.between("A", "Z") & (kind == "iban"))
     by_digit = F.aggregate(
         F.split(e, ""), start,
-        lambda s, c: F.when(c.between("0", "9"), F.struct(F.concat(s["out"], F.substring(s["rest"], 1, 1)).alias("out"), F.substring(s["rest"], 2, 100).alias("rest"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["rest"].alias("rest"))),
+        lambda s, c: F.when(written(c), F.struct(F.concat(s["out"], F.substring(s["rest"], 1, 1)).alias("out"), F.substring(s["rest"], 2, 100).alias("rest"))).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["rest"].alias("rest"))),
         lambda s: F.concat(s["out"], s["rest"]),
     )
     cased = F.array_join(F.transform(F.split(one, ""), lambda c, i: F.when(F.substring(e, i + 1, F.lit(1)) != F.lower(F.substring(e, i + 1, F.lit(1))), F.upper(c)).otherwise(c)), "")
     title = F.regexp_extract(e, rf"^{_TITLE} +", 0)
     names = F.array_join(F.transform(parts, lambda p: F.initcap(p)), " ")
-    return F.when(kind == "name", F.concat(title, F.when(F.upper(e) == e, F.upper(names)).otherwise(names))).when(kind.isin("phone", "card", "ssn"), by_digit).when(kind.isin("email", "secret") & (F.length(one) == F.length(e)), cased).otherwise(one)
+    return F.when(kind == "name", F.concat(title, F.when(F.upper(e) == e, F.upper(names)).otherwise(names))).when(kind.isin("phone", "card", "ssn", "iban"), by_digit).when(kind.isin("email", "secret") & (F.length(one) == F.length(e)), cased).otherwise(one)
 
 
 def _marked(text: Column, pattern: Column, mark: Column) -> Column:
