@@ -27,6 +27,12 @@ def create_table(df: DataFrame, name: str, key: str, path: str, bands: int = BAN
     df.sparkSession.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('bands' = '{bands}')")
 
 
+def read_table(spark: SparkSession, name: str) -> DataFrame:
+    """The table as it is now, also where another session has changed it."""
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
+
+
 def _bands(spark: SparkSession, name: str) -> int:
     return int(spark.sql(f"SHOW TBLPROPERTIES {name} ('bands')").first().value)
 

@@ -55,6 +55,8 @@ def write_pages(changes: DataFrame, tables: dict[str, str], refresh_id: str, rel
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = staged(batch)
+        if batch.isEmpty():
+            return
         own = batch.drop(*relations, *([statistics] if statistics else []))
         for column, (owner, target) in relations.items():
             St.replace_owned(spark, tables[column], batch.select(F.col("source_id").alias(owner)), relation_rows(batch, owner, column, target), owner)
