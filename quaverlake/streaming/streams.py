@@ -38,7 +38,8 @@ class LastRow(StatefulProcessor):
 
 def stream_pages(pages: DataFrame, key: str, order: str, retention: str | None = None) -> DataFrame:
     """The rows of typed pages, with their arrays of links, that change what was known of their key: the last row by the number `order` wins, and a replay of pages gives none. Rows
-    without a key are left out. State is one row a key, which with a retention is given up that long after its last change. Needs the RocksDB state store."""
+    without a key are left out. State is one row a key, which with a retention is given up that long after its last change; that needs a trigger by time, as
+    Spark then runs batches without data. Needs the RocksDB state store."""
     schema = pages.drop(order).schema
     body = F.to_json(F.struct(*[f.name for f in schema]), {"ignoreNullFields": "false"})
     rows = pages.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("name"), F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 62))).alias("place"), body.alias("body"))
