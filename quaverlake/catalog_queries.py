@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,9 +20,10 @@ from .operators import reconcile as C
 from .operators import retrieve as R
 from .operators import score as Sc
 from .operators import select as A
+from .operators import stored as St
 from .operators import titles as Ti
 from .plans import search as P
-from .plans.stage import staged
+from .plans.stage import shared_root, staged
 from .plans.views import Views, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +73,31 @@ def delete_unseen(v):
     return C.delete_unseen({"tracks": tracks}, {"links": v.track_artists}, "r2")["links"].select("track_id", "artist_id")
 
 
+def _stored(v, df, key):
+    """A stored table of a folder of its own."""
+    name = f"stored_{uuid.uuid4().hex}"
+    St.create_table(df, name, key, f"{shared_root(v.spark)}/{name}")
+    return name
+
+
+@query(f"SELECT * FROM {_UPSERTED}")
+def stored_upsert(v):
+    """The same refresh on a stored table, in place."""
+    stored, batch = _seen(v)
+    name = _stored(v, stored, "source_id")
+    St.upsert_table(v.spark, name, batch, "source_id", "r2")
+    return St.read_table(v.spark, name).drop("band")
+
+
+@query(f"SELECT track_id, artist_id FROM v_track_artists JOIN {_UPSERTED} u ON track_id = source_id WHERE seen_refresh_id = 'r2'")
+def stored_delete_unseen(v):
+    stored, batch = _seen(v)
+    tracks, links = _stored(v, stored, "source_id"), _stored(v, v.track_artists, "track_id")
+    St.upsert_table(v.spark, tracks, batch, "source_id", "r2")
+    St.delete_unseen_tables(v.spark, [tracks], {links: "track_id"}, tracks, "r2")
+    return St.read_table(v.spark, links).select("track_id", "artist_id")
+
+
 @query("""SELECT track_id, artist_id, pos FROM v_track_artists WHERE CAST(substring(track_id, 2) AS BIGINT) % 3 = 0
   UNION ALL SELECT source_id, title, CAST(0 AS BIGINT) FROM v_tracks WHERE CAST(substring(source_id, 2) AS BIGINT) % 3 <> 0
   UNION ALL SELECT source_id, album_id, CAST(1 AS BIGINT) FROM v_tracks WHERE CAST(substring(source_id, 2) AS BIGINT) % 3 <> 0 AND album_id <> title""")

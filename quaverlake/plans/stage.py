@@ -5,16 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """`df` written below spark.checkpoint.dir and read back; where that is unset, as in tests, below a temporary folder."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; where that is unset, as in tests, a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read back."""
+    path = f"{shared_root(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
