@@ -7,8 +7,8 @@ nodes, ordered by the sum of squares of its distances to the planes that it is o
 by leaf the candidates are ranked by exact inner products in double precision, and the best of all leaves are merged.
 
 Equal vectors are one point with its k + 1 smallest ids, which is all that a result can hold of them; a vector that a third of all rows share
-is so a single candidate. Leaves are dealt into groups of at most `group` points, to which the queries that visit them are
-sent; a group gives the k + 1 best of each query, never pairs. `search` counts candidates as if the corpus had the sample's size, so the share of
+is so a single candidate. Leaves are dealt into groups of at most about `group` points, and the queries that visit a leaf into sets of at most about `group`; every group of
+points meets every set of queries in a task of its own, which gives the k + 1 best of each query, never pairs. `search` counts candidates as if the corpus had the sample's size, so the share of
 the corpus that is searched stays and recall does not fall as it grows; a larger `sample` makes smaller leaves.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids and vectors of another
@@ -116,8 +116,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _index(batches: Iterator[pa.RecordBatch], forest: Forest, groups: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(leaf, part, rep, v) for each point and tree. Without groups only the leaves, for counting."""
+def _dealt(rep: np.ndarray, into: np.ndarray) -> np.ndarray:
+    return (rep * np.int64(0x9E3779B1) >> 7) % into
+
+
+def _spread(into: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) for each number from 0 up to what `into` has for the row."""
+    row = np.repeat(np.arange(len(into)), into)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(into) - into, into)
+
+
+def _index(batches: Iterator[pa.RecordBatch], forest: Forest, groups: np.ndarray | None, sets: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """(leaf, part, set, rep, v) for each point, tree and set of queries. Without groups only the leaves, for counting."""
     for batch in batches:
         for i in range(0, len(batch), 2048):
             piece = batch.slice(i, 2048)
@@ -126,25 +136,27 @@ def _index(batches: Iterator[pa.RecordBatch], forest: Forest, groups: np.ndarray
                 yield pa.RecordBatch.from_arrays([pa.array(leaf)], ["leaf"])
                 continue
             row = np.tile(np.arange(len(piece)), len(forest.roots))
+            at, number = _spread(sets[leaf])
+            leaf, row = leaf[at], row[at]
             rep = piece.column("rep").to_numpy()[row]
-            part = (rep * np.int64(0x9E3779B1) >> 7) % groups[leaf]
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(part), pa.array(rep), piece.column("v").take(pa.array(row))], ["leaf", "part", "rep", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(_dealt(rep, groups[leaf])), pa.array(number), pa.array(rep), piece.column("v").take(pa.array(row))], ["leaf", "part", "set", "rep", "v"])
 
 
-def _visits(batches: Iterator[pa.RecordBatch], forest: Forest, counts: np.ndarray, groups: np.ndarray, search: float, probes: int) -> Iterator[pa.RecordBatch]:
+def _visits(batches: Iterator[pa.RecordBatch], forest: Forest, counts: np.ndarray, groups: np.ndarray, sets: np.ndarray | None, search: float, probes: int) -> Iterator[pa.RecordBatch]:
+    """(leaf, part, set, rep, v) for each query and group of points that it visits. Without sets only the leaves, for counting."""
     for batch in batches:
         for i in range(0, len(batch), 512):
             piece = batch.slice(i, 512)
             x = _matrix(piece.column("v"))
-            rows, leaves, parts = [], [], []
-            for row, q in enumerate(np.hstack([x, np.zeros((len(x), 1))])):
-                for leaf in forest.visit(q, counts, search, probes):
-                    n = int(groups[leaf])
-                    rows += [row] * n
-                    leaves += [leaf] * n
-                    parts += range(n)
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(parts, pa.int64()), piece.column("rep").take(take), piece.column("v").take(take)], ["leaf", "part", "rep", "v"])
+            found = [forest.visit(q, counts, search, probes) for q in np.hstack([x, np.zeros((len(x), 1))])]
+            leaf, row = np.array([n for f in found for n in f], np.int64), np.repeat(np.arange(len(found)), [len(f) for f in found])
+            if sets is None:
+                yield pa.RecordBatch.from_arrays([pa.array(leaf)], ["leaf"])
+                continue
+            at, part = _spread(groups[leaf])
+            leaf, row = leaf[at], row[at]
+            rep = piece.column("rep").to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(part), pa.array(_dealt(rep, sets[leaf])), pa.array(rep), piece.column("v").take(pa.array(row))], ["leaf", "part", "set", "rep", "v"])
 
 
 def _best(points: pa.Table, queries: pa.Table, k: int) -> pa.Table:
@@ -183,18 +195,25 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     forest = grow(np.array([r.v for r in chosen]), longest or 0.0, trees, leaf, seed)
     rows = points.select("rep", "v")
-    # At most trees * sample leaves.
-    counted = rows.mapInArrow(lambda it: _index(it, forest, None), "leaf long").groupBy("leaf").count().collect()
-    counts = np.zeros(forest.leaves, np.int64)
-    for r in counted:
-        counts[r.leaf] = r["count"]
+
+    def counted(leaves: DataFrame) -> np.ndarray:
+        """How often each leaf occurs; there are at most trees * sample leaves."""
+        out = np.zeros(forest.leaves, np.int64)
+        for r in leaves.groupBy("leaf").count().collect():
+            out[r.leaf] = r["count"]
+        return out
+
+    counts = counted(rows.mapInArrow(lambda it: _index(it, forest, None), "leaf long"))
     groups = np.maximum(1, -(-counts // group))
     scaled = search * max(1.0, (total or 0) / sample)
-    schema = "leaf long, part long, rep long, v array<double>"
-    index = rows.mapInArrow(lambda it: _index(it, forest, groups), schema)
+    schema = "leaf long, part long, set long, rep long, v array<double>"
     asked = cut(valid.where(is_query(F.col("id"))).join(points.select("v", "rep"), "v").select("id", "rep", "v"))
-    visits = asked.select("rep", "v").distinct().mapInArrow(lambda it: _visits(it, forest, counts, groups, scaled, probes), schema)
-    hits = index.groupBy("leaf", "part").cogroup(visits.groupBy("leaf", "part")).applyInArrow(lambda p, q: _best(p, q, k), "query long, rep long, score double")
+    queries = asked.select("rep", "v").distinct()
+    sets = np.maximum(1, -(-counted(queries.mapInArrow(lambda it: _visits(it, forest, counts, groups, None, scaled, probes), "leaf long")) // group))
+    index = rows.mapInArrow(lambda it: _index(it, forest, groups, sets), schema)
+    visits = queries.mapInArrow(lambda it: _visits(it, forest, counts, groups, sets, scaled, probes), schema)
+    by = ["leaf", "part", "set"]
+    hits = index.groupBy(*by).cogroup(visits.groupBy(*by)).applyInArrow(lambda p, q: _best(p, q, k), "query long, rep long, score double")
     hits = hits.groupBy("query", "rep").agg(F.max("score").alias("score"))
     best = hits.join(points.select("rep", "ids"), "rep").select("query", "score", F.col("ids"), F.col("ids")[0].alias("low"), "rep")
     first = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "low", "rep"))

@@ -70,7 +70,7 @@ _GROUP = "[0-9A-Fa-f]{1,4}"
 #: No letter or digit stands next to it.
 _BARE = r"[\p{L}\p{M}\p{N}]"
 PATTERNS = {
-    "name": rf"(?<!\p{{L}})(?:{_MIXED} {{1,3}}{_PART}(?: {_PART})?|{_CAPITALS} {{1,3}}{_CAPITAL}(?: {_CAPITAL})?)",
+    "name": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:{_MIXED} {{1,3}}{_PART}(?: {_PART})?|{_CAPITALS} {{1,3}}{_CAPITAL}(?: {_CAPITAL})?)",
     "email": rf"(?<!{_WORD}){_WORD}++@{_LABEL}(?:\.{_LABEL}){{1,126}}+",
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-fA-F]{32,}+|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|rk|gh[opsur]|github_pat|glpat|xox[abprs])[-_](?:[A-Za-z0-9]{1,15}[-_]){0,4}[A-Za-z0-9]{16,}+(?:[-_][A-Za-z0-9]++)*+)(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])(?=[A-Z]{2}(?:[A-Z ]*\d){8})[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
@@ -82,7 +82,7 @@ PATTERNS = {
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without these has no entity.
-HINT = rf"[0-9@]|{_TITLE} |AKIA|ASIA|(?:sk|pk|rk|gh[opsur]|pat|xox[abprs])[-_][A-Za-z0-9]|[0-9a-fA-F]{{32}}"
+HINT = rf"[0-9@]|(?<!\p{{L}})(?=\p{{Lu}})(?:{_TITLE} |AKIA|ASIA)|(?<!\p{{L}})(?:sk|pk|rk|gh[opsur]|github_pat|glpat|xox[abprs])[-_][A-Za-z0-9]|[a-fA-F]{{32}}"
 
 
 def _kind(e: Column) -> Column:
