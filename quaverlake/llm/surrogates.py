@@ -29,6 +29,8 @@ from .shared import cut, table, uncut
 
 KEY = "surrogates-1"
 STRICT, ATTEMPTS = 6, 12
+#: Attempts that are worked out at once.
+AHEAD = 3
 #: Groups that the copies of one text are dealt into.
 SALTS = 64
 
@@ -169,13 +171,13 @@ def _name(kind: Column, attempt: Column, stream: Column) -> Column:
 
 
 def _tried(todo: DataFrame, key: str) -> DataFrame:
-    """todo (type, kind, form, attempt) with the surrogate of that attempt. The attempt is a column, so that all rounds run the same compiled code."""
+    """(type, kind, form, attempt) with the surrogate of that attempt."""
     kind, form, attempt = F.col("kind"), F.col("form"), F.col("attempt")
     rows = todo.withColumns({"stream": _stream(key, kind, form, attempt.cast("string")), "domain": F.substring_index(form, "@", -1)})
     rows = rows.withColumns({"base": _stream(key, F.lit("domain"), F.col("domain")), "top": F.element_at(F.split("domain", r"\."), -1), "local_size": F.when(kind == "email", F.length(form) - F.length("domain")).otherwise(1 << 30)})  # with the @
     body = F.when(kind == "email", F.substring(form, F.lit(1), F.length(form) - F.length("top") - 1)).otherwise(form)
     rows = rows.withColumn("alike", _alike(body, F.col("stream"), F.coalesce((kind == "ip6") | (kind == "secret") & form.rlike("^[0-9a-f]+$"), F.lit(False)), F.col("base"), F.col("local_size")))
-    return rows.select("type", "kind", "form", _surrogate().alias("surrogate"))
+    return rows.select("type", "kind", "form", "attempt", _surrogate().alias("surrogate"))
 
 
 def _surrogate() -> Column:
@@ -202,10 +204,13 @@ def assign(units: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, form, surrogate) for distinct (kind, form), after the collision checks. All parts of names are of one type."""
     kind_of = F.when(F.col("kind").rlike("^(given|surname)"), "name").otherwise(F.col("kind"))
     originals = cut(units.select("kind", "form").distinct().withColumn("type", kind_of))
-    done, todo, attempt = None, originals.withColumn("attempt", F.lit(0)), 0
-    todo = cut(todo)
+    done, todo, attempt = None, cut(originals), 0
     while True:
-        tried = _tried(todo, key).where(~F.contains("surrogate", "form"))
+        if attempt % AHEAD == 0:
+            # Some attempts at once: what the rounds after this read is a table.
+            ahead = F.explode(F.sequence(F.lit(attempt), F.lit(attempt + AHEAD - 1)))
+            tries = cut(_tried(todo.withColumn("attempt", ahead), key).where(~F.contains("surrogate", "form")))
+        tried = tries.where(F.col("attempt") == attempt).join(todo.select("kind", "form"), ["kind", "form"], "left_semi")
         # Of those that chose the same surrogate the first form keeps it, unless an earlier round gave it away.
         first = tried.groupBy("type", "surrogate").agg(F.min(F.struct("form", "kind")).alias("winner"))
         if attempt < STRICT:
@@ -215,12 +220,15 @@ def assign(units: DataFrame, key: str = KEY) -> DataFrame:
         won = first.select("type", "winner.kind", "winner.form", "surrogate")
         before = [x for x in (done, todo) if x is not None]
         done = cut(won if done is None else done.unionByName(won))
-        todo = cut(originals.join(done, ["kind", "form"], "left_anti").withColumn("attempt", F.lit(attempt + 1)))
+        todo = cut(originals.join(done, ["kind", "form"], "left_anti"))
         uncut(*before)
-        if todo.isEmpty():
+        attempt += 1
+        over = todo.isEmpty()
+        if over or attempt % AHEAD == 0:
+            uncut(tries)
+        if over:
             uncut(todo, originals)
             return done.select("kind", "form", "surrogate")
-        attempt += 1
 
 
 def _poured(e: Column, kind: Column, parts: Column) -> Column:
