@@ -46,7 +46,7 @@ FEW = 24
 #: Marks the last byte of a word.
 END = 0x100
 
-#: Letters that the pattern's engine knows and the library, with the tables of Unicode 16, takes for symbols.
+#: Letters, and in the last line numbers, that the pattern's engine knows and the library, with the tables of Unicode 16, takes for symbols.
 LATER = regex.compile(
     r"[\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u1c89\u208f\u209d-\u209f\ua7cb-\ua7cc\ua7ce-\ua7cf\ua7d2\ua7d4\ua7da\ua7dc-\ua7dd"
     r"\ua7e2\ua7f1\uab6c-\uab6d\U000107bb-\U000107bf\U00010940-\U00010959\U00010d50-\U00010d65\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a"
@@ -54,7 +54,8 @@ LATER = regex.compile(
     r"\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6"
     r"\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2"
     r"\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead"
-    r"\U000323b0-\U00033479\U0003d000-\U0003fc3f]"
+    r"\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+    r"\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ff4-\U00016ff6]"
 )
 #: Capitals of Unicode 16 and 17, which the library lower-cases and this Python may not.
 LATER_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}

@@ -111,3 +111,22 @@ def test_query_on_table(spark, library):
         want = len(e.ids), hashlib.sha256(array("I", e.ids).tobytes()).hexdigest(), hashlib.sha256(library.decode(e.ids, skip_special_tokens=False).encode()).hexdigest()
         assert got[r.doc_id] == want
     assert len(got) == len(rows)
+
+
+def test_every_character_is_a_symbol_where_the_library_says_so():
+    """Next to a symbol, over all of Unicode; spaces and capitals are others by then."""
+    import public_tokenizers
+    import regex
+    from tokenizers import Tokenizer
+
+    from quaverlake.llm.bpe_automaton import LATER
+
+    cut = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).pre_tokenizer.pre_tokenize_str
+    symbol = regex.compile(r"[^\s\p{L}\p{N}]")
+    wrong = []
+    for code in range(0x80, 0x110000):
+        c = chr(code)
+        if not 0xD800 <= code < 0xE000 and not c.isspace() and not regex.match(r"\p{Lu}", c):
+            if (len(cut("@" + c)) == 1) != bool(symbol.match(c) or LATER.match(c)):
+                wrong.append(hex(code))
+    assert not wrong
