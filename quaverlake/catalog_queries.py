@@ -76,7 +76,7 @@ def delete_unseen(v):
 def _stored(v, df, key):
     """A stored table of a folder of its own."""
     name = f"stored_{uuid.uuid4().hex}"
-    St.create_table(df, name, key, f"{shared_root(v.spark)}/{name}")
+    St.create_table(df, name, key, f"{shared_root(v.spark)}/{name}", bands=4, buckets=8)
     return name
 
 
