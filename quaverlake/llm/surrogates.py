@@ -87,6 +87,15 @@ ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = rf"[0-9@]|(?<!\p{{L}})(?=\p{{Lu}})(?:{_TITLE} |AKIA|ASIA)|(?<!\p{{L}})(?:sk|pk|rk|gh[opsur]|github_pat|glpat|xox[abprs])[-_][A-Za-z0-9]|[a-fA-F]{{32}}"
 
 
+#: What a surrogate is made of.
+TRIED = ["kind", "form", "attempt", "stream", "alike", "top", "local_size"]
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), evaluated as it stands: for entities, which are few, wide expressions are not worth generated code, whose compilation takes memory of the driver."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _kind(e: Column) -> Column:
     out = F.lit("card")
     for kind in ("ssn", "ip", "phone", "ip6", "iban", "secret", "email", "name"):
@@ -177,15 +186,15 @@ def _tried(todo: DataFrame, key: str) -> DataFrame:
     rows = rows.withColumns({"base": _stream(key, F.lit("domain"), F.col("domain")), "top": F.element_at(F.split("domain", r"\."), -1), "local_size": F.when(kind == "email", F.length(form) - F.length("domain")).otherwise(1 << 30)})  # with the @
     body = F.when(kind == "email", F.substring(form, F.lit(1), F.length(form) - F.length("top") - 1)).otherwise(form)
     rows = rows.withColumn("alike", _alike(body, F.col("stream"), F.coalesce((kind == "ip6") | (kind == "secret") & form.rlike("^[0-9a-f]+$"), F.lit(False)), F.col("base"), F.col("local_size")))
-    return rows.select("type", "kind", "form", "attempt", _surrogate().alias("surrogate"))
+    return rows.select("type", "kind", "form", "attempt", _let(F.struct(*TRIED), _surrogate).alias("surrogate"))
 
 
-def _surrogate() -> Column:
-    kind, form, attempt, stream, alike, top = (F.col(c) for c in ("kind", "form", "attempt", "stream", "alike", "top"))
+def _surrogate(row: Column) -> Column:
+    kind, form, attempt, stream, alike, top, local_size = (row[c] for c in TRIED)
     is_email = kind == "email"
     name_of = F.translate(F.substring(stream, 129, 12), "0123456789", "ghijklmnop")
     # A local part of marks alone has nothing to vary, so it gets letters after all attempts.
-    email = F.concat(F.when(attempt < ATTEMPTS, alike).otherwise(F.concat(name_of, F.substring(alike, F.col("local_size"), F.length(alike)))), F.lit("."), top)
+    email = F.concat(F.when(attempt < ATTEMPTS, alike).otherwise(F.concat(name_of, F.substring(alike, local_size, F.length(alike)))), F.lit("."), top)
     # The country code is one digit in North America and Russia, else two.
     code = F.when(form.rlike(r"^\+[17]"), 2).when(form.startswith("+"), 3).otherwise(0)
     phone = F.array_join(F.transform(F.split(form, ""), lambda c, i: F.when(i < code, c).when(i == code, _pick("23456789", _byte(stream, i))).otherwise(_pick("0123456789", _byte(stream, i)))), "")
@@ -283,12 +292,12 @@ def replace_entities(docs: DataFrame, text_col: str = "text", key: str = KEY) ->
     staged = cut(rows.withColumns({"key": F.when(F.col("pieces").isNotNull(), F.sha2(text, 256)), "salt": F.monotonically_increasing_id() % SALTS}))
     with_some = staged.where("pieces is not null")
     found = with_some.select("key", F.filter("pieces", lambda p, i: i % 2 == 1).alias("all")).dropDuplicates(["key"])
-    each = found.select("key", F.posexplode("all").alias("at", "entity")).withColumn("kind", _kind(F.col("entity")))
-    each = cut(each.withColumn("units", _units(F.col("entity"), F.col("kind"))))
+    each = found.select("key", F.posexplode("all").alias("at", "entity")).withColumn("kind", _let(F.col("entity"), _kind))
+    each = cut(each.withColumn("units", _let(F.struct("entity", "kind"), lambda x: _units(x["entity"], x["kind"]))))
     units = each.select("key", "at", "entity", F.col("kind").alias("whole"), F.posexplode("units").alias("n", "u")).select("key", "at", "entity", "whole", "n", "u.*")
     named = units.join(assign(units, key), ["kind", "form"])
     entities = named.groupBy("key", "at", "entity", "whole").agg(F.array_sort(F.collect_list(F.struct("n", "surrogate", "word"))).alias("parts"))
-    new = entities.select("key", "at", _poured(F.col("entity"), F.col("whole"), F.transform("parts", lambda x: x["surrogate"])).alias("new"), F.filter("parts", lambda x: x["word"].isNotNull()).alias("names"))
+    new = entities.select("key", "at", _let(F.struct("entity", "whole", F.transform("parts", lambda x: x["surrogate"]).alias("parts")), lambda x: _poured(x["entity"], x["whole"], x["parts"])).alias("new"), F.filter("parts", lambda x: x["word"].isNotNull()).alias("names"))
     new = new.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "new", "names"))).alias("all"))
     names = F.flatten(F.transform("all", lambda x: x["names"]))
     first_of = lambda x, i: F.array_position(F.transform("names", lambda y: F.lower(y["word"])), F.lower(x["word"])) == i + 1
