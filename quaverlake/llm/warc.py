@@ -1,8 +1,8 @@
 """WARC archives: a writer with revisit records and a salvage reader.
 
 Writing. Spark's text writer ends every value with a blank line (CR LF CR LF), which is also how a WARC record ends, so each part file is a
-WARC file of whole records and a task that is repeated replaces its file. Files hold about `archive_bytes` before compression; a compressed file is
-one gzip member, so damage to it costs the records from there to its end.
+WARC file of whole records and a task that is repeated replaces its files. A file holds at most `archive_bytes` before compression, or one
+record that is longer; a compressed file is one gzip member, so damage to it costs the records from there to its end.
 Of pages with equal payloads of at least `min_bytes` the one with the smallest id is a response, the others are revisits without
 payload that name it.
 
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,6 +30,8 @@ from pyspark.sql import functions as F
 from .shared import cut, shared_dir, table
 
 ARCHIVE_BYTES = 8 << 20
+#: Records of up to 512 bytes are the first class of sizes.
+LEAST_BITS = 9
 END = "\r\n\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
@@ -67,10 +68,17 @@ def records(pages: DataFrame, id_col: str, payload_col: str, uri_col: str | None
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", uri_col: str | None = "url", min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, compression: str = "gzip") -> None:
-    """`compression` is "gzip" (each file one member) or "none"."""
-    total, rows = pages.agg(F.sum(F.coalesce(F.octet_length(F.col(payload_col).cast("string")), F.lit(0)) + 400), F.count("*")).first()
-    each = max(1, math.floor(archive_bytes * rows / total)) if total else 1
-    records(pages, id_col, payload_col, uri_col, min_bytes).write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", each).text(path)
+    """`compression` is "gzip" (each file one member) or "none".
+
+    Records are put into classes by size, each up to four times the one below. Inside a task the classes stand together, the largest first, and a file takes as many records of one
+    class as fit into `archive_bytes` at the class's upper size. So no file of several records is larger than that, and no rows are shuffled for it."""
+    size = F.octet_length("value").cast("long") + len(END)
+    grade = F.greatest(F.lit(0), F.ceil((F.length(F.bin(size - 1)) - LEAST_BITS) / 2)).cast("int")
+    each = F.greatest(F.lit(1), F.floor(F.lit(archive_bytes) / F.pow(F.lit(2.0), LEAST_BITS + 2 * F.col("grade")))).cast("long")
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # the row's number in its task
+    rows = records(pages, id_col, payload_col, uri_col, min_bytes).withColumn("grade", grade).sortWithinPartitions(F.desc("grade"))
+    rows = rows.withColumn("shard", F.floor(place / each))
+    rows.write.partitionBy("grade", "shard").option("lineSep", END).option("compression", compression).text(path)
 
 
 _VERSION = re.compile(rb"WARC/(?:0\.1[78]|1\.[01])\r\n")

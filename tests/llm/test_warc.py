@@ -3,6 +3,8 @@ import gzip
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from quaverlake.llm.shared import table
 from quaverlake.llm.warc import op10_warc_salvage, read_archive, read_warc, records, write_warc
 
@@ -113,3 +115,18 @@ def test_header_of_any_length():
     long = record(1, b"body").replace(b"Content-Length", f"WARC-Target-URI: {uri}\r\nContent-Length".encode())
     got = list(read_archive(long + record(2, b"z")))
     assert [(x[0], x[4]) for x in got] == [("record", b"body"), ("record", b"z")] and got[0][3]["warc-target-uri"] == uri
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    """Two thousand small pages, some of half an archive, some longer than one, side by side in the same tasks."""
+    limit = 1 << 20
+    size = F.when(F.col("id") % 100 == 7, 600_000).when(F.col("id") % 500 == 3, 3 << 20).when(F.col("id") % 10 == 1, 20_000).otherwise(F.col("id") % 700)
+    df = spark.range(2000).repartition(3).select(F.col("id").alias("page_id"), F.rpad(F.col("id").cast("string"), size.cast("int"), "x").alias("html"))
+    write_warc(df, f"file://{tmp_path}/a", uri_col=None, archive_bytes=limit, compression="none")
+    files = spark.read.format("binaryFile").load(f"file://{tmp_path}/a").select("path", "length").collect()
+    back = read_warc(spark, f"file://{tmp_path}/a").groupBy("path").agg(F.count("*").alias("n"), F.sum(F.col("gap").isNotNull().cast("int")).alias("gaps")).collect()
+    held = {r.path: r.n for r in back}
+    assert sum(held.values()) == 2000 and not any(r.gaps for r in back)
+    assert all(f.length <= limit or held[f.path] == 1 for f in files) and sum(held[f.path] == 1 and f.length > limit for f in files) == 4
+    # Files are filled to a quarter at least, but for the first and last of a class in a task.
+    assert sum(f.length < limit / 4 for f in files if held[f.path] > 1) <= 2 * 3 * 8 and len(files) < 100
