@@ -2,8 +2,9 @@
 
 Calls and results are joined by (conversation, call id). A call may name calls that it comes after. The order is topological
 and as near to the turns as that allows: a call's key is the larger of (its turn, 0) and, over the calls before it, (their turn, their
-depth + 1). First the latest turn that a call waits for is passed on in rounds, then calls that wait for one of the same turn are peeled off in rounds, each once no such call before it is left; the round is the depth.
-Where all calls before stand in earlier turns, which is the rule, neither needs more than a look at the edges. What can't be peeled lies on a cycle or behind it, within the cycle's latest turn.
+depth + 1). First the latest turn that a call waits for is found: each call takes one of the calls before it as its next step, and steps are doubled until no turn changes, so
+that chains and rings take rounds by the logarithm of their length; a look at all edges then shows whether another choice of steps knows a later turn. Then calls that wait for one of the same turn are peeled off in rounds, each once no such call before it is left; the round is the depth.
+Where all calls before stand in earlier turns, which is the rule, neither part needs more than a look at the edges. What can't be peeled lies on a cycle or behind it, within the cycle's latest turn.
 
 Positions take two steps, counts of turn ranges and row numbers inside a range, so a conversation that holds a third of all rows is not one task.
 Arguments are validated against JSON Schema (type, enum, const, required, properties, additionalProperties, items, minItems, maxItems, minimum, maximum,
@@ -131,6 +132,13 @@ def _write(batches: Iterator[pa.RecordBatch], tools: dict[str, dict]) -> Iterato
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(errors, pa.list_(pa.string())), pa.array(messages, pa.string())], [*rest, "errors", "message"])
 
 
+def _doubled(steps: DataFrame) -> DataFrame:
+    """Each call takes over what its next step knows, and steps twice as far: after k times it knows the 2^k calls along its steps."""
+    there = steps.select("conv", F.col("call_id").alias("next"), F.col("at").alias("low"), F.col("next").alias("after_next"))
+    met = steps.join(there, ["conv", "next"], "left")
+    return met.select("conv", "call_id", "turn", F.greatest("at", "low").alias("at"), F.col("after_next").alias("next"), (F.col("raised") | F.coalesce(F.col("low") > F.col("at"), F.lit(False))).alias("raised"))
+
+
 def order_keys(calls: DataFrame) -> DataFrame:
     """(conv, call_id, at, depth, cycle) of calls (conv, call_id, turn, after), ids being unique in a conversation."""
     nodes = cut(calls.select("conv", "call_id", "turn", F.col("turn").alias("at")))
@@ -138,12 +146,17 @@ def order_keys(calls: DataFrame) -> DataFrame:
     edges = cut(edges.join(nodes.select("conv", F.col("call_id").alias("before")), ["conv", "before"]))
     before = lambda *columns: nodes.select("conv", F.col("call_id").alias("before"), *columns)
     while True:
-        low = edges.join(before("at"), ["conv", "before"]).groupBy("conv", "call_id").agg(F.max("at").alias("low"))
-        raised = cut(low.join(nodes, ["conv", "call_id"]).where("low > at").select("conv", "call_id", "low"))
-        if raised.isEmpty():
+        # Of the calls before a call, the one that is held back longest is its next step.
+        longest = edges.join(before("at"), ["conv", "before"]).groupBy("conv", "call_id").agg(F.max(F.struct(F.col("at").alias("low"), F.col("before").alias("next"))).alias("step"))
+        steps = cut(nodes.join(longest, ["conv", "call_id"], "left").select("conv", "call_id", "turn", F.greatest("at", "step.low").alias("at"), "step.next", F.coalesce(F.col("step.low") > F.col("at"), F.lit(False)).alias("raised")))
+        uncut(nodes)
+        if steps.where("raised").isEmpty():
+            nodes = steps
             break
-        old, nodes = nodes, cut(nodes.join(raised, ["conv", "call_id"], "left").select("conv", "call_id", "turn", F.coalesce("low", "at").alias("at")))
-        uncut(old, raised)
+        while not steps.where("raised").isEmpty():
+            old, steps = steps, cut(_doubled(_doubled(steps.withColumn("raised", F.lit(False)))))
+            uncut(old)
+        nodes = steps
     # Edges whose two ends are held back to the same turn: only these make a call deeper.
     tight = cut(edges.join(before(F.col("at").alias("held")), ["conv", "before"]).join(nodes.select("conv", "call_id", "at"), ["conv", "call_id"]).where("held = at").select("conv", "call_id", "before"))
     peeled, depth, left = None, 0, tight.select("conv", "call_id").distinct().count()

@@ -1,7 +1,9 @@
 import json
+import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quaverlake.llm import tool_calls
@@ -75,6 +77,30 @@ def test_cycles_take_few_rounds(spark, monkeypatch):
     assert all((r.at, r.depth) == (int(r.call_id[1:]), 0) for r in got)
 
 
+def test_rings_take_few_tables(spark, monkeypatch):
+    """Rings whose calls wait for the one before and whose first waits for the last; a call behind a ring is held back with it."""
+    tables = []
+    real = tool_calls.cut
+    monkeypatch.setattr(tool_calls, "cut", lambda df: tables.append(1) or real(df))
+    for n in (2, 5, 16, 10_000):
+        tables.clear()
+        rows = [(1, f"c{i}", i, "compute", "{}", [f"c{(i - 1) % n}"]) for i in range(n)] + [(1, "behind", 0, "compute", "{}", ["c0", "early"]), (1, "early", 0, "compute", "{}", None), (2, "c0", 0, "compute", "{}", None)]
+        got = {(r.conv, r.call_id): r for r in order_keys(spark.createDataFrame(rows, CALLS).withColumnRenamed("conv_id", "conv")).collect()}
+        assert len(tables) < 20 and len(got) == n + 3
+        assert {k for k, r in got.items() if r.cycle} == {(1, "behind"), *((1, f"c{i}") for i in range(n))}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_orders(spark, seed):
+    """Several calls before each, in any turns, without cycles: the keys are those of the definition."""
+    rng = random.Random(seed)
+    n = 60
+    rank = rng.sample(range(n), n)
+    calls = [Row(conv_id=1, call_id=f"c{i}", turn=rng.randrange(-1, 30), name="compute", arguments="{}", after=[f"c{rank[j]}" for j in rng.sample(range(k), min(k, rng.randrange(4)))]) for k, i in enumerate(rank)]
+    got = order_keys(spark.createDataFrame(calls, CALLS).withColumnRenamed("conv_id", "conv")).collect()
+    assert {(1, r.call_id): (r.at, r.depth) for r in got} == {k: key for k, (key, _) in brute(calls, []).items()} and not any(r.cycle for r in got)
+
+
 def test_repeats_and_lone_surrogates(spark):
     calls = [(1, "a", 0, "search", r'{"query": "\ud800 is half of a pair", "\udfff": 1}', None)] * 3 + [(1, "a", 0, "search", "[]", None)] + [(1, "b", i % 3, "compute", "{}", None) for i in range(500)]
     results = [(1, "a", 1, "r")] * 2 + [(1, "b", 9, None), (1, "b", 9, "x")]
