@@ -102,3 +102,23 @@ def test_query_on_table(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, d, "documents").collect()]
     got = result(op4_circulant_minhash(spark, d))
     assert got == brute(rows) and any(not r[3] for r in got)
+
+
+def test_small_edge_lists_take_one_file_and_stars_one_step(spark, monkeypatch):
+    from pathlib import Path
+
+    from quaverlake.llm import shared
+
+    monkeypatch.setattr(shared, "cut", lambda df, plain=shared.cut: steps.append(1) or plain(df))
+    coalesced = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for star, most in ((True, 2), (False, 20)):
+            steps: list[int] = []
+            edges = spark.createDataFrame([(i, 0 if star else i - 1) for i in range(1, 300)], "a long, b long")
+            out = components(edges)
+            files = [*Path(out._cut_at.removeprefix("file:")).rglob("*.parquet")]
+            assert len(files) == 1 and len(steps) <= most
+            assert sorted(tuple(r) for r in out.collect()) == [(i, 0) for i in range(1, 300)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
