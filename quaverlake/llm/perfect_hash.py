@@ -81,12 +81,12 @@ class Shards:
             known[r["lang"]][r["shard"]] = s
         return cls(known, at, size, Bits.of(b"".join(words)), pa.array(keys, pa.large_string()), np.concatenate([*slot, np.zeros(0, np.int64)]), np.array(first), rest)
 
-    def slots(self, lang: str, terms: pa.Array) -> np.ndarray:
-        """The slot of each term of a language, -1 where it is no key."""
+    def slots(self, lang: str, terms: pa.Array, hashes: np.ndarray | None = None) -> np.ndarray:
+        """The slot of each term of a language, -1 where it is no key. `hashes` are those of the terms, if they are known."""
         out = np.full(len(terms), -1, np.int64)
         if lang not in self.known:
             return out
-        known, hashes = self.known[lang], string_hashes(terms)
+        known, hashes = self.known[lang], string_hashes(terms) if hashes is None else hashes
         shard = known[_place(hashes, -2, len(known))]
         left = np.flatnonzero(shard >= 0)
         for level in range(LEVELS):

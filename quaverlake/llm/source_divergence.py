@@ -2,8 +2,8 @@
 
 First pass: exact document frequencies of all terms of each language; terms in at least `min_docs` of its documents are kept. Kept terms are dealt
 into shards, each of which gets a minimal perfect hash with its terms stored in slot order (see perfect_hash.py). Shards are broadcast, at most
-about `broadcast_bytes` at a time. Second pass: a task looks up its distinct terms, checks them against the stored ones and counts in an array of slots for each (lang,
-source) group that it meets. If the hashes need more than one broadcast, texts are read once for each.
+about `broadcast_bytes` at a time. Second pass: a task looks up its distinct terms, checks them against the stored ones and counts them for each (lang,
+source) group that it meets, as pairs of slot and count that are summed now and then. If the hashes need more than one broadcast, texts are read once for each.
 
 Shares: with V kept terms of a language and N occurrences of kept terms in a group, a term of `count` occurrences has p = 1 + floor(1e9 * (count + 2) / (N + 2 * V)). The
 distance of p and q is floor((p - q)**2 / (p + q)). Part `pair` sums it over all kept terms for every two sources of a language, part
@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from . import perfect_hash
 from .perfect_hash import Shards
 from .shared import cut, table, uncut
-from .words import slices, word_strings
+from .words import slices, string_hashes, word_strings
 
 MIN_DOCS, TOP = 10, 10
 SHARD_TERMS, BROADCAST_BYTES = 1024, 16 << 20
 #: Bytes of text that a task works on at once, some 50 bytes of working memory each.
 PIECE = 2 << 20
-#: Counters that a task holds at once, and sources of a tile.
+#: Counts that a task holds at once, and sources of a tile.
 CELLS, TILE = 1 << 22, 256
 #: Letters and all bytes of other characters.
 WORD = np.zeros(256, bool)
@@ -87,37 +87,50 @@ def _hashed(terms: pa.Table) -> pa.Table:
 
 
 class Counters:
-    """Slots of the (lang, source) groups that a task has met, and their rows when they are handed on."""
+    """Occurrences of slots in the (lang, source) groups that a task has met, as sorted keys and their counts, and their rows when they are handed on."""
 
     def __init__(self, shards: Shards, cells: int):
-        self.shards, self.cells, self.held = shards, cells, {}
+        self.shards, self.cells, self.groups, self.names = shards, cells, {}, []
+        self.slots = max(1, int(shards.first[-1]))
+        self.keys, self.counts, self.late, self.waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
         sizes = np.diff(shards.first)
         self.where = np.repeat(np.arange(len(sizes)), sizes)
-        own = {}
-        for lang, places in shards.known.items():
-            here = places[places >= 0]
-            # Shards of a language stand side by side.
-            own[lang] = int(shards.first[here.min()]), int(shards.first[here.max() + 1]), dict(zip(here.tolist(), np.flatnonzero(places >= 0).tolist(), strict=True))
-        self.own = own
-
-    def add(self, lang: str, source: str, slots: np.ndarray) -> None:
-        low, high, _ = self.own[lang]
-        if (lang, source) not in self.held:
-            self.held[lang, source] = np.zeros(high - low, np.int64)
-        self.held[lang, source] += np.bincount(slots - low, minlength=high - low)
+        self.number = np.zeros(len(sizes), np.int64)  # of each shard in its language
+        for places in shards.known.values():
+            self.number[places[places >= 0]] = np.flatnonzero(places >= 0)
+
+    def add(self, group: tuple[str, str], slots: np.ndarray, n: np.ndarray) -> None:
+        """Each slot at most once."""
+        if group not in self.groups:
+            self.groups[group] = len(self.names)
+            self.names.append(group)
+        self.late.append((self.groups[group] * self.slots + slots, n))
+        self.waiting += len(slots)
 
     def full(self) -> bool:
-        return sum(map(len, self.held.values())) > self.cells
+        """Whether there are more counts than cells, once those of a slot are summed."""
+        if self.waiting > max(len(self.keys), self.cells >> 4):
+            self.merge()
+        return len(self.keys) > self.cells
+
+    def merge(self) -> None:
+        keys, n = (np.concatenate([x, *more]) for x, more in zip((self.keys, self.counts), zip(*self.late, strict=True), strict=True))
+        self.late, self.waiting = [], 0
+        by = np.argsort(keys, kind="stable")  # runs that are in order are merged
+        keys, n = keys[by], n[by]
+        edges = np.flatnonzero(np.diff(keys, prepend=-1))
+        self.keys, self.counts = keys[edges], np.add.reduceat(n, edges)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        for (lang, source), counts in self.held.items():
-            low, _, names = self.own[lang]
-            slot = np.flatnonzero(counts)
-            place = self.where[slot + low]
-            shard = np.array([names[p] for p in np.unique(place).tolist()], np.int64)[np.unique(place, return_inverse=True)[1]] if len(slot) else slot
-            text = lambda t, n=len(slot): pa.array([t], pa.string()).take(pa.array(np.zeros(n, np.int64)))
-            yield pa.RecordBatch.from_arrays([text(lang), pa.array(shard), text(source), pa.array((slot + low - self.shards.first[place]).astype(np.int32)), pa.array(counts[slot])], ["lang", "shard", "source", "slot", "n"])
-        self.held = {}
+        if self.late:
+            self.merge()
+        edges = np.searchsorted(self.keys, np.arange(len(self.names) + 1) * self.slots)
+        for g, ((lang, source), i, j) in enumerate(zip(self.names, edges, edges[1:], strict=False)):
+            slot = self.keys[i:j] - g * self.slots
+            place = self.where[slot]
+            text = lambda t, n=j - i: pa.array([t], pa.string()).take(pa.array(np.zeros(n, np.int64)))
+            yield pa.RecordBatch.from_arrays([text(lang), pa.array(self.number[place]), text(source), pa.array((slot - self.shards.first[place]).astype(np.int32)), pa.array(self.counts[i:j])], ["lang", "shard", "source", "slot", "n"])
+        self.groups, self.names, self.keys, self.counts = {}, [], self.keys[:0], self.counts[:0]
 
 
 def _recount(batches: Iterator[pa.RecordBatch], shards: Shards, cells: int) -> Iterator[pa.RecordBatch]:
@@ -126,20 +139,24 @@ def _recount(batches: Iterator[pa.RecordBatch], shards: Shards, cells: int) -> I
     for rows, row, code, terms in _texts(batches):
         lang, langs = _coded(rows, "lang")
         source, sources = _coded(rows, "source")
-        group = lang.astype(np.int64) * len(sources) + source
-        slots = [shards.slots(name, terms) for name in langs.to_pylist()]
-        # Words by their group, each group's side by side.
-        of = group[row]
-        by = np.argsort(of, kind="stable")
-        edges = np.flatnonzero(np.diff(of[by], prepend=-1)).tolist() + [len(by)]
-        for i, j in zip(edges, edges[1:], strict=False):
-            g = int(of[by[i]])
-            mine = slots[g // len(sources)][code[by[i:j]]]
-            mine = mine[mine >= 0]
-            if len(mine):
-                counters.add(langs[g // len(sources)].as_py(), sources[g % len(sources)].as_py(), mine)
-                if counters.full():
-                    yield from counters.rows()
+        many, wide, hashes = max(1, len(terms)), len(sources), string_hashes(terms)
+        # Distinct words of each group, each group's side by side; a language's words are looked up once.
+        pair, n = np.unique((lang.astype(np.int64) * wide + source)[row] * many + code, return_counts=True)
+        of, word = pair // many, pair % many
+        edges = np.searchsorted(of, np.arange(len(langs) * wide + 1))
+        for at, name in enumerate(langs.to_pylist()):
+            begin, end = edges[at * wide], edges[(at + 1) * wide]
+            asked = np.zeros(many, bool)
+            asked[word[begin:end]] = True
+            own = np.flatnonzero(asked)
+            slots = np.full(many, -1, np.int64)
+            slots[own] = shards.slots(name, terms.take(pa.array(own)), hashes[own])
+            for g in range(at * wide, (at + 1) * wide):
+                slot, count = slots[word[edges[g] : edges[g + 1]]], n[edges[g] : edges[g + 1]]
+                if (slot >= 0).any():
+                    counters.add((name, sources[g % wide].as_py()), slot[slot >= 0], count[slot >= 0])
+        if counters.full():
+            yield from counters.rows()
     yield from counters.rows()
 
 

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -8,7 +9,7 @@ import pyarrow as pa
 from quaverlake.llm import perfect_hash
 from quaverlake.llm.perfect_hash import Shards, build
 from quaverlake.llm.shared import table
-from quaverlake.llm.source_divergence import OP13_SQL, divergence, op13_divergence, shares
+from quaverlake.llm.source_divergence import OP13_SQL, _recount, divergence, op13_divergence, shares
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -109,3 +110,26 @@ def test_edges_in_small_shards_and_tiles(spark):
 def test_very_long_text(spark):
     docs = [("en", "a", "ab " * 2_000_000 + "é" * 1_000_000), ("en", "b", "ab cd")]
     assert rows(divergence(spark.createDataFrame(docs, "lang string, source string, text string"), min_docs=1)) == brute(docs, 1)
+
+
+def test_a_task_hands_on_a_count_once_though_groups_times_slots_exceed_its_cells():
+    rng, words = random.Random(5), [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    rows = []
+    for lang in ("de", "en"):
+        keys = pa.array(words[:80] if lang == "de" else words[20:], pa.large_string())
+        shard = perfect_hash.shard_of(keys, np.full(len(keys), 3))
+        for s in range(3):
+            sizes, bits, own = perfect_hash.build(keys.filter(pa.array(shard == s)))
+            rows.append({"lang": lang, "shard": s, "shards": 3, "sizes": sizes, "bits": bits, "keys": own.to_pylist()})
+    terms = {(r["lang"], r["shard"], i): k for r in rows for i, k in enumerate(r["keys"])}
+    kept = {(lang, k) for (lang, _, _), k in terms.items()}
+    docs = [(rng.choice(["de", "en", "fr"]), f"s{rng.randrange(40)}", " ".join(rng.choices(words, k=3))) for _ in range(600)]
+    want = Counter((lang, source, w) for lang, source, text in docs for w in text.split() if (lang, w) in kept)
+    batches = pa.table(dict(zip(("lang", "source", "text"), map(list, zip(*docs, strict=True)), strict=True))).to_batches(100)
+    for cells, once in ((2000, True), (50, False)):
+        found = [(terms[b["lang"][i].as_py(), b["shard"][i].as_py(), b["slot"][i].as_py()], b["lang"][i].as_py(), b["source"][i].as_py(), b["n"][i].as_py()) for b in _recount(iter(batches), perfect_hash.Shards.of(rows), cells) for i in range(len(b))]
+        got = Counter()
+        for w, lang, source, n in found:
+            got[lang, source, w] += n
+        assert got == want
+        assert (len(found) == len(want)) == once
