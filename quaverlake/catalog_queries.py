@@ -392,8 +392,7 @@ def search_all_lanes(v):
 
 @query(f"WITH {_CANDIDATES}, firsts AS (SELECT query_id, key, min(CASE lane WHEN 'normalised' THEN 1 WHEN 'compact' THEN 2 ELSE 3 END) AS p FROM candidates GROUP BY ALL) SELECT m.query_id, m.lane, m.matched, coalesce(r.retrieved, 0) AS retrieved, coalesce(n.fresh, 0) AS fresh FROM (SELECT query_id, lane, count(*) AS matched FROM matches GROUP BY ALL) m LEFT JOIN (SELECT query_id, lane, count(*) AS retrieved FROM candidates GROUP BY ALL) r USING (query_id, lane) LEFT JOIN (SELECT query_id, CASE p WHEN 1 THEN 'normalised' WHEN 2 THEN 'compact' ELSE 'skeleton' END AS lane, count(*) AS fresh FROM firsts GROUP BY ALL) n USING (query_id, lane)")
 def lane_report(v):
-    matched = R.lookup_matches(R.span_terms(v.queries, phonetic=False, providers=[]), I.lookup_terms(_docs(v), phonetic=False, providers=[]))
-    return R.lane_report(matched, R.best(matched, F.desc("score"), group=["query_id", "lane"]))
+    return R.lookup_report(v.queries, I.lookup_terms(_docs(v), phonetic=False, providers=[]), phonetic=False, providers=[])
 
 
 _MORE_LANES = _CANDIDATES.replace("key FROM field_forms) WHERE", "key FROM field_forms UNION ALL SELECT 'backwards', reverse(c), key FROM field_forms) WHERE").replace("s FROM span_forms) WHERE", "s FROM span_forms UNION ALL SELECT query_id, 'backwards', reverse(c) FROM span_forms) WHERE")
