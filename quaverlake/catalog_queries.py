@@ -404,8 +404,7 @@ _MORE_LANES = _CANDIDATES.replace("key FROM field_forms) WHERE", "key FROM field
 def register_equivalence(v):
     """The report of lanes with one that was added."""
     providers = I.register_equivalence([], _BACKWARDS)
-    matched = R.lookup_matches(R.span_terms(v.queries, phonetic=False, providers=providers), I.lookup_terms(_docs(v), phonetic=False, providers=providers))
-    return R.lane_report(matched, R.best(matched, F.desc("score"), group=["query_id", "lane"]))
+    return R.lookup_report(v.queries, I.lookup_terms(_docs(v), phonetic=False, providers=providers), phonetic=False, providers=providers)
 
 
 @query("SELECT 'track:' || id AS key, CAST((SELECT count(*) FROM v_titles WHERE native_rating >= 60) AS BIGINT) AS matched FROM v_titles WHERE native_rating >= 60 ORDER BY id LIMIT 80")
