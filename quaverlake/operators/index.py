@@ -85,15 +85,18 @@ def lookup_terms(docs: DataFrame, phonetic: bool = True, providers: list[Equival
     return rows.join(terms, "text").select("lane", "term", "key").distinct()
 
 
+def _combined(docs: DataFrame) -> DataFrame:
+    """(key, text) dealt by key: the texts are shuffled, once, and all that is counted by document stays where it is."""
+    return docs.select(stable_key().alias("key"), F.concat_ws(" ", "title", "artist", "album").alias("text")).repartition("key")
+
+
 def token_postings(docs: DataFrame) -> DataFrame:
     """(key, term, tf, length): words of the combined text and how many words it has."""
-    words = docs.select(stable_key().alias("key"), T.tokens(T.normalise(F.concat_ws(" ", "title", "artist", "album"))).alias("w"))
-    return _postings(words)
+    return _postings(_combined(docs).select("key", T.tokens(T.normalise(F.col("text"))).alias("w")))
 
 
 def trigram_postings(docs: DataFrame) -> DataFrame:
-    grams = docs.select(stable_key().alias("key"), T.all_trigrams(T.compact(T.normalise(F.concat_ws(" ", "title", "artist", "album")))).alias("w"))
-    return _postings(grams)
+    return _postings(_combined(docs).select("key", T.all_trigrams(T.compact(T.normalise(F.col("text")))).alias("w")))
 
 
 def _postings(words: DataFrame) -> DataFrame:
